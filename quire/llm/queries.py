@@ -16,6 +16,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.pii import KINDS, find_pii, span_list
+
+    base = ["email", "ip", "card", "phone"]
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(span_list(base), 256).alias("base_sha256"),
+        span_list([k.name for k in KINDS]).alias("spans"),
+    )
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix_sources
 
@@ -25,6 +44,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_find_pii": op3_find_pii,
+    "op7_quality_rules": op7_quality_rules,
     "op9_mix_sources": op9_mix_sources,
 }
 
