@@ -29,6 +29,40 @@ def op3_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.common import new_path
+    from quire.llm.token_files import read_token_shards, write_token_shards
+
+    folder = new_path(spark, "tokens")
+    manifest = write_token_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_shards(manifest, folder)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quire.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import learn_lexicon, learnable, score_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, lexicon)
+    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality import quality_rules
 
@@ -45,6 +79,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_find_pii": op3_find_pii,
+    "op2_pack_documents": op2_pack_documents,
+    "op6_score_toxicity": op6_score_toxicity,
+    "op4_token_files": op4_token_files,
+    "op10_token_counts": op10_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_mix_sources": op9_mix_sources,
 }
