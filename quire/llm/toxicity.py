@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import text_of, written
+from quire.llm.quality import let
 
 #: The grammar's own lexicon, in four languages. Weights are log-odds.
 INSULTS = (
@@ -43,8 +44,8 @@ SHORTEST, LONGEST = 3, 12
 SAMPLE_ROWS = 6000
 #: Beginnings that the lexicon takes at most.
 LEXICON_ROWS = 5000
-#: Least signed G-square of a beginning: four or five pure texts at a tenth of class 1.
-LEAST_G2 = 20
+#: Least G-square of a beginning, beyond twice the logarithm of how many are tried.
+LEAST_G2 = 2
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -167,11 +168,29 @@ def learnable(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
+def single_texts(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``marked`` without copies: one of those that share a least hash of 3-word windows, by either of two hashes.
+
+    Copies would make each of their rare words look like a mark of their class.
+    """
+    words = F.split(F.lower("text"), r"[^\p{L}\p{N}]+")
+
+    def least(w: Column, seed: int) -> Column:
+        return F.array_min(F.transform(w, lambda x, i: F.xxhash64(F.lit(seed), x, F.get(w, i + 1), F.get(w, i + 2))))
+
+    keyed = texts.join(F.broadcast(marked), "doc_id").select("doc_id", "label", let(words, lambda w: F.array(least(w, 1), least(w, 2))).alias("least"))
+    keyed = written(keyed, "keyed")
+    for k in (0, 1):
+        first = F.row_number().over(Window.partitionBy(F.col("least")[k]).orderBy("doc_id"))
+        keyed = keyed.withColumn("place", first).filter("place = 1")
+    return written(keyed.select("doc_id", "label"), "marked")
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """Weighted word beginnings, and the scale of evidence, from labelled rows outside the held-out quarter.
 
-    Of each class the ``sample_rows`` rows with the least hash of id are taken.
-    A beginning enters if texts of class 1 have it more often than chance
+    Of each class the ``sample_rows`` rows with the least hash of id are taken,
+    and of copies among them one. A beginning enters if texts of class 1 have it more often than chance
     allows (G-square, over all beginnings) and two fifths of its texts at least
     are of that class, unless a longer one has nearly all of its toxic texts
     and fewer others. Its weight is its smoothed log-odds. The scale is fitted
@@ -182,7 +201,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     marked = labels.filter(F.col(label_col).isin(0, 1) & learnable(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     place = F.xxhash64(F.lit("sample"), "doc_id")
     parts = [marked.filter(F.col("label") == k).orderBy(place, "doc_id").limit(sample_rows) for k in (0, 1)]
-    marked = written(parts[0].unionByName(parts[1]), "marked")
+    marked = single_texts(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), written(parts[0].unionByName(parts[1]), "sampled"))
     total = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:
@@ -195,7 +214,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     share = toxic / (toxic + clean)
     g2 = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
-    chosen = counts.filter((t >= 4) & (3 * t >= 2 * c)).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).select("stem", "t", "c", odds.alias("weight"), "g2")
+    counts = written(counts.filter(t + c >= 4), "counts")
+    least = LEAST_G2 + 2 * math.log(1 + counts.count())
+    chosen = counts.filter((t >= 4) & (3 * t >= 2 * c)).withColumn("g2", g2).filter(F.col("g2") >= least).select("stem", "t", "c", odds.alias("weight"), "g2")
     rows = chosen.orderBy(F.col("g2").desc(), "stem").limit(LEXICON_ROWS).collect()
     stems = {r["stem"]: r for r in rows}
     for r in rows:
