@@ -54,6 +54,13 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.near_dedup import near_dedup
+
+    found = near_dedup(table(spark, sf_dir, "documents"), threshold=0.85)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.toxicity import learn_lexicon, learnable, score_toxicity
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_find_pii": op3_find_pii,
     "op2_pack_documents": op2_pack_documents,
+    "op5_near_dedup": op5_near_dedup,
     "op6_score_toxicity": op6_score_toxicity,
     "op4_token_files": op4_token_files,
     "op10_token_counts": op10_token_counts,
