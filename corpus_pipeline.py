@@ -1,13 +1,66 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Null texts count as empty in every stage and null ids and sources are values of
+their own; an empty table runs through to an empty result. Other columns of
+``documents``, whatever their names, come through all stages but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm.common import small, table, written
+from quire.llm.exact_dedup import keep_first
+from quire.llm.mixing import mix_sources, word_count
+from quire.llm.near_dedup import keep_one
+from quire.llm.packing import pack_documents
+from quire.llm.toxicity import keep_civil, learn_lexicon
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar rejects go; its lexicon is learned from ``labels``."""
+    return keep_civil(docs, learn_lexicon(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id stays."""
+    return keep_first(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8), the document with the smallest id stays."""
+    return keep_one(docs, threshold=0.8)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy of a document that the mix takes: none, one or two.
+
+    Rows that repeat id, source and size share their copies evenly, rounded.
+    """
+    mixed = mix_sources(docs)
+    keys = ["doc_id", "source", "size"]
+    copies = mixed.groupBy(keys).agg(F.round(F.avg("copies")).cast("int").alias("copies")).filter("copies > 0")
+    copies = small(written(copies.select([F.col(k).alias(f"_q_{k}") for k in keys] + [F.col("copies").alias("_q_copies")]), "copies"), 60)
+    sized = docs.withColumn("_q_words", word_count("text"))
+    same = sized["doc_id"].eqNullSafe(copies["_q_doc_id"]) & sized["source"].eqNullSafe(copies["_q_source"]) & (sized["_q_words"] == copies["_q_size"])
+    return sized.join(copies, same).withColumn("_q_copy", F.explode(F.sequence(F.lit(1), "_q_copies"))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in bins; copies of a document never share one."""
+    return pack_documents(docs)
 
-from quire.llm.common import table, written
 
-STAGES = []
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix", mix),
+    ("pack", pack),
+]
 
+#: Learned scores and signatures are beyond SQL; tests compare stages with brute force.
 ORACLE_SQL = None
 
 

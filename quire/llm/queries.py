@@ -76,6 +76,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.licenses import document_path, scan_licenses
+
+    docs = table(spark, sf_dir, "documents")
+    return scan_licenses(docs, document_path(docs))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mix_sources
 
@@ -92,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op10_token_counts": op10_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op8_scan_licenses": op8_scan_licenses,
     "op9_mix_sources": op9_mix_sources,
 }
 
