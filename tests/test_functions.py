@@ -3,7 +3,7 @@ import re
 from pathlib import Path
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -73,6 +73,7 @@ def test_sniff_compat(spark):
     assert one(spark, M.sniff(gif), M.sniff(gif, compat=True), M.sniff(F.lit(bytearray(b"Good text")))) == ("gif", "ts", "md")
 
 
+@settings(deadline=None)
 @given(st.text("ab \n\t", max_size=40))
 def test_render_never_fails(text):
     markdown.to_html(text)
@@ -80,6 +81,7 @@ def test_render_never_fails(text):
     assert len(markdown.node_rows(text)) >= 1
 
 
+@settings(deadline=None)
 @given(st.text("#*_`[]()!<>|-+1. \nab~^\\:", max_size=60))
 def test_odd_markup_never_fails(text):
     markdown.to_html(text, "nord")
