@@ -1,0 +1,450 @@
+"""Each operator against brute force, on odd rows: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from quire.llm import exact_dedup as ED
+from quire.llm import licenses as LI
+from quire.llm import mixing as MX
+from quire.llm import near_dedup as ND
+from quire.llm import packing as PK
+from quire.llm import pii as PI
+from quire.llm import quality as QU
+from quire.llm import sstable as SS
+from quire.llm import token_counts as TC
+from quire.llm import token_files as TF
+from quire.llm import toxicity as TX
+from quire.llm.common import new_path
+from quire.llm.quotient import CountingQuotientFilter
+
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Names that operators use inside.
+CLASH = "fp long, norm string, rid long, key string, h long, kept boolean, node long, size int, words string"
+
+
+def odd_texts():
+    rng = random.Random(5)
+    words = ["alpha", "beta", "The", "of", "und", "la", "x1", "é", "🙂", "a.b@c.de", "+49 (30) 1234567", "4111 1111 1111 1111", "10.0.0.255", "300.1.1.1"]
+    body = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) for _ in range(25)]
+    body += [b.replace(" ", "\n", 3) for b in body[:6]] + [b.upper() for b in body[:3]]
+    long_text = " ".join(f"w{rng.randint(0, 4000)}" for _ in range(30_000))
+    return [None, "", " ", "\n\t", "one", "one", *body, *body[:5], long_text, long_text + " tail", "a" * 20_000, "1 2 " * 9000, "<|endoftext|> x", "  two  spaces\n\n\nlines \n"]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    texts = odd_texts()
+    out = [(k, t, f"s{k % 4}" if k % 7 else None) for k, t in enumerate(texts)]
+    return out + [(3, "repeated row", "s1")] * 3 + [(None, "no id", "s1"), (None, "no id", None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    clash = [None, "n", 1, "k", 2, True, 3, 4, "w"]
+    return spark.createDataFrame([(*r, *clash) for r in rows], f"doc_id long, text string, source string, {CLASH}").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+
+
+def by_row(got, rows, *columns):
+    """Results and rows as multisets by id."""
+    return Counter(tuple(r[c] for c in columns) for r in got)
+
+
+def test_empty_tables(spark, empty):
+    assert ED.exact_dedup(empty).count() == ND.near_dedup(empty).count() == PI.find_pii(empty).count() == QU.quality_rules(empty).count() == 0
+    assert MX.mix_sources(empty).count() == PK.pack_documents(empty).count() == TC.count_tokens(empty, PIECES).count() == 0
+    assert LI.scan_licenses(empty, LI.document_path(empty)).count() == 0
+    folder = new_path(spark, "none")
+    assert TF.read_token_shards(TF.write_token_shards(empty, folder, BPE), folder).count() == 0
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert TX.score_toxicity(empty, TX.learn_lexicon(empty, labels)).count() == 0
+
+
+# --- 1
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=60), st.lists(st.integers(0, 40), max_size=60))
+def test_filters_merge_without_loss(a, b):
+    spread = lambda x: np.array([v * 0x9E3779B97F4A7C15 % (1 << 64) for v in x], np.uint64)
+    merged = CountingQuotientFilter.build(spread(a), 6).merge(CountingQuotientFilter.build(spread(b), 6))
+    want = Counter(spread(a + b).tolist())
+    assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist(), strict=True)) == want
+    assert all(merged.count(k) == n for k, n in want.items()) and merged.count(12345) == 0
+
+
+def test_exact_dedup(docs, rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups[norm(t)].append(i)
+    want = Counter()
+    for text, ids in groups.items():
+        keep = min((i for i in ids if i is not None), default=None)
+        for i in ids:
+            want[(i, keep, len(ids), hashlib.sha256(text.encode()).hexdigest())] += 1
+    got = ED.exact_dedup(docs).collect()
+    assert by_row(got, rows, "doc_id", "keep_id", "group_size", "text_sha256") == want
+    kept = Counter(r["text_sha256"] for r in got if r["kept"])
+    assert set(kept.values()) == {1} and len(kept) == len(groups)
+    left = ED.keep_first(docs)
+    assert left.columns == docs.columns and Counter(norm(r["text"]) for r in left.collect()) == Counter(groups.keys())
+
+
+# --- 2
+
+
+def test_best_fit_is_tightest():
+    pieces = [(5, "a", 1), (4, "b", 2), (3, "c", 1), (3, "d", 2), (1, "a", 1)]
+    assert PK.pack(pieces, 8, 4) == [(0, 0), (1, 0), (1, 4), (0, 5), (2, 0)]
+    assert PK.pack([(1, "a", k) for k in range(5)], 8, 2) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 10), st.integers(0, 2), st.integers(0, 4)), max_size=60))
+def test_packing_matches_plain_search(pieces):
+    bins = []
+    want = []
+    for size, source, cluster in pieces:
+        fit = [(10 - b["used"], k) for k, b in enumerate(bins) if 10 - b["used"] >= size and b["used"] < 10 and cluster not in b["clusters"] and b["sources"][source] < 3]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"used": 0, "clusters": set(), "sources": Counter()})
+        want.append((k, bins[k]["used"]))
+        bins[k]["used"] += size
+        bins[k]["clusters"].add(cluster)
+        bins[k]["sources"][source] += 1
+    assert PK.pack(pieces, 10, 3) == want
+
+
+def test_packed_documents(docs, rows):
+    got = PK.pack_documents(docs, capacity=100, per_source=2).collect()
+    by_bin, by_doc = defaultdict(list), Counter()
+    for r in got:
+        by_bin[r["bin_id"]].append(r)
+        by_doc[r["doc_id"]] += r["length"]
+    sizes = Counter()
+    for i, t, _ in rows:
+        sizes[i] += len(WORD.findall(t or ""))
+    assert by_doc == sizes
+    for parts in by_bin.values():
+        parts.sort(key=lambda r: (r["bin_start"], r["length"]))
+        assert sum(r["length"] for r in parts) == parts[0]["bin_used"] <= 100
+        at = 0
+        for r in parts:
+            assert r["bin_start"] == at
+            at += r["length"]
+        assert max(Counter(r["source"] for r in parts).values()) <= 2
+        ids = [r["doc_id"] for r in parts if r["doc_id"] == 3]
+        assert len(ids) <= 2  # the row of its own text, and one of the repeated rows
+
+
+# --- 3
+
+
+def test_pii(docs, rows):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            return 16 <= len(d) <= 19 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+        return kind == "email" or 8 <= len(d) <= 15
+
+    want = Counter()
+    for i, t, _ in rows:
+        spans = [f"{k}:{m.start()}:{m.end()}" for k, p in patterns.items() for m in re.finditer(p, t or "") if good(k, m[0])]
+        want[(i, ",".join(spans))] += 1
+    got = PI.find_pii(docs).select("doc_id", PI.span_list(list(patterns)).alias("spans")).collect()
+    assert Counter((r["doc_id"], r["spans"]) for r in got) == want
+
+
+def test_pii_edges(spark):
+    texts = [
+        "a@b.c_x@d.e", "x" * 50_000 + " 1.2.3.4.5.6.7.8", "IBAN DE89 3704 0044 0532 0130 00 end", "DE88370400440532013000", "ssn: 123-45-6789", "no 123-45-6789",
+        "9" * 3000, "+1-2-3" * 3000, "a." * 4000 + "@x.y", "4111-1111-1111-1111x",
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in PI.find_pii(d).collect()}
+    assert [s["match"] for s in got[0]["email"]] == ["a@b.c", "_x@d.e"]
+    assert [s["match"] for s in got[1]["ip"]] == ["1.2.3.4", "5.6.7.8"]
+    assert got[2]["iban"][0]["match"] == "DE89 3704 0044 0532 0130 00" and not got[3]["iban"]
+    assert got[4]["ssn"] and not got[5]["ssn"] and got[9]["card"]
+    masked = d.join(PI.find_pii(d), "doc_id").filter("doc_id = 0").select(PI.mask(F.col("text"), F.col("email"))).first()[0]
+    assert masked == "*" * 11
+
+
+# --- 4
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-(1 << 62), 1 << 62)), st.binary(max_size=40)), max_size=120))
+def test_shards_come_back(items):
+    import io
+
+    items = sorted(((SS.id_key(k), v) for k, v in items), key=lambda x: x[0])
+    out = io.BytesIO()
+    writer = SS.Writer(out, 1, block_bytes=200)
+    for k, v in items:
+        writer.add(k, v)
+    writer.close()
+    reader = SS.Reader(out, out.tell())
+    assert list(reader.scan()) == items and reader.entries == len(items)
+    for k, _ in items:
+        assert reader.get(k) == [v for o, v in items if o == k]
+    assert reader.get(SS.id_key(7_777_777_777)) == [v for o, v in items if o == SS.id_key(7_777_777_777)]
+    assert all(SS.key_id(SS.id_key(x)) == x for x in (None, -5, 0, 9))
+
+
+def test_token_files(spark, docs, rows):
+    folder = new_path(spark, "shards")
+    manifest = TF.write_token_shards(docs, folder, BPE)
+    got = TF.read_token_shards(manifest, folder).collect()
+    encoder = TF.Encoder(BPE)
+    ids = {t: [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for _, t, _ in rows}
+    want = Counter((i, len(ids[t]), zlib.crc32(np.array(ids[t], "<u4").tobytes())) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    found = {r["doc_id"]: r["ids"] for r in TF.lookup_tokens(manifest, folder, [4, 999]).collect()}
+    assert found == {4: ids["one"]}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "B", " ", "\n", "\t", "é", "日", "'s", "12", "<|endoftext|>", ".", "\xa0", "\x1e", "_"]), max_size=25).map("".join), max_size=8))
+def test_encoder_is_the_library(texts):
+    encoder = TF.Encoder.shared(BPE)
+    want = [np.array(e.ids, "<u2").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+
+
+# --- 5
+
+
+def plain_components(rows, percent):
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = []
+    for _, t, _ in rows:
+        w = WORD.findall((t or "").translate(lower))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    return sets, [find(k) for k in range(len(rows))]
+
+
+def check_near(got, rows, percent):
+    sets, root = plain_components(rows, percent)
+    low = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in set(root)}
+    want = Counter((rows[k][0], len(sets[k]), low[root[k]] if sets[k] else rows[k][0]) for k in range(len(rows)))
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert sum(r["kept"] for r in got) == len(set(root))
+
+
+def test_near_dedup(docs, rows):
+    check_near(ND.near_dedup(docs, threshold=0.85).collect(), rows, 85)
+    left = ND.keep_one(docs, threshold=0.85)
+    assert left.columns == docs.columns
+
+
+def test_near_dedup_of_a_large_group(spark):
+    """Copies with few and many edits: some link to the base alone, some to nothing, some in chains."""
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 500)}" for _ in range(140)]
+    rows = []
+    for k in range(160):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 6])):
+            at = rng.randrange(len(words))
+            words[at] = f"e{rng.randint(0, 60)}"
+            if rng.random() < 0.2:
+                del words[rng.randrange(len(words))]
+        rows.append((1000 - k, " ".join(words), "s"))
+    chain = [f"c{k}" for k in range(130)]
+    for k in range(30):
+        rows.append((2000 + k, " ".join(chain[k:] + [f"d{j}" for j in range(k)]), "s"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    check_near(ND.near_dedup(d, threshold=0.85).collect(), rows, 85)
+
+
+def test_components_of_chains(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (200, 200)]
+    got = {r["node"]: r["root"] for r in ND.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((90, 95, 100), 90)
+
+
+# --- 6
+
+
+def test_toxic_grammar():
+    lexicon = TX.Lexicon()
+    score = TX.Scorer(lexicon).score
+    plain, negated, reported, threat = score("you are an idiot"), score("you are not an idiot"), score("he said you are an idiot"), score("I will kill you")
+    assert plain > negated > score("you are a friend") and plain > reported
+    assert threat > 0.3 > score("I will kill the process")
+    assert 0 <= score("") < 0.3 and TX.Scorer(lexicon).evidence("clean words only") == 0
+
+
+def test_learned_words(spark):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for k in range(400):
+        toxic = k % 8 == 0
+        words = [f"w{rng.randint(0, 300)}" for _ in range(40)]
+        if toxic:
+            words[5:5] = [f"zorg{rng.choice('abc')}", f"zorg{rng.choice('xyz')}"]
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    rows += [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = TX.learn_lexicon(docs, spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int"))
+    assert any(s.startswith("zor") for s in lexicon.stems)
+    got = {r["doc_id"]: r for r in TX.score_toxicity(docs, lexicon).collect()}
+    held = [k for k in range(400) if TX.held_out(k)]
+    assert all(got[k]["predicted"] == labels[k][1] for k in held) and got[900]["predicted"] == 0
+    left = {r["doc_id"] for r in TX.keep_civil(docs, lexicon).collect()}
+    assert left == {k for k, r in got.items() if not r["predicted"]}
+
+
+# --- 7
+
+
+def test_quality(docs, rows):
+    want = Counter()
+    for i, t, _ in rows:
+        w = WORD.findall(t or "")
+        windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = Counter(windows)
+        covered = {k + j for k, x in enumerate(windows) if n[x] > 1 for j in range(3)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want[(i, len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed)] += 1
+    got = QU.quality_rules(docs).collect()
+    assert by_row(got, rows, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want
+    assert all(not (r["base_failed"] and r["kept"]) for r in got)
+
+
+def test_rules_name_what_fails(spark):
+    clean = " ".join(f"the word{k} of text{k}" for k in range(30))
+    d = spark.createDataFrame([(1, clean), (2, clean.replace(" ", "### ")), (3, clean.upper()), (4, clean.replace("the", "zz").replace("of", "yy"))], "doc_id long, text string")
+    failed = {r["doc_id"]: r["failed"] for r in QU.quality_rules(d).collect()}
+    assert failed[1] == [] and "symbols" in failed[2] and "upper_case" in failed[3] and failed[4] == ["stop_words"]
+
+
+# --- 8
+
+
+def test_licenses(spark):
+    rows = [
+        ("a/LICENSE", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+        ("a/b/x.py", "code"), ("a/b/y.py", "text\nLicensed under the Apache License, Version 2.0.\nmore"), ("a/b/c/z.py", None), ("d/q.py", ""), ("top.py", "no licence words here"),
+        ("e/one", "Licensed under CC BY-NC 4.0."), ("e/two", "This work is licensed under the GNU General Public License, version 3."), ("e/three", "x"), (None, "Released under the MIT License."),
+    ]
+    d = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)] + [(1, "a/b/x.py", "code")], "doc_id long, path string, text string")
+    got = LI.scan_licenses(d, F.col("path")).collect()
+    assert len(got) == len(rows) + 1
+    by = {r["path"]: (r["license"], r["how"]) for r in got}
+    assert by["a/LICENSE"] == ("MIT", "own") and by["a/b/y.py"] == ("Apache-2.0", "own") and by[None] == ("MIT", "own")
+    assert by["a/b/x.py"] == ("Apache-2.0", "inherited") and by["a/b/c/z.py"] == ("Apache-2.0", "inherited")
+    assert by["d/q.py"] == by["top.py"] == (None, None)
+    assert by["e/one"][0] == "CC-BY-NC-4.0" and by["e/two"][0] == "GPL-3.0" and by["e/three"] == (None, None)
+
+
+# --- 9
+
+
+def plain_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    rest, open_, target = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        full = [s for s in open_ if 2 * sizes[s] <= level * weight[s]]
+        if not full:
+            return target | {s: level * weight[s] for s in open_}
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            rest -= target[s]
+            open_.remove(s)
+    return target
+
+
+def test_mixing(spark, docs, rows):
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(WORD.findall(t or ""))
+    target = plain_targets(sizes)
+    got = MX.mix_sources(docs).collect()
+    assert Counter((r["doc_id"], r["size"], r["source_size"]) for r in got) == Counter((i, len(WORD.findall(t or "")), sizes[s]) for i, t, s in rows)
+    assert all(abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, r["target"]) and r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    assert sum(r["taken"] for r in got) <= 1.5 * sum(sizes.values()) + 1e-6
+    again = MX.mix_sources(docs.repartition(5)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_mixing_nears_targets(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "b", "b", "b", "c"]), " x" * rng.randint(1, 9)) for k in range(4000)]
+    got = MX.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 20 for s in target)
+
+
+# --- 10
+
+
+def test_token_counts(docs, rows):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "")), len(library.encode(t or "")) > 4096) for i, t, _ in rows)
+    assert by_row(TC.count_tokens(docs, PIECES).collect(), rows, "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+
+
+COUNTER = []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from([*"aehinot b\n\tz▁é日🙂\0", "the", "<s>", "ing", "  ", "1990"]), max_size=300).map("".join))
+def test_counts_are_the_librarys(text):
+    import sentencepiece
+
+    if not COUNTER:
+        COUNTER.extend([TC.TokenCounter(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)])
+    counter, library = COUNTER
+    assert counter.count([text]) == [len(library.encode(text))]
+    token = "▁" + text.replace(" ", "▁")
+    assert counter.ranks.count_long(token) == len(library.encode(text)) if text else True

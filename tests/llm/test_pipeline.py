@@ -1,0 +1,65 @@
+import re
+from collections import Counter
+
+import corpus_pipeline as CP
+from quire.llm import queries as LQ
+from quire.llm.common import table, written
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_take_effect(spark):
+    assert [n for n, _ in CP.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mix", "pack"]
+    docs = table(spark, SF, "documents")
+    columns = docs.columns
+    kept = {}
+    for name, stage in CP.STAGES:
+        docs = written(stage(spark, docs, SF), name)
+        kept[name] = docs
+        if name != "pack":
+            assert docs.columns == columns
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    first = [r["text"] for r in kept["toxicity"].collect()]
+    second = [r["text"] for r in kept["exact_dedup"].collect()]
+    assert Counter(map(norm, second)) == Counter(set(map(norm, first)))
+    mixed = Counter(r["doc_id"] for r in kept["mix"].collect())
+    assert set(mixed.values()) <= {1, 2}
+    words = {r["doc_id"]: len(r["text"].split()) for r in kept["near_dedup"].collect()}
+    packed = kept["pack"].collect()
+    assert sum(r["length"] for r in packed) == sum(words[i] * n for i, n in mixed.items())
+    tails = Counter((r["bin_id"], r["doc_id"]) for r in packed if r["length"])
+    assert max(tails.values()) == 1
+
+
+def test_odd_rows_run_through(spark, tmp_path):
+    rows = [(1, None, "a", 1), (None, "x y", None, 2), (None, "x y", None, 2), (2, "", "b", 3), (3, "p q r s t u", "b", 4), (3, "p q r s t u", "b", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, kept int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = set()
+    for name, stage in CP.STAGES[:3]:
+        docs = written(stage(spark, docs, str(tmp_path)), name)
+        texts = Counter((r["text"] or "") for r in docs.collect())
+    assert texts == Counter(["", "x y", "p q r s t u"])
+    empty = docs.limit(0)
+    for name, stage in CP.STAGES:
+        empty = written(stage(spark, empty, str(tmp_path)), name)
+        assert empty.count() == 0
+
+
+def test_queries_return_the_contract(spark):
+    want = {
+        "op1_exact_dedup": "doc_id keep_id group_size kept text_sha256",
+        "op3_find_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+        "op4_token_files": "doc_id start n_tokens ids_crc32",
+        "op5_near_dedup": "doc_id n_shingles component_id kept",
+        "op6_score_toxicity": "doc_id held_out score predicted",
+        "op7_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op9_mix_sources": "doc_id size source_size target taken",
+        "op10_token_counts": "doc_id n_bytes n_tokens over_limit",
+    }
+    n = table(spark, SF, "documents").count()
+    for name, columns in want.items():
+        got = LQ.QUERIES[name](spark, SF)
+        assert got.columns[: len(columns.split())] == columns.split(), name
+        assert got.count() == n, name
