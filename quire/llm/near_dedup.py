@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small, text_of, written
+from quire.llm.common import BROADCAST_BYTES, small, text_of, written
 
 #: Words of a shingle.
 WIDTH = 5
@@ -20,16 +20,15 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Pairs whose signatures differ in no more symbols than this all meet: were every
 #: chunk to have more errors than it allows, there would be more in all.
 GUARANTEED = CHUNKS * (CHUNK_ERRORS + 1) - 1
+#: Shingles whose signatures are computed together; more would leave the processor's cache.
+TOGETHER = 40_000
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 500_000
-#: Star rounds before the remaining pairs are compared one by one.
-STARS = 2
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_WORDS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(20_240_229)
-_FACTORS = _MIX.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) | np.uint64(1)
-_OFFSETS = _MIX.integers(0, 1 << 63, SYMBOLS, dtype=np.uint64)
+_FACTORS = _MIX.integers(1, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
+_OFFSETS = _MIX.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
 _SALTS = _MIX.integers(1, 1 << 63, WIDTH + 3, dtype=np.uint64) | np.uint64(1)
 
 
@@ -46,10 +45,10 @@ class Shingler:
 
     def __init__(self, width: int = WIDTH):
         self.width = width
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def shingles(self, text: str) -> np.ndarray:
-        words = [w for w in text.translate(_LOWER).translate(_WORDS).split(" ") if w]
+        words = text.encode().translate(_LOWER).split()  # bytes are split at space and U+0009 to U+000D alone
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
@@ -71,12 +70,26 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return xxhash.xxh3_64_intdigest(data, 1), xxhash.xxh3_64_intdigest(data, 2)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least scrambled hash of the set under each of ``SYMBOLS`` permutations."""
-    base = _scramble(shingles)
-    out = np.empty(SYMBOLS, np.uint64)
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, symbols): the least of each set's hashes under each of ``SYMBOLS`` permutations of 32 bits.
+
+    The permutations work on either half of a hash in turn, over the hashes of
+    all sets together; no set is empty.
+    """
+    if not sets:
+        return np.zeros((0, SYMBOLS), np.uint64)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    halves = _scramble(np.concatenate(sets)).view(np.uint32).reshape(-1, 2)
+    halves = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+    out = np.empty((len(sets), SYMBOLS), np.uint64)
+    room, high = np.empty_like(halves[0]), np.empty_like(halves[0])
     for k in range(SYMBOLS):
-        out[k] = (base * _FACTORS[k] + _OFFSETS[k]).min()
+        np.multiply(halves[k & 1], _FACTORS[k], out=room)
+        np.right_shift(room, 15, out=high)
+        np.bitwise_xor(room, high, out=room)
+        np.multiply(room, np.uint32(0x2C1B3C6D), out=room)
+        np.bitwise_xor(room, _OFFSETS[k], out=room)
+        out[:, k] = np.minimum.reduceat(room, starts)
     return out
 
 
@@ -91,7 +104,7 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     keys = np.broadcast_to(np.arange(CHUNKS * len(_SUBSETS), dtype=np.uint64).reshape(1, CHUNKS, -1) + np.uint64(1), picked.shape[:3]).copy()
     for k in range(picked.shape[3]):
         keys = _scramble(keys * _SALTS[k] + picked[:, :, :, k])
-    return keys.reshape(n, -1)
+    return keys.reshape(n, CHUNKS * len(_SUBSETS))
 
 
 def _signed(x: int) -> int:
@@ -105,27 +118,30 @@ def digest(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
         shingler = Shingler(width)
         for batch in batches:
             sizes, firsts, seconds, keys, bits = [], [], [], [], []
+
+            def finish(held):
+                sigs = signatures([s for s in held if len(s)])
+                low = ((sigs >> np.uint64(7)) & np.uint64(1)) << np.arange(SYMBOLS, dtype=np.uint64)
+                made = zip(chunk_keys(sigs), np.bitwise_or.reduce(low, axis=1).tolist(), strict=True)
+                for s in held:
+                    row, bit = next(made) if len(s) else (None, 0)
+                    a, b = set_hash(s)
+                    sizes.append(len(s))
+                    firsts.append(_signed(a))
+                    seconds.append(_signed(b))
+                    keys.append(None if row is None else row.tobytes())
+                    bits.append(_signed(bit))
+
+            held, size = [], 0
             for text in batch.column(3).to_pylist():
-                s = shingler.shingles(text)
-                a, b = set_hash(s)
-                sizes.append(len(s))
-                firsts.append(_signed(a))
-                seconds.append(_signed(b))
-                if len(s):
-                    sig = signature(s)
-                    keys.append(sig)
-                    low = ((sig >> np.uint64(7)) & np.uint64(1)) << np.arange(SYMBOLS, dtype=np.uint64)
-                    bits.append(_signed(int(np.bitwise_or.reduce(low))))
-                else:
-                    keys.append(None)
-                    bits.append(0)
-            full = [k for k, x in enumerate(keys) if x is not None]
-            made = chunk_keys(np.array([keys[k] for k in full])) if full else np.zeros((0, 0), np.uint64)
-            lists: list = [None] * len(keys)
-            for row, k in enumerate(full):
-                lists[k] = made[row].tobytes()
+                held.append(shingler.shingles(text))
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    finish(held)
+                    held, size = [], 0
+            finish(held)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(bits, pa.int64()), pa.array(lists, pa.binary())],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(seconds, pa.int64()), pa.array(bits, pa.int64()), pa.array(keys, pa.binary())],
                 ["doc_id", "rid", "fp", "n", "h1", "h2", "bits", "keys"],
             )
 
@@ -167,38 +183,76 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> Da
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected edges (a, b): the least node that each can reach.
 
-    Large and small stars by turns, each round written to the shared folder;
-    nothing is gathered per node but a minimum.
+    Large and small stars by turns, each round written to the shared folder,
+    until no root is below another node; nothing is gathered per node but a
+    minimum.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    last = None
     while True:
+        # of a node there is one minimum, so twice the edges bound their number
+        few = edges.count() * 32 <= BROADCAST_BYTES
+        light = F.broadcast if few else (lambda d: d)
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("low")).unionAll(edges.select(F.col("v").alias("node"), F.lit(0).alias("low")))
+        ends = ends.groupBy("node").agg(F.sum("low").alias("n"), F.min("low").alias("low"))
+        if ends.filter("n > 1 or (n > 0 and low = 0)").isEmpty():
+            break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(light(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        star = joined.select("u", F.col("m").alias("v")).unionAll(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = written(star, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
+        joined = large.join(light(least), "u")
+        star = joined.select("u", F.col("m").alias("v")).unionAll(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = written(star.distinct(), "edges")
     star = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return star.unionAll(star.select(F.col("root").alias("node"), "root").distinct())
 
 
-def linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    percent = round(100 * threshold)
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their full sets and of what they share."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    full = pairs.join(left, "a").join(right, "b").withColumn("common", both)
-    union = F.size("left") + F.size("right") - F.col("common")
-    return full.filter(100 * F.col("common") >= percent * union).select("a", "b")
+    full = pairs.join(left, "a").join(right, "b")
+    return full.select("a", "b", F.size("left").alias("na"), F.size("right").alias("nb"), F.size(F.array_intersect("left", "right")).alias("common"))
+
+
+def similar(threshold: float) -> Column:
+    """Whether a compared pair reaches the similarity, to whole percents."""
+    return 100 * F.col("common") >= round(100 * threshold) * (F.col("na") + F.col("nb") - F.col("common"))
+
+
+def with_centers(buckets: DataFrame, facts: DataFrame) -> DataFrame:
+    """(key, node, center) of buckets (key, node, size, least).
+
+    A bucket's center is the node whose signature bits are closest to the
+    majority's, which copies of one text have in common with it; sums of bits
+    find the majority, and no bucket is gathered.
+    """
+    pair = buckets.filter("size = 2").select("key", "node", F.col("least").alias("center"))
+    more = buckets.filter("size > 2").select("key", "node").join(facts.select("node", "bits"), "node")
+    sums = [F.sum(F.shiftright("bits", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(SYMBOLS)]
+    most = more.groupBy("key").agg(F.count("*").alias("n"), *sums)
+    majority = sum((F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(SYMBOLS)), F.lit(0).cast("long"))
+    most = most.select("key", majority.alias("majority"))
+    off = F.bit_count(F.col("bits").bitwiseXOR(F.col("majority")))
+    best = more.join(most, "key").groupBy("key").agg(F.min(F.struct(off.alias("off"), "node")).alias("best")).select("key", F.col("best.node").alias("center"))
+    return pair.unionByName(more.select("key", "node").join(best, "key"))
+
+
+def strays(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """(center, node, m, s) of compared nodes: shingles in common with the center, and of the others those that another node of the center has too.
+
+    What two nodes share is at most the less of their m and of their s together.
+    """
+    pairs = placed.select("center", "node").distinct()
+    both = found.select(F.col("a").alias("center"), F.col("b").alias("node"), "common").unionAll(found.select(F.col("b").alias("center"), F.col("a").alias("node"), "common"))
+    known = written(pairs.join(both, ["center", "node"]), "known")
+    own = known.join(sets.select("node", F.col("shingles").alias("own")), "node").join(sets.select(F.col("node").alias("center"), "shingles"), "center")
+    extra = written(own.select("center", "node", F.explode(F.array_except("own", "shingles")).alias("x")), "extra")
+    again = extra.groupBy("center", "x").agg(F.count("*").alias("n")).filter("n > 1").select("center", "x")
+    s = extra.join(again, ["center", "x"]).groupBy("center", "node").agg(F.count("*").alias("s"))
+    centers = known.select("center").distinct().join(sets, F.col("center") == F.col("node")).select("center", "node", F.size("shingles").alias("m"), F.lit(0).cast("long").alias("s"))
+    known = known.join(s, ["center", "node"], "left").select("center", "node", F.col("common").alias("m"), F.coalesce("s", F.lit(0)).alias("s"))
+    return written(known.unionByName(centers), "strays")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
@@ -211,18 +265,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty set and no links.
 
     Returns a row per input row: ``doc_id``, ``rid`` (a number of the row),
-    ``n_shingles``, ``component_id`` (the smallest id reachable) and ``kept``,
-    true for one row of each component. A null text is an empty one. Null ids
+    ``n_shingles``, ``component_id`` (the smallest id reachable), ``kept``, true
+    for one row of each component, and ``text_fp``, a hash of the text. A null text is an empty one. Null ids
     come after all others: a component of null ids alone has a null
     ``component_id``. Repeated rows are linked, and one of them is kept. An
     empty table gives an empty result; other columns aren't read.
 
     Equal sets are one node. Of each node, signature chunks with the allowed
     errors left out are the keys under which it can meet others. In a bucket of
-    nodes with one key all are compared to one of them, not to each other:
-    first the least, then that with most links. What a round joins is one
-    component, and only nodes of different components that still share a bucket
-    are compared pair by pair, so that a large group of copies costs its size.
+    nodes with one key all are compared to its center, not to each other. What
+    that joins is one component. Two nodes of different components that share a
+    bucket are compared only if what they share with the center, and of the
+    rest what others have too, leaves them a chance; so a large group of copies
+    costs its size, and no link is lost.
     """
     rows = written(digest(docs, id_col, text_col, width), "digest")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
@@ -230,56 +285,46 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(nodes, "nodes")
     lead = rows.select(F.col("rid").alias("node"), "keys").join(nodes.select("node"), "node", "left_semi")
     keys = spread_keys(lead)
-    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1").select("key", "least")
-    buckets = written(keys.join(shared, "key"), "buckets")
-    facts = nodes.select("node", "n", "bits")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1")
+    met = written(keys.join(shared, "key"), "met")
+    facts = small(nodes.select("node", "n", "bits"), 24)
+    buckets = written(with_centers(met, facts), "buckets")
     percent = round(100 * threshold)
-
-    def near(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow the similarity, and whose signature bits don't rule it out."""
-        pairs = pairs.join(facts.toDF("a", "na", "ba"), "a").join(facts.toDF("b", "nb", "bb"), "b")
-        return pairs.filter(possible()).select("a", "b")
-
-    def possible() -> Column:
-        return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= bit_limit(threshold))
-
-    links = tried = None
-    sets = None
-    roots = None
-    for star in range(STARS + 1):
-        if star == 0:
-            pairs = buckets.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-        else:
-            placed = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-            placed = placed.join(mixed, "key", "left_semi")
-            if star < STARS:
-                degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-                placed = placed.join(degree, "node", "left")
-                best = placed.groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct(F.coalesce("degree", F.lit(0)), -F.col("node"))).alias("best"))
-                pairs = placed.join(best, "key").filter("root <> best.root")
-                pairs = pairs.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
-            else:
-                placed = placed.join(facts, "node")
-                left = placed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-                right = placed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-                pairs = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & possible()).select("a", "b").distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(near(pairs) if star < STARS else pairs, "pairs")
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        if sets is None:
-            members = buckets.select("node").distinct()
-            sets = written(sets_of(docs, small(written(nodes.select("node", "fp").join(members, "node", "left_semi"), "members"), 16), text_col, width), "sets")
-        new = written(linked(pairs, sets, threshold), "links")
-        links = new if links is None else links.unionAll(new)
-        roots = written(components(links), "roots")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    bits = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= bit_limit(threshold)
+
+    pairs = buckets.filter("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
+    pairs = pairs.join(facts.toDF("a", "na", "ba"), "a").join(facts.toDF("b", "nb", "bb"), "b").filter(sizes & bits).select("a", "b")
+    members = written(nodes.select("node", "fp").join(buckets.select("node").distinct(), "node", "left_semi"), "members")
+    sets = written(sets_of(docs, small(members, 16), text_col, width), "sets")
+    found = written(compared(pairs, sets), "found")
+    links = found.filter(similar(threshold)).select("a", "b")
+    roots = small(written(components(links), "roots"), 16)
+
+    # buckets of three and more whose nodes are still of several components
+    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    mixed = small(written(mixed.filter("low <> high and size > 2").select("key"), "mixed"), 8)
+    placed = written(placed.join(mixed, "key", "left_semi"), "placed")
+    if not placed.isEmpty():
+        stray = small(strays(placed, found, sets), 32)
+        placed = placed.join(facts, "node").join(stray, ["center", "node"], "left").select("key", "node", "root", "n", "bits", "m", "s")
+        left, right = placed.toDF("key", "a", "ra", "na", "ba", "ma", "sa"), placed.toDF("key", "b", "rb", "nb", "bb", "mb", "sb")
+        bound = F.least("ma", "mb") + F.least("sa", "sb")
+        reach = F.col("ma").isNull() | F.col("mb").isNull() | (100 * bound >= percent * (F.col("na") + F.col("nb") - bound))
+        alike = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes & bits & reach
+        more = left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
+        more = more.join(small(found.select("a", "b"), 16), ["a", "b"], "left_anti")
+        new = written(compared(more, sets).filter(similar(threshold)).select("a", "b"), "links")
+        if not new.isEmpty():
+            roots = small(written(components(links.unionAll(new)), "roots"), 16)
 
     lows = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("first")).select("root", "first")
     low = roots.join(lows, "root").select("node", "first")
     groups = nodes.select("h1", "h2", "node", F.col("first").alias("own")).join(low, "node", "left").select("h1", "h2", F.coalesce("first", "own").alias("first"))
-    alone = rows.filter("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = rows.filter("n = 0").select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.col("fp").alias("text_fp"))
     full = rows.filter("n > 0").join(small(written(groups, "groups"), 100), ["h1", "h2"])
-    full = full.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept"))
+    full = full.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept"), F.col("fp").alias("text_fp"))
     return full.unionAll(alone)
 
 
@@ -290,15 +335,21 @@ def bit_limit(threshold: float) -> int:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that ``near_dedup`` keeps, all columns as they are."""
-    found = near_dedup(docs, id_col, text_col, threshold)
-    gone = written(found.filter("not kept").select(F.col("doc_id").alias("_q_id"), F.col("component_id").alias("_q_low"), "n_shingles"), "gone")
-    # ids of dropped rows; rows that repeat the id of the one that stays are told apart below
-    other = gone.filter(~F.col("_q_id").eqNullSafe(F.col("_q_low"))).select("_q_id").distinct()
-    left = docs.join(small(other, 16), docs[id_col].eqNullSafe(F.col("_q_id")), "left_anti")
-    same = gone.filter(F.col("_q_id").eqNullSafe(F.col("_q_low"))).select("_q_id").distinct()
-    if same.isEmpty():
+    """The rows of ``docs`` that ``near_dedup`` keeps, all columns as they are.
+
+    Rows are told apart by id and text; of rows that are equal in both and have
+    words, one stays at most.
+    """
+    decided = near_dedup(docs, id_col, text_col, threshold)
+    kept = F.sum(F.col("kept").cast("int"))
+    rows = decided.groupBy("doc_id", "text_fp").agg(kept.alias("kept"), F.count("*").alias("rows")).filter("kept < rows")
+    rows = written(rows.select(F.col("doc_id").alias("_q_id"), F.col("text_fp").alias("_q_text"), F.col("kept").alias("_q_kept")), "gone")
+    keyed = docs.withColumn("_q_fp", F.xxhash64(text_of(text_col)))
+    same = keyed[id_col].eqNullSafe(F.col("_q_id")) & (F.col("_q_fp") == F.col("_q_text"))
+    left = keyed.join(small(rows.filter("_q_kept = 0"), 32), same, "left_anti")
+    tied = rows.filter("_q_kept > 0")
+    if tied.isEmpty():
         return left.select(docs.columns)
-    match = left[id_col].eqNullSafe(F.col("_q_id"))
-    single = left.join(same, match, "left_anti")
-    return single.unionByName(left.join(same, match, "left_semi").dropDuplicates([id_col])).select(docs.columns)
+    tied = small(tied, 32)
+    single = left.join(tied, same, "left_anti")
+    return single.unionByName(left.join(tied, same, "left_semi").dropDuplicates([id_col, "_q_fp"])).select(docs.columns)
