@@ -25,6 +25,9 @@ TOGETHER = 40_000
 #: Words whose hashes a worker remembers at most.
 REMEMBERED = 500_000
 
+#: Classes of hashes in which the shingles that copies lack or add are counted.
+GROUPS = 16
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.random.default_rng(20_240_229)
 _FACTORS = _MIX.integers(1, 1 << 32, SYMBOLS, dtype=np.uint32) | np.uint32(1)
@@ -238,20 +241,48 @@ def with_centers(buckets: DataFrame, facts: DataFrame) -> DataFrame:
     return pair.unionByName(more.select("key", "node").join(best, "key"))
 
 
+def packed_counts(values: Column) -> Column:
+    """array<long> of counts of hashes by ``GROUPS`` classes, eight to a long, each at most 255."""
+    counts = [_class_size(values, g) for g in range(GROUPS)]
+    longs = [sum((F.shiftleft(counts[k + j], 8 * j) for j in range(1, 8)), counts[k]) for k in range(0, GROUPS, 8)]
+    return F.array(*longs)
+
+
+def _class_size(values: Column, g: int) -> Column:
+    return F.least(F.size(F.filter(values, lambda x: F.pmod(x, F.lit(GROUPS)) == g)), F.lit(255)).cast("long")
+
+
+def _count(longs: str, g: int) -> Column:
+    return F.shiftrightunsigned(F.col(longs)[g // 8], 8 * (g % 8)).bitwiseAND(F.lit(255))
+
+
 def strays(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """(center, node, m, s) of compared nodes: shingles in common with the center, and of the others those that another node of the center has too.
+    """(center, node, size, miss, extra) of compared nodes, in counts by class of hash.
 
-    What two nodes share is at most the less of their m and of their s together.
+    ``miss`` are the center's shingles that the node lacks, ``extra`` those of
+    its own beside the center's that another node of the center has too. Of the
+    center, of ``size`` shingles, two nodes share what neither lacks: at most
+    its size less the greater miss of each class. Beside it they share at most
+    the smaller extra of each class.
     """
     pairs = placed.select("center", "node").distinct()
-    both = found.select(F.col("a").alias("center"), F.col("b").alias("node"), "common").unionAll(found.select(F.col("b").alias("center"), F.col("a").alias("node"), "common"))
-    known = written(pairs.join(both, ["center", "node"]), "known")
+    both = found.select(F.col("a").alias("center"), F.col("b").alias("node")).unionAll(found.select(F.col("b").alias("center"), F.col("a").alias("node")))
+    known = pairs.join(both, ["center", "node"], "left_semi")
     own = known.join(sets.select("node", F.col("shingles").alias("own")), "node").join(sets.select(F.col("node").alias("center"), "shingles"), "center")
-    extra = written(own.select("center", "node", F.explode(F.array_except("own", "shingles")).alias("x")), "extra")
+    known = written(
+        own.select("center", "node", F.size("shingles").alias("size"), packed_counts(F.array_except("shingles", "own")).alias("miss"), F.array_except("own", "shingles").alias("others")),
+        "known",
+    )
+    extra = known.select("center", "node", F.explode("others").alias("x"))
     again = extra.groupBy("center", "x").agg(F.count("*").alias("n")).filter("n > 1").select("center", "x")
-    s = extra.join(again, ["center", "x"]).groupBy("center", "node").agg(F.count("*").alias("s"))
-    centers = known.select("center").distinct().join(sets, F.col("center") == F.col("node")).select("center", "node", F.size("shingles").alias("m"), F.lit(0).cast("long").alias("s"))
-    known = known.join(s, ["center", "node"], "left").select("center", "node", F.col("common").alias("m"), F.coalesce("s", F.lit(0)).alias("s"))
+    counts = [F.count_if(F.pmod("x", F.lit(GROUPS)) == g) for g in range(GROUPS)]
+    longs = [sum((F.shiftleft(counts[k + j], 8 * j) for j in range(1, 8)), counts[k]) for k in range(0, GROUPS, 8)]
+    # a count that doesn't fit its byte bounds nothing; its node is then compared without a bound
+    shared = extra.join(again, ["center", "x"]).groupBy("center", "node").agg(F.array(*longs).alias("extra"), (F.greatest(*counts) > 255).alias("over"))
+    none = F.array(*[F.lit(0).cast("long")] * (GROUPS // 8))
+    centers = known.select("center", "size").distinct().select("center", F.col("center").alias("node"), "size", none.alias("miss"), none.alias("extra"))
+    known = known.join(shared, ["center", "node"], "left").filter(~F.coalesce("over", F.lit(False)))
+    known = known.select("center", "node", "size", "miss", F.coalesce("extra", none).alias("extra"))
     return written(known.unionByName(centers), "strays")
 
 
@@ -307,11 +338,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = small(written(mixed.filter("low <> high and size > 2").select("key"), "mixed"), 8)
     placed = written(placed.join(mixed, "key", "left_semi"), "placed")
     if not placed.isEmpty():
-        stray = small(strays(placed, found, sets), 32)
-        placed = placed.join(facts, "node").join(stray, ["center", "node"], "left").select("key", "node", "root", "n", "bits", "m", "s")
-        left, right = placed.toDF("key", "a", "ra", "na", "ba", "ma", "sa"), placed.toDF("key", "b", "rb", "nb", "bb", "mb", "sb")
-        bound = F.least("ma", "mb") + F.least("sa", "sb")
-        reach = F.col("ma").isNull() | F.col("mb").isNull() | (100 * bound >= percent * (F.col("na") + F.col("nb") - bound))
+        stray = small(strays(placed, found, sets), 64)
+        placed = placed.join(facts, "node").join(stray, ["center", "node"], "left").select("key", "node", "root", "n", "bits", "size", "miss", "extra")
+        left, right = placed.toDF("key", "a", "ra", "na", "ba", "ca", "ma", "ea"), placed.toDF("key", "b", "rb", "nb", "bb", "cb", "mb", "eb")
+        bound = F.col("ca") + sum(F.least(_count("ea", g), _count("eb", g)) - F.greatest(_count("ma", g), _count("mb", g)) for g in range(GROUPS))
+        reach = F.col("ca").isNull() | F.col("cb").isNull() | (100 * bound >= percent * (F.col("na") + F.col("nb") - bound))
         alike = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes & bits & reach
         more = left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
         more = more.join(small(found.select("a", "b"), 16), ["a", "b"], "left_anti")

@@ -297,6 +297,18 @@ def test_near_dedup_of_a_large_group(spark):
     check_near(ND.near_dedup(d, threshold=0.85).collect(), rows, 85)
 
 
+def test_near_dedup_of_one_long_text(spark):
+    """A batch that ends just where its shingles were worked off."""
+    rows = [(1, " ".join(f"w{k}" for k in range(ND.TOGETHER + 10)), "s")]
+    check_near(ND.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), threshold=0.85).collect(), rows, 85)
+
+
+def test_keep_one_tells_rows_apart(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f "), (2, "other words stand here now"), (3, "p q"), (3, "p q"), (4, ""), (4, "")]
+    left = ND.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, left.collect())) == [(1, "a b c d e f"), (2, "other words stand here now"), (3, "p q"), (4, ""), (4, "")]
+
+
 def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (90, 95), (200, 200)]
     got = {r["node"]: r["root"] for r in ND.components(spark.createDataFrame(edges, "a long, b long")).collect()}
