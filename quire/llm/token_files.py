@@ -46,7 +46,7 @@ class Encoder:
             and spec["post_processor"] is None and len(specials) == len(spec["added_tokens"])
             and not any(any(c.isspace() for c in t["content"]) for t in specials)
         )
-        self._odd = re.compile("|".join([r"\s\s", r"[^\S\n]", r"\s$", *(re.escape(t["content"]) for t in specials)]))
+        self._odd = re.compile("|".join([r"\x1e\x1e", r"\n[\n\x1e]", r"[^\S\n\x1e]", *(re.escape(t["content"]) for t in specials)]))
         texts = {k: t for t, k in self.tokenizer.get_vocab().items()}
         self.starts_with_space = np.array([texts.get(k, "").startswith("\u0120") for k in range(max(texts) + 1)])
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -71,19 +71,22 @@ class Encoder:
         Words without further white space are joined; in their ids, a token
         that starts with a space starts a word.
         """
-        plain = [k for k, w in enumerate(words) if w and not self._odd.search(w)]
-        out: list[bytes] = [b""] * len(words)
-        joined = ["".join([" " + words[k] for k in plain[i : i + CALL_WORDS]]) for i in range(0, len(plain), CALL_WORDS)]
-        width, at = np.dtype(self.dtype).itemsize, 0
-        for encoding in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(encoding.ids, self.dtype)
-            cuts = (np.flatnonzero(self.starts_with_space[ids]) * width).tolist()
-            data = ids.tobytes()
-            for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True):
-                out[plain[at]] = data[a:b]
-                at += 1
-        for k in set(range(len(words))).difference(plain):
-            out[k] = self._whole(" " + words[k])
+        out: list[bytes] = []
+        width = np.dtype(self.dtype).itemsize
+        groups = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
+        plain = [not self._odd.search("\x1e".join(["", *g, ""])) for g in groups]
+        joined = self.tokenizer.encode_batch_fast([" " + " ".join(g) if ok else "" for g, ok in zip(groups, plain, strict=True)], add_special_tokens=False)
+        for group, ok, encoding in zip(groups, plain, joined, strict=True):
+            if ok:
+                ids = np.array(encoding.ids, self.dtype)
+                cuts = (np.flatnonzero(self.starts_with_space[ids]) * width).tolist()
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+            elif len(group) > 8:
+                out += self._encode_spaced(group[: len(group) // 2])
+                out += self._encode_spaced(group[len(group) // 2 :])
+            else:
+                out += [self._whole(" " + w) for w in group]
         return out
 
     def _whole(self, text: str) -> bytes:
