@@ -35,7 +35,7 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 #: A line is compared if it has a word of this pattern.
-MARK = r"(?i)licen[sc]|copyright|spdx|redistribut|public domain|permission is hereby|free software|creative commons|\bCC[ -](?:BY|0)|\bMIT\b|\bGPL"
+MARK = r"(?i:licen[sc]|copyright|spdx|redistribut|public domain|permission is hereby|free software|creative commons)|\bCC[ -]?(?:BY|0)\b|\bGPL"
 #: Least cosine of a match.
 LEAST = 0.6
 #: Files whose whole content is a license, by name.
