@@ -675,6 +675,12 @@ def display_width(spark, sf):
     return d.select("doc_id", X.string_len(F.concat(F.lit("\x1b[1m"), F.col("text"), F.lit("\x1b[0m"))).alias("width"))
 
 
+@query(None)
+def display_width_all(spark, sf):
+    """The width of every document; ``display_width`` keeps to those whose SQL can be ``length``."""
+    return table(spark, sf, "documents").select("doc_id", X.string_len(F.concat(F.lit("\x1b[1m"), F.col("text"), F.lit("\x1b[0m"))).alias("width"))
+
+
 @query(None)
 def half_block_image(spark, sf):
     k = F.col("p_partkey")
