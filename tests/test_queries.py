@@ -56,3 +56,25 @@ def test_display_width_measures_every_document(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["width"] for r in Q.QUERIES["display_width_all"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_half_blocks_draw_every_part(spark, tmp_path):
+    spark.range(1000).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    weight = lambda c: 0.2126 * c[0] + 0.7152 * c[1] + 0.0722 * c[2]
+    color = lambda c, k: f"\x1b[{k};2;{c[0]};{c[1]};{c[2]}m"
+    pixel = {(k // 420, k // 20 % 21, k % 20): (k % 256, k * 3 % 256, k * 7 % 256) for k in range(1000)}
+    assert len(pixel) == 1000
+    want = {}
+    for img, y, x in sorted(pixel):
+        if y % 2 == 0:
+            top, low = pixel[img, y, x], pixel.get((img, y + 1, x))
+            up, down = weight(top) > 25, low is not None and weight(low) > 25
+            if low is None:
+                cell = color(top, 38) + "▀\x1b[0m" if weight(top) >= 35 else " "
+            elif up and down:
+                cell = color(top, 38) + color(low, 48) + "▀\x1b[0m"
+            else:
+                cell = color(top, 38) + "▀\x1b[0m" if up else color(low, 38) + "▄\x1b[0m" if down else " "
+            want[img, y // 2] = want.get((img, y // 2), "") + cell
+    got = Q.QUERIES["half_block_image"](spark, str(tmp_path)).collect()
+    assert {(r["img"], r["line"]): r["text"] for r in got} == want and len(got) == len(want)
