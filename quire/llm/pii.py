@@ -30,6 +30,25 @@ def digits_of(match: Column) -> Column:
     return F.regexp_replace(match, "[^0-9]", "")
 
 
+#: The length of an IBAN and the countries that have it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BI BL CF CG CM DJ FR GA GF GP GQ GR IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """An IBAN of its country's length; of a country without a known one, the longest run up to the next IBAN."""
+    known = "|".join(rf"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items())
+    known = rf"(?:{known})(?![A-Za-z0-9])"
+    codes = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    other = rf"(?!{codes})[A-Z]{{2}}[0-9]{{2}}(?:\x20?(?!(?<![A-Za-z0-9]){known})[A-Z0-9]){{11,30}}+(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})"
+
+
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -72,7 +91,7 @@ KINDS = (
          r"\+[0-9][\x20().0-9-]+[0-9]",
          lambda m: F.length(digits_of(m)).between(8, 15), 0.6, r"\b(?:phone|tel|call|mobile|fax|telefon|teléfono|téléphone)\b", True),
     Kind("iban", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"),
-         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+         iban_pattern(),
          lambda m: mod97(F.regexp_replace(m, r"\x20", "")), 0.8, r"\b(?:iban|konto|account|cuenta|compte|bank)\b", False),
     Kind("ssn", lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"),
          r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",

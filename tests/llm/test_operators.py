@@ -191,6 +191,19 @@ def test_pii_edges(spark):
     assert masked == "*" * 11
 
 
+def test_ibans_before_upper_case_words(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"]
+    after = ["", " BIC: COBADEFF", " BIC COBADEFFXXX", " EUR 250", " AND MORE", " 12 34", ". X", ", DE"]
+    texts = [(f"IBAN: {n}{a}", [n]) for n in numbers for a in after]
+    texts += [(" ".join(numbers), numbers), ("ZZ12 KONTO IBAN " + numbers[1] + " EUR", [numbers[1]]), (numbers[0] + "X", []), (numbers[0][:-1], []), ("DE88370400440532013000 BIC", [])]
+    d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in PI.find_pii(d).collect():
+        text, want = texts[r["doc_id"]]
+        assert [s["match"] for s in r["iban"]] == want, text
+        assert all(text[s["start"] : s["end"]] == s["match"] for s in r["iban"])
+
+
+
 # --- 4
 
 
