@@ -405,6 +405,37 @@ def test_licenses(spark):
     assert by["e/one"][0] == "CC-BY-NC-4.0" and by["e/two"][0] == "GPL-3.0" and by["e/three"] == (None, None)
 
 
+def test_wrapped_notices(spark):
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."
+    free = (
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {0}General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    )
+    rest = (
+        "\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n"
+        "GNU {0}General Public License for more details.\n\nYou should have received a copy of the GNU {0}General Public License\nalong with this program.  If not, see <https://www.gnu.org/licenses/>."
+    )
+    marked = lambda t, m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n"))
+    notices = {"MPL-2.0": mpl} | {f"{k}GPL-3.0": (free + rest).format(w) for k, w in (("", ""), ("L", "Lesser "), ("A", "Affero "))}
+    for name, word, version in (("GPL-2.0", "", "2"), ("LGPL-2.1", "Lesser ", "2.1")):
+        notices[name] = (free + rest).format(word).replace("version 3", f"version {version}")
+    library = notices["LGPL-3.0"].replace("program", "library")
+    notices["Unlicense"] = "This is free and unencumbered software released into the public\ndomain."
+    rows = []
+    for name, t in notices.items():
+        glued = t.replace("\n\n", "\n")
+        forms = [t, marked(t, "#") + "\nimport os\nx = 1", "/*\n" + marked(t, " *") + "\n */\nint main() { return 0; }", marked(t, "//") + "\n\ncode", "code = 1\n" + marked(glued, "#"), t.replace("\n", "\r\n"), glued]
+        rows += [(f"{name}/{k}/x", f, name) for k, f in enumerate(forms)]
+    body = (LI._MIT.replace(", ", ",\n")).replace(": The", ":\n\nThe").replace(". THE", ".\n\nTHE")
+    rows.append(("whole/LICENSE", f"MIT License\n\nCopyright (c) 2020 A Person\n\n{body}\n", "MIT"))
+    rows.append(("library/x", library, "LGPL-3.0"))
+    rows.append(("prose/x", "Words of a software that is free\nwere printed in public, and no\ndomain of the house was sold.", None))
+    d = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: r["license"] for r in LI.scan_licenses(d, F.col("path")).collect()}
+    assert got == {p: name for p, _, name in rows}
+
+
+
 # --- 9
 
 
