@@ -361,25 +361,34 @@ def page_units(data: bytes) -> list[list[Unit]]:
     return out
 
 
+#: Characters of a page's grid at most; a larger page is an error, not cut.
+PAGE_CHARS = 20_000_000
+
+
 def grid(units: list[Unit], columns: int = 100, rows: int = 80) -> list[str]:
-    """A page as lines of characters; upright and level lines are drawn, text goes over them, blank edges are cut."""
+    """A page as lines of characters; upright and level lines are drawn, text goes over them, blank edges are cut.
+
+    The content alone sizes the grid. A page of more than ``PAGE_CHARS`` characters is an error.
+    """
     if not units:
         return []
     cw, ch = min(612 / columns, 4.0), min(792 / rows, 10.0)
-    right = max(max(u.x + (len(u.text) * cw if u.kind == "text" else 0), u.x2) for u in units)
     top = max(max(u.y, u.y2) for u in units)
-    n, m = max(1, int(-(-right // cw)) + 1), max(1, int(-(-top // ch)) + 1)
-    n, m = min(n, 2000), min(m, 2000)
-    cells = [[" "] * n for _ in range(m)]
+    m = max(1, int(-(-top // ch)) + 1)
+    cells: dict[int, dict[int, str]] = {}
+    drawn = 0
     place = lambda x, y: (int(x // cw), m - 1 - int(y // ch))
 
     def put(c: int, r: int, char: str) -> None:
-        if 0 <= r < m and 0 <= c < n:
-            cells[r][c] = char
+        if 0 <= r < m and c >= 0:
+            cells.setdefault(r, {})[c] = char
 
     for u in units:
         if u.kind == "line":
             (c, r), (c2, r2) = place(u.x, u.y), place(u.x2, u.y2)
+            drawn += max(abs(c - c2), abs(r - r2)) if c == c2 or r == r2 else 0
+            if drawn > PAGE_CHARS:
+                raise ValueError("page too large")
             if r == r2 and c != c2:
                 for k in range(min(c, c2), max(c, c2) + 1):
                     put(k, r, "─")
@@ -391,7 +400,12 @@ def grid(units: list[Unit], columns: int = 100, rows: int = 80) -> list[str]:
             c, r = place(u.x, u.y)
             for k, char in enumerate(u.text):
                 put(c + k, r, char)
-    lines = ["".join(x).rstrip() for x in cells]
+    if not cells:
+        return []
+    if sum(max(x) + 1 for x in cells.values()) + max(cells) - min(cells) > PAGE_CHARS:
+        raise ValueError("page too large")
+    rows_of = (cells.get(r, {}) for r in range(min(cells), max(cells) + 1))
+    lines = ["".join(x.get(c, " ") for c in range(max(x, default=-1) + 1)).rstrip() for x in rows_of]
     while lines and not lines[0]:
         lines.pop(0)
     while lines and not lines[-1]:

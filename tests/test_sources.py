@@ -141,3 +141,13 @@ def test_read_csv_and_files(spark, tmp_path):
 def test_capped_chunks(spark):
     d = spark.createDataFrame([("u", k, 4) for k in range(5)], "url string, ord int, size int")
     assert capped_chunks(d, 10).count() == 2
+
+
+def test_grid_keeps_long_runs_and_tall_pages():
+    text = "x" * 2500 + "end"
+    assert pdf.grid([pdf.Unit("text", 0, 0, text=text)]) == [text]
+    assert pdf.grid([pdf.Unit("text", 9000, 5, text="far")]) == [" " * 2250 + "far"]
+    tall = pdf.grid([pdf.Unit("text", 0, 5, text="low"), pdf.Unit("text", 0, 25_000, text="high")])
+    assert tall[0] == "high" and tall[-1] == "low" and len(tall) == int(25_000 // 9.9) + 1
+    with pytest.raises(ValueError):
+        pdf.grid([pdf.Unit("line", 0, 0, 1e9, 0)])
