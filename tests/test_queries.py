@@ -78,3 +78,11 @@ def test_half_blocks_draw_every_part(spark, tmp_path):
             want[img, y // 2] = want.get((img, y // 2), "") + cell
     got = Q.QUERIES["half_block_image"](spark, str(tmp_path)).collect()
     assert {(r["img"], r["line"]): r["text"] for r in got} == want and len(got) == len(want)
+
+
+def test_outline_has_the_headings_of_texts(spark, tmp_path):
+    texts = ["plain words", "## Part 1.2\n\ntext\n\nUnder\n=====\n\nmore", "a\n\n### C-3 (x)\n\n```\n# code\n```\n\nLow\n---\n"]
+    want = [[(1, 1, "s")], [(1, 1, "s"), (3, 2, "Part 1.2"), (7, 1, "Under")], [(1, 1, "s"), (5, 3, "C-3 (x)"), (11, 2, "Low")]]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q.QUERIES["md_outline"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["line"], r["level"], r["title"]) for r in got) == [(k, *h) for k, hs in enumerate(want) for h in hs]
