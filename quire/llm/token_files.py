@@ -3,39 +3,84 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.common import text_of, written
 from quire.llm.sstable import Reader, Writer, id_key, key_id
 
 #: Words with their space whose ids a worker remembers at most.
-REMEMBERED = 400_000
-#: Characters of text whose new words are encoded together.
-CHUNK_CHARS = 2 << 20
+REMEMBERED = 1_000_000
+#: Characters of text that are cut and encoded together.
+CHUNK_CHARS = 8 << 20
 #: Words in one call of the library.
-CALL_WORDS = 200
+CALL_WORDS = 64
+#: Words whose ids are gathered at once.
+GATHER_WORDS = 1 << 20
+
+#: White space but newlines, with the separators that the regular expressions of Python or the library take for it.
+_BLANK = r"[\t\v\f\r\x1c-\x20\x{85}\p{Z}]"
+#: White space whose pre-tokens aren't simply: a lone newline, and a space with the word after it.
+_IRREGULAR = rf"{_BLANK}[\n ]|[\n ]{_BLANK}|\n\n\n|\n\n\z"
+
+
+class Ragged:
+    """Arrays of ids, end to end."""
+
+    def __init__(self, dtype: str):
+        self.ids = np.zeros(1 << 16, dtype)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.rows = 0
+
+    def extend(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used = int(self.ends[self.rows])
+        self.ids = self._room(self.ids, used + len(ids))
+        self.ends = self._room(self.ends, self.rows + 1 + len(lengths))
+        self.ids[used : used + len(ids)] = ids
+        self.ends[self.rows + 1 : self.rows + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.rows += len(lengths)
+
+    @staticmethod
+    def _room(held: np.ndarray, needed: int) -> np.ndarray:
+        if needed <= len(held):
+            return held
+        grown = np.zeros(max(needed, 2 * len(held)), held.dtype)
+        grown[: len(held)] = held
+        return grown
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one after another, and the length of each."""
+        starts = self.ends[rows]
+        lengths = self.ends[rows + 1] - starts
+        before = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))], lengths
 
 
 class Encoder:
     """Ids by the tokenizers library, which sees each distinct word once while it is remembered.
 
     Byte-level pre-tokens never go on over a space that follows other than
-    white space, so a text may be cut before each such space, and its ids are
-    those of its words. For a tokenizer of another kind, whole texts go to the
-    library.
+    white space, nor over one or two newlines between words, so a text may be
+    cut before each of those, and its ids are those of its words. A word stands
+    for itself with a space before it or, where it starts with a newline, for
+    itself. For a tokenizer of another kind, whole texts go to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
@@ -46,12 +91,14 @@ class Encoder:
             and spec["post_processor"] is None and len(specials) == len(spec["added_tokens"])
             and not any(any(c.isspace() for c in t["content"]) for t in specials)
         )
-        self._odd = re.compile("|".join([r"\x1e\x1e", r"\n[\n\x1e]", r"[^\S\n\x1e]", *(re.escape(t["content"]) for t in specials)]))
+        #: what makes a word one that the library must see by itself: white space, and special strings
+        self._odd = "|".join([r"^\n?$", r"[^\n]\n|\n\n", _BLANK, *(re.escape(t["content"]) for t in specials)])
+        # a special string ends what stands before it, as the end of the text does
+        self._irregular = "|".join([_IRREGULAR, *("\n\n" + re.escape(t["content"]) for t in specials)])
         texts = {k: t for t, k in self.tokenizer.get_vocab().items()}
-        self.starts_with_space = np.array([texts.get(k, "").startswith("\u0120") for k in range(max(texts) + 1)])
+        self.starts_word = np.array([texts.get(k, "").startswith(("\u0120", "\u010a")) for k in range(max(texts) + 1)])
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self._forget()
 
     _held: dict[str, Encoder] = {}
 
@@ -62,49 +109,77 @@ class Encoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    _irregular = re.compile(r"\s ")
-    _cut = re.compile(r"(?<!\s) ")
+    _cut = re.compile(r"(?<!\s) (?!\n)")
 
-    def _encode_spaced(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a space before it.
+    def _forget(self) -> None:
+        #: rows of ``table`` by word
+        self.known: dict[str, int] = {}
+        self.table = Ragged(self.dtype)
+
+    def _learn(self, words: pa.Array) -> None:
+        """Enters the ids of words.
 
         Words without further white space are joined; in their ids, a token
-        that starts with a space starts a word.
+        that starts with a space or newline starts a word.
         """
-        out: list[bytes] = []
-        width = np.dtype(self.dtype).itemsize
-        groups = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
-        plain = [not self._odd.search("\x1e".join(["", *g, ""])) for g in groups]
-        joined = self.tokenizer.encode_batch_fast([" " + " ".join(g) if ok else "" for g, ok in zip(groups, plain, strict=True)], add_special_tokens=False)
-        for group, ok, encoding in zip(groups, plain, joined, strict=True):
-            if ok:
-                ids = np.array(encoding.ids, self.dtype)
-                cuts = (np.flatnonzero(self.starts_with_space[ids]) * width).tolist()
-                data = ids.tobytes()
-                out += [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
-            elif len(group) > 8:
-                out += self._encode_spaced(group[: len(group) // 2])
-                out += self._encode_spaced(group[len(group) // 2 :])
-            else:
-                out += [self._whole(" " + w) for w in group]
-        return out
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        odd = pc.match_substring_regex(words, self._odd)
+        plain, apart = words.filter(pc.invert(odd)).to_pylist(), words.filter(odd).to_pylist()
+        groups = [(" " + " ".join(plain[i : i + CALL_WORDS])).replace(" \n", "\n") for i in range(0, len(plain), CALL_WORDS)]
+        ids = np.concatenate([np.zeros(0, self.dtype), *self._ids(groups)])
+        cuts = np.flatnonzero(self.starts_word[ids])
+        if len(cuts) != len(plain):
+            raise ValueError("not every word has one token that starts it")
+        own = self._ids([w if w.startswith("\n") else " " + w for w in apart])
+        self.known.update(zip(plain + apart, range(self.table.rows, self.table.rows + len(words)), strict=True))
+        self.table.extend(np.concatenate([ids, *own]), np.concatenate([np.diff(np.r_[cuts, len(ids)]), np.array([*map(len, own)], np.int64)]))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed."""
         if not self.by_word:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.bare) + len(self.spaced) > REMEMBERED:
-            self.bare, self.spaced = {}, {}
-        cut = [self._cut.split(t) if self._irregular.search(t) else t.split(" ") for t in texts]
-        missing = list({w[0] for w in cut} - self.bare.keys())
-        self.bare.update(zip(missing, map(self._whole, missing), strict=True))
-        missing = list(set().union(*(w[1:] for w in cut)) - self.spaced.keys())
-        if missing:
-            self.spaced.update(zip(missing, self._encode_spaced(missing), strict=True))
-        return [self.bare[w[0]] + b"".join(map(self.spaced.__getitem__, w[1:])) for w in cut]
+            return [x.tobytes() for x in self._ids(texts)]
+        if not texts:
+            return []
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        column = pa.array(texts, pa.large_string())
+        irregular = pc.match_substring_regex(column, self._irregular).to_pylist()
+        if any(irregular):
+            cut = pa.array([self._cut.split(t) if odd else t.replace("\n", " \n").split(" ") for t, odd in zip(texts, irregular, strict=True)], pa.large_list(pa.large_string()))
+        else:
+            cut = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        words = cut.flatten()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        places = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(places < 0)
+        if len(missing):
+            self._learn(coded.dictionary.take(pa.array(missing)))
+            places[missing] = np.fromiter((self.known[distinct[k]] for k in missing.tolist()), np.int64, len(missing))
+        codes = coded.indices.to_numpy()
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        # a text's first word follows no space: its ids stand in a table of their own
+        firsts = words.take(pa.array(starts[:-1])).to_pylist()
+        return [b"".join([head, *rest]) for head, rest in zip(self._ids(firsts), self._gathered(places, codes, starts), strict=True)]
+
+    def _gathered(self, places: np.ndarray, codes: np.ndarray, starts: np.ndarray):
+        """The packed ids of each text without its first word, in parts."""
+        text = 0
+        while text < len(starts) - 1:
+            # texts whose words fit together; a longer one goes by itself, in parts
+            upto = max(text + 1, int(np.searchsorted(starts, starts[text] + GATHER_WORDS, "right")) - 1)
+            if upto == text + 1:
+                rows = places[codes[starts[text] + 1 : starts[upto]]]
+                yield [self.table.gather(rows[k : k + GATHER_WORDS])[0].tobytes() for k in range(0, len(rows), GATHER_WORDS)]
+            else:
+                ids, lengths = self.table.gather(places[codes[starts[text] : starts[upto]]])
+                ends = np.r_[0, np.cumsum(lengths)]
+                first = starts[text:upto] - starts[text]
+                for a, b in zip(ends[first + 1].tolist(), ends[starts[text + 1 : upto + 1] - starts[text]].tolist(), strict=True):
+                    yield [ids[a:b].tobytes()]
+            text = upto
 
 
 def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
@@ -113,10 +188,13 @@ def write_token_shards(docs: DataFrame, folder: str, tokenizer_path: str, id_col
     Returns the manifest, already computed: shard, path, docs, tokens and
     start, the tokens in all shards before. Documents are dealt by ranges of
     id, with a hash of the text and the row's place where ids tie, so that many
-    equal ids make no large shard. Null ids come first. Null and empty texts
-    have the end id alone. ``folder`` is shared; a task that runs twice writes
+    equal ids make no large shard. Ids are integers of at most 64 bits; others
+    are an error. Null ids come first. Null and empty texts have the end id
+    alone. ``folder`` is shared; a task that runs twice writes
     two files, and the manifest names one. An empty table has no shards.
     """
+    if not isinstance(docs.select(id_col).schema[0].dataType, T.IntegralType | T.NullType):
+        raise TypeError(f"{id_col} isn't an integer column")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("rid")]
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("rid"))
