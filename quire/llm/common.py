@@ -64,6 +64,24 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of ``df``, whatever its own are called."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` for a select, also where names hold dots."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

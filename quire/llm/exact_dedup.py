@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WS_RUN, block_bits, small, text_of, written
+from quire.llm.common import WS_RUN, block_bits, free_names, named_columns, small, text_of, written
 from quire.llm.quotient import CountingQuotientFilter
 
 #: Quotient bits below a segment: a run then holds a few remainders.
@@ -30,7 +30,7 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
     merged. A fingerprint counts once per partition on its way, however often it
     occurs there.
     """
-    bits = min(20, block_bits(rows, SEGMENT_ROWS))
+    bits = block_bits(rows, SEGMENT_ROWS)
     quotient_bits = bits + RUN_BITS
 
     def build(batches):
@@ -60,8 +60,8 @@ def repeated_fingerprints(prints: DataFrame, rows: int) -> DataFrame:
         number = np.uint64(segment.column("segment")[0].as_py())
         filters = []
         for quotients, remainders, counts in zip(*(segment.column(c).to_pylist() for c in ("quotients", "remainders", "counts")), strict=True):
-            runs = np.bincount(np.frombuffer(quotients, "<u2"), minlength=1 << RUN_BITS)
             # here the quotient is RUN_BITS wide, and the remainder moves up to fill 64 bits with it
+            runs = np.frombuffer(quotients, "<u2").astype(np.uint64)
             filters.append(CountingQuotientFilter(RUN_BITS, runs, np.frombuffer(remainders, "<u8") << np.uint64(bits), np.frombuffer(counts, "<i8")))
         merged = filters[0].merge(*filters[1:])
         again = merged.counts > 1
@@ -116,20 +116,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, all columns as they are.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, all columns as they are, whatever their names.
 
     Repeated rows that tie for their group's place leave one row.
     """
     decided = written(exact_dedup(docs, id_col, text_col), "decided")
-    gone = decided.filter("not kept").select(F.col("doc_id").alias("_q_id"), F.col("text_sha256").alias("_q_sha"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_q_tied"))
+    own, gone_id, gone_sha, tie = free_names(docs, "sha", "gone_id", "gone_sha", "tied")
+    gone = decided.filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias(tie))
     gone = written(gone.distinct(), "gone")
-    keyed = docs.withColumn("_q_sha", F.sha2(normalised(text_col), 256))
-    match = keyed[id_col].eqNullSafe(F.col("_q_gone_id")) & (F.col("_q_sha") == F.col("_q_gone_sha"))
-    renamed = gone.withColumnRenamed("_q_id", "_q_gone_id").withColumnRenamed("_q_sha", "_q_gone_sha")
-    left = keyed.join(small(renamed.filter("not _q_tied"), 120), match, "left_anti")
-    if gone.filter("_q_tied").isEmpty():
-        return left.select(docs.columns)
-    tied = small(renamed.filter("_q_tied"), 120)
+    keyed = docs.withColumn(own, F.sha2(normalised(text_col), 256))
+    match = keyed[id_col].eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_sha))
+    left = keyed.join(small(gone.filter(~F.col(tie)), 120), match, "left_anti")
+    tied = gone.filter(F.col(tie))
+    if tied.isEmpty():
+        return left.select(named_columns(docs))
+    tied = small(tied, 120)
     single = left.join(tied, match, "left_anti")
-    once = left.join(tied, match, "left_semi").dropDuplicates([id_col, "_q_sha"])
-    return single.unionByName(once).select(docs.columns)
+    once = left.join(tied, match, "left_semi").dropDuplicates([id_col, own])
+    return single.unionByName(once).select(named_columns(docs))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BROADCAST_BYTES, small, text_of, written
+from quire.llm.common import BROADCAST_BYTES, free_names, named_columns, small, text_of, written
 
 #: Words of a shingle.
 WIDTH = 5
@@ -372,15 +372,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     words, one stays at most.
     """
     decided = near_dedup(docs, id_col, text_col, threshold)
+    own, gone_id, gone_text, left_over = free_names(docs, "fp", "gone_id", "gone_text", "kept")
     kept = F.sum(F.col("kept").cast("int"))
     rows = decided.groupBy("doc_id", "text_fp").agg(kept.alias("kept"), F.count("*").alias("rows")).filter("kept < rows")
-    rows = written(rows.select(F.col("doc_id").alias("_q_id"), F.col("text_fp").alias("_q_text"), F.col("kept").alias("_q_kept")), "gone")
-    keyed = docs.withColumn("_q_fp", F.xxhash64(text_of(text_col)))
-    same = keyed[id_col].eqNullSafe(F.col("_q_id")) & (F.col("_q_fp") == F.col("_q_text"))
-    left = keyed.join(small(rows.filter("_q_kept = 0"), 32), same, "left_anti")
-    tied = rows.filter("_q_kept > 0")
+    rows = written(rows.select(F.col("doc_id").alias(gone_id), F.col("text_fp").alias(gone_text), F.col("kept").alias(left_over)), "gone")
+    keyed = docs.withColumn(own, F.xxhash64(text_of(text_col)))
+    same = keyed[id_col].eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_text))
+    left = keyed.join(small(rows.filter(F.col(left_over) == 0), 32), same, "left_anti")
+    tied = rows.filter(F.col(left_over) > 0)
     if tied.isEmpty():
-        return left.select(docs.columns)
+        return left.select(named_columns(docs))
     tied = small(tied, 32)
     single = left.join(tied, same, "left_anti")
-    return single.unionByName(left.join(tied, same, "left_semi").dropDuplicates([id_col, "_q_fp"])).select(docs.columns)
+    return single.unionByName(left.join(tied, same, "left_semi").dropDuplicates([id_col, own])).select(named_columns(docs))

@@ -6,7 +6,7 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +37,10 @@ class Bins:
         """(bin, offset) of a piece: the tightest bin with room that has no conflict, else a new one.
 
         The search starts at the least residual that fits and goes on to the
-        next until a bin is compatible.
+        next until a bin is compatible. A piece of length 0 repeats nothing and
+        is of no cluster.
         """
-        bit, group = 1 << source, (1 << cluster) if cluster >= 0 else 0
+        bit, group = 1 << source, (1 << cluster) if size and cluster >= 0 else 0
         for at in range(bisect_left(self.order, (size, -1)), len(self.order)):
             room, k = self.order[at]
             if not self.clusters[k] & group and not self.planes[k][-1] & bit:
@@ -92,8 +93,9 @@ def pack_documents(
     Returns a row per piece: ``doc_id``, ``source``, ``piece``, ``start`` (its
     first word in the document), ``length``, ``bin_id``, ``bin_start`` and
     ``bin_used``. Every document has a piece: a null or empty text one of
-    length 0. A null source is a source. Repeated rows are of one cluster. Null
-    ids are packed like others. An empty table gives an empty result; other
+    length 0, which is of no cluster but counts for its source. A null source is a source. Repeated
+    rows are of one cluster. Null ids are packed like others, and ids come back
+    in their own type. An empty table gives an empty result; other
     columns aren't read.
 
     Documents are dealt at random into shards of a few thousand; bins don't
@@ -110,13 +112,14 @@ def pack_documents(
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
-        pdf = pdf.sort_values(["size", "rid"], ascending=[False, True], kind="stable")
+    def run(shard: pa.Table) -> pa.Table:
+        number = shard.column("shard")[0].as_py()
+        # ids stay in Arrow: a null among them must not turn the others to floats
+        shard = shard.sort_by([("size", "descending"), ("rid", "ascending")])
         out: list[tuple] = []
         tails: list[tuple] = []
         n = 0
-        for row, full in enumerate(pdf["size"].tolist()):
+        for row, full in enumerate(shard.column("size").to_pylist()):
             whole = max(0, -(-full // capacity) - 1)
             for k in range(whole):
                 out.append((row, k, k * capacity, capacity, n, 0, capacity))
@@ -124,19 +127,20 @@ def pack_documents(
             tails.append((row, whole, whole * capacity, full - whole * capacity))
         # the tails of long documents join the order by their own size
         tails.sort(key=lambda t: -t[3])
-        sources, clusters = pdf["source"].tolist(), pdf["cluster"].tolist()
+        sources, clusters = shard.column("source").to_pylist(), shard.column("cluster").to_pylist()
         placed = pack(((t[3], sources[t[0]], clusters[t[0]]) for t in tails), capacity, per_source)
         used: Counter = Counter()
         for (k, _), t in zip(placed, tails, strict=True):
             used[k] += t[3]
         out += [(*t, n + k, start, used[k]) for t, (k, start) in zip(tails, placed, strict=True)]
-        table = pd.DataFrame(out, columns=["row", "piece", "start", "length", "bin_id", "bin_start", "bin_used"])
-        table["bin_id"] += shard << 32
-        ids = pdf[["doc_id", "source"]].iloc[table.pop("row")].reset_index(drop=True)
-        return pd.concat([ids, table], axis=1)
+        row, piece, start, length, bins, bin_start, bin_used = (pa.array(x, pa.int64()) for x in zip(*out, strict=True))
+        kept = shard.select(["doc_id", "source"]).take(row)
+        numbers = pa.array([(number << 32) + k for k in bins.to_pylist()], pa.int64())
+        names = ["doc_id", "source", "piece", "start", "length", "bin_id", "bin_start", "bin_used"]
+        return pa.table([*kept.columns, piece, start, length, numbers, bin_start, bin_used], names)
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, source {rows.schema['source'].dataType.simpleString()}, piece long, start long, length long, bin_id long, bin_start long, bin_used long"
-    return rows.groupBy("shard").applyInPandas(run, schema)
+    return rows.groupBy("shard").applyInArrow(run, schema)
 
 
 def bin_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

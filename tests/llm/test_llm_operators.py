@@ -31,6 +31,8 @@ BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside.
 CLASH = "fp long, norm string, rid long, key string, h long, kept boolean, node long, size int, words string"
+#: Names that they give to columns beside those of a table, and one with a dot.
+CLASH += ", _sha string, _gone_id string, _fp string, __FP string, _tied int, `a.b` int"
 
 
 def odd_texts():
@@ -51,7 +53,7 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows):
-    clash = [None, "n", 1, "k", 2, True, 3, 4, "w"]
+    clash = [None, "n", 1, "k", 2, True, 3, 4, "w", "x", "y", "z", None, 5, 6]
     return spark.createDataFrame([(*r, *clash) for r in rows], f"doc_id long, text string, source string, {CLASH}").repartition(3)
 
 
@@ -86,6 +88,10 @@ def test_filters_merge_without_loss(a, b):
     want = Counter(spread(a + b).tolist())
     assert dict(zip(merged.fingerprints().tolist(), merged.counts.tolist(), strict=True)) == want
     assert all(merged.count(k) == n for k, n in want.items()) and merged.count(12345) == 0
+    many = CountingQuotientFilter.build(spread(a), 6).merge(*[CountingQuotientFilter.build(spread([x]), 6) for x in b])
+    assert (many.fingerprints() == merged.fingerprints()).all() and (many.counts == merged.counts).all()
+    parts = list(merged.segments(4))
+    assert sum(len(p[1]) for p in parts) == len(want) and [p[0] for p in parts] == sorted({k >> 60 for k in want})
 
 
 def test_exact_dedup(docs, rows):
@@ -103,6 +109,8 @@ def test_exact_dedup(docs, rows):
     kept = Counter(r["text_sha256"] for r in got if r["kept"])
     assert set(kept.values()) == {1} and len(kept) == len(groups)
     left = ED.keep_first(docs)
+    whole = {tuple(r) for r in docs.collect()}
+    assert all(tuple(r) in whole for r in left.collect())
     assert left.columns == docs.columns and Counter(norm(r["text"]) for r in left.collect()) == Counter(groups.keys())
 
 
@@ -121,13 +129,15 @@ def test_packing_matches_plain_search(pieces):
     bins = []
     want = []
     for size, source, cluster in pieces:
-        fit = [(10 - b["used"], k) for k, b in enumerate(bins) if 10 - b["used"] >= size and b["used"] < 10 and cluster not in b["clusters"] and b["sources"][source] < 3]
+        free = lambda b: (not size or cluster not in b["clusters"]) and b["sources"][source] < 3
+        fit = [(10 - b["used"], k) for k, b in enumerate(bins) if 10 - b["used"] >= size and b["used"] < 10 and free(b)]
         k = min(fit)[1] if fit else len(bins)
         if not fit:
             bins.append({"used": 0, "clusters": set(), "sources": Counter()})
         want.append((k, bins[k]["used"]))
         bins[k]["used"] += size
-        bins[k]["clusters"].add(cluster)
+        if size:
+            bins[k]["clusters"].add(cluster)
         bins[k]["sources"][source] += 1
     assert PK.pack(pieces, 10, 3) == want
 
@@ -154,6 +164,18 @@ def test_packed_documents(docs, rows):
         assert len(ids) <= 2  # the row of its own text, and one of the repeated rows
 
 
+def test_packing_keeps_ids_whole(spark):
+    ids = [None, 2**60 + 1, 2**60 + 3, 2**60 + 5, -(2**62) - 1, None]
+    d = spark.createDataFrame([(i, None if k % 2 else "s", "w " * k) for k, i in enumerate(ids)], "doc_id long, source string, text string").coalesce(1)
+    assert Counter(r["doc_id"] for r in PK.pack_documents(d).collect()) == Counter(ids)
+
+
+def test_empty_pieces_are_of_no_cluster(spark):
+    rows = [(k, "s", None if k % 2 else " ") for k in range(40)] + [(100, "s", "a b c")]
+    got = PK.pack_documents(spark.createDataFrame(rows, "doc_id long, source string, text string"), capacity=10, per_source=50).collect()
+    assert len(got) == 41 and len({r["bin_id"] for r in got}) == 1 and {r["bin_used"] for r in got} == {3}
+
+
 # --- 3
 
 
@@ -287,7 +309,8 @@ def check_near(got, rows, percent):
 def test_near_dedup(docs, rows):
     check_near(ND.near_dedup(docs, threshold=0.85).collect(), rows, 85)
     left = ND.keep_one(docs, threshold=0.85)
-    assert left.columns == docs.columns
+    whole = {tuple(r) for r in docs.collect()}
+    assert left.columns == docs.columns and all(tuple(r) in whole for r in left.collect())
 
 
 def test_near_dedup_of_a_large_group(spark):
