@@ -20,6 +20,10 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Pairs whose signatures differ in no more symbols than this all meet: were every
 #: chunk to have more errors than it allows, there would be more in all.
 GUARANTEED = CHUNKS * (CHUNK_ERRORS + 1) - 1
+#: Bits of a symbol.
+SYMBOL_BITS = 16
+#: Nodes of a center that a task compares with as many others of it.
+BLOCK_NODES = 1000
 #: Shingles whose signatures are computed together; more would leave the processor's cache.
 TOGETHER = 40_000
 #: Words whose hashes a worker remembers at most.
@@ -74,9 +78,9 @@ def set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(n, symbols): the least of each set's hashes under each of ``SYMBOLS`` permutations of 32 bits.
+    """(n, symbols): of the least of each set's hashes under each of ``SYMBOLS`` permutations, the low ``SYMBOL_BITS`` bits.
 
-    The permutations work on either half of a hash in turn, over the hashes of
+    The permutations, of 32 bits, work on either half of a hash in turn, over the hashes of
     all sets together; no set is empty.
     """
     if not sets:
@@ -93,7 +97,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         np.multiply(room, np.uint32(0x2C1B3C6D), out=room)
         np.bitwise_xor(room, _OFFSETS[k], out=room)
         out[:, k] = np.minimum.reduceat(room, starts)
-    return out
+    return out & np.uint64((1 << SYMBOL_BITS) - 1)
 
 
 _SUBSETS = np.array(list(combinations(range(CHUNK_SYMBOLS), CHUNK_SYMBOLS - CHUNK_ERRORS)))
@@ -241,23 +245,14 @@ def with_centers(buckets: DataFrame, facts: DataFrame) -> DataFrame:
     return pair.unionByName(more.select("key", "node").join(best, "key"))
 
 
-def packed_counts(values: Column) -> Column:
-    """array<long> of counts of hashes by ``GROUPS`` classes, eight to a long, each at most 255."""
-    counts = [_class_size(values, g) for g in range(GROUPS)]
-    longs = [sum((F.shiftleft(counts[k + j], 8 * j) for j in range(1, 8)), counts[k]) for k in range(0, GROUPS, 8)]
-    return F.array(*longs)
+def class_counts(values: Column) -> Column:
+    """array<int>: how many hashes fall in each of ``GROUPS`` classes."""
+    in_class = lambda g: lambda x: F.pmod(x, F.lit(GROUPS)) == g
+    return F.array(*[F.size(F.filter(values, in_class(g))) for g in range(GROUPS)])
 
 
-def _class_size(values: Column, g: int) -> Column:
-    return F.least(F.size(F.filter(values, lambda x: F.pmod(x, F.lit(GROUPS)) == g)), F.lit(255)).cast("long")
-
-
-def _count(longs: str, g: int) -> Column:
-    return F.shiftrightunsigned(F.col(longs)[g // 8], 8 * (g % 8)).bitwiseAND(F.lit(255))
-
-
-def strays(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """(center, node, size, miss, extra) of compared nodes, in counts by class of hash.
+def strays(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(center, node, size, miss, extra) of pairs (center, node), in counts by class of hash.
 
     ``miss`` are the center's shingles that the node lacks, ``extra`` those of
     its own beside the center's that another node of the center has too. Of the
@@ -265,25 +260,47 @@ def strays(placed: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     its size less the greater miss of each class. Beside it they share at most
     the smaller extra of each class.
     """
-    pairs = placed.select("center", "node").distinct()
-    both = found.select(F.col("a").alias("center"), F.col("b").alias("node")).unionAll(found.select(F.col("b").alias("center"), F.col("a").alias("node")))
-    known = pairs.join(both, ["center", "node"], "left_semi")
-    own = known.join(sets.select("node", F.col("shingles").alias("own")), "node").join(sets.select(F.col("node").alias("center"), "shingles"), "center")
+    own = pairs.join(sets.select("node", F.col("shingles").alias("own")), "node").join(sets.select(F.col("node").alias("center"), "shingles"), "center")
     known = written(
-        own.select("center", "node", F.size("shingles").alias("size"), packed_counts(F.array_except("shingles", "own")).alias("miss"), F.array_except("own", "shingles").alias("others")),
+        own.select("center", "node", F.size("shingles").alias("size"), class_counts(F.array_except("shingles", "own")).alias("miss"), F.array_except("own", "shingles").alias("others")),
         "known",
     )
     extra = known.select("center", "node", F.explode("others").alias("x"))
     again = extra.groupBy("center", "x").agg(F.count("*").alias("n")).filter("n > 1").select("center", "x")
-    counts = [F.count_if(F.pmod("x", F.lit(GROUPS)) == g) for g in range(GROUPS)]
-    longs = [sum((F.shiftleft(counts[k + j], 8 * j) for j in range(1, 8)), counts[k]) for k in range(0, GROUPS, 8)]
-    # a count that doesn't fit its byte bounds nothing; its node is then compared without a bound
-    shared = extra.join(again, ["center", "x"]).groupBy("center", "node").agg(F.array(*longs).alias("extra"), (F.greatest(*counts) > 255).alias("over"))
-    none = F.array(*[F.lit(0).cast("long")] * (GROUPS // 8))
-    centers = known.select("center", "size").distinct().select("center", F.col("center").alias("node"), "size", none.alias("miss"), none.alias("extra"))
-    known = known.join(shared, ["center", "node"], "left").filter(~F.coalesce("over", F.lit(False)))
-    known = known.select("center", "node", "size", "miss", F.coalesce("extra", none).alias("extra"))
-    return written(known.unionByName(centers), "strays")
+    counts = [F.count_if(F.pmod("x", F.lit(GROUPS)) == g).cast("int") for g in range(GROUPS)]
+    shared = extra.join(again, ["center", "x"]).groupBy("center", "node").agg(F.array(*counts).alias("extra"))
+    none = F.array_repeat(F.lit(0), GROUPS)
+    return known.join(shared, ["center", "node"], "left").select("center", "node", "size", "miss", F.coalesce("extra", none).alias("extra"))
+
+
+def open_pairs(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that have a center in common and aren't ruled out by it.
+
+    ``placed`` has a row per center and node: center, node, root, n, bits and
+    what ``strays`` found. What a node shares with any other of its center is
+    bounded by itself alone, so that nodes that can reach none go before any
+    are paired. The others are paired in blocks of ``BLOCK_NODES``: a task has
+    two blocks at most, however many nodes a center has.
+    """
+    most = F.least(F.col("n"), F.col("size") + sum(F.col("extra")[g] - F.col("miss")[g] for g in range(GROUPS)))
+    # another node has as many shingles as the center's least, and as many as the threshold asks for
+    smallest = placed.groupBy("center").agg(F.min("n").alias("smallest"))
+    able = placed.withColumn("most", most).join(smallest, "center")
+    able = able.filter(100 * F.col("most") >= percent * (F.col("n") + F.greatest(F.col("smallest"), F.ceil(percent * F.col("n") / 100)) - F.col("most")))
+    able = written(able.drop("smallest", "most"), "able")
+    mixed = able.groupBy("center").agg(F.count("*").alias("nodes"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    able = able.join(small(written(mixed.select("center", "nodes"), "mixed"), 24), "center")
+    able = able.withColumn("blocks", F.ceil(F.col("nodes") / BLOCK_NODES).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    fields = ["node", "root", "n", "bits", "size", "miss", "extra"]
+    left = able.select("center", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *[F.col(x).alias(f"{x}_a") for x in fields])
+    right = able.select("center", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), *[F.col(x).alias(f"{x}_b") for x in fields if x != "size"])
+    bound = F.col("size_a") + sum(F.least(F.col("extra_a")[g], F.col("extra_b")[g]) - F.greatest(F.col("miss_a")[g], F.col("miss_b")[g]) for g in range(GROUPS))
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    once = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
+    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= GUARANTEED
+    reach = 100 * bound >= percent * (F.col("n_a") + F.col("n_b") - bound)
+    met = left.join(right, ["center", "i", "j"]).filter(once & (F.col("root_a") != F.col("root_b")) & sizes & near & reach)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = WIDTH) -> DataFrame:
@@ -303,12 +320,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result; other columns aren't read.
 
     Equal sets are one node. Of each node, signature chunks with the allowed
-    errors left out are the keys under which it can meet others. In a bucket of
-    nodes with one key all are compared to its center, not to each other. What
-    that joins is one component. Two nodes of different components that share a
-    bucket are compared only if what they share with the center, and of the
+    errors left out are the keys under which it can meet others; all pairs
+    whose signatures differ in ``GUARANTEED`` symbols or fewer do. In a bucket
+    of nodes with one key all are compared to its center, not to each other.
+    What that joins is one component. Two nodes of different components that
+    share a center are compared only if what they share with it, and of the
     rest what others have too, leaves them a chance; so a large group of copies
-    costs its size, and no link is lost.
+    costs its size, and no link of such pairs is lost.
     """
     rows = written(digest(docs, id_col, text_col, width), "digest")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
@@ -322,7 +340,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = written(with_centers(met, facts), "buckets")
     percent = round(100 * threshold)
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    bits = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= bit_limit(threshold)
+    # each bit is of another symbol: where more differ, the signatures are farther apart than what is searched
+    bits = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) <= GUARANTEED
 
     pairs = buckets.filter("node <> center").select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct()
     pairs = pairs.join(facts.toDF("a", "na", "ba"), "a").join(facts.toDF("b", "nb", "bb"), "b").filter(sizes & bits).select("a", "b")
@@ -336,16 +355,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
     mixed = small(written(mixed.filter("low <> high and size > 2").select("key"), "mixed"), 8)
-    placed = written(placed.join(mixed, "key", "left_semi"), "placed")
+    # all were compared with the center; one center often serves many keys
+    placed = written(placed.filter("node <> center").join(mixed, "key", "left_semi").select("center", "node", "root").distinct(), "placed")
     if not placed.isEmpty():
-        stray = small(strays(placed, found, sets), 64)
-        placed = placed.join(facts, "node").join(stray, ["center", "node"], "left").select("key", "node", "root", "n", "bits", "size", "miss", "extra")
-        left, right = placed.toDF("key", "a", "ra", "na", "ba", "ca", "ma", "ea"), placed.toDF("key", "b", "rb", "nb", "bb", "cb", "mb", "eb")
-        bound = F.col("ca") + sum(F.least(_count("ea", g), _count("eb", g)) - F.greatest(_count("ma", g), _count("mb", g)) for g in range(GROUPS))
-        reach = F.col("ca").isNull() | F.col("cb").isNull() | (100 * bound >= percent * (F.col("na") + F.col("nb") - bound))
-        alike = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & sizes & bits & reach
-        more = left.join(right, (left["key"] == right["key"]) & alike).select("a", "b").distinct()
-        more = more.join(small(found.select("a", "b"), 16), ["a", "b"], "left_anti")
+        stray = written(strays(placed.select("center", "node"), sets), "strays")
+        more = open_pairs(placed.join(facts, "node").join(stray, ["center", "node"]), percent)
+        more = written(more.join(small(found.select("a", "b"), 16), ["a", "b"], "left_anti"), "more")
         new = written(compared(more, sets).filter(similar(threshold)).select("a", "b"), "links")
         if not new.isEmpty():
             roots = small(written(components(links.unionAll(new)), "roots"), 16)
@@ -359,12 +374,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return full.unionAll(alone)
 
 
-def bit_limit(threshold: float) -> int:
-    """How many of the signature's low bits may differ: six standard deviations over what the threshold makes likely."""
-    p = (1 - threshold) / 2
-    return int(np.ceil(SYMBOLS * p + 6 * np.sqrt(SYMBOLS * p * (1 - p))))
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that ``near_dedup`` keeps, all columns as they are.
 

@@ -333,6 +333,23 @@ def test_near_dedup_of_a_large_group(spark):
     check_near(ND.near_dedup(d, threshold=0.85).collect(), rows, 85)
 
 
+def test_near_dedup_of_templated_pages(spark, monkeypatch):
+    """Pages with words in common that keys can't tell from copies, some of them linked, in blocks of few nodes."""
+    rng = random.Random(8)
+    base = [f"t{k}" for k in range(120)]
+    rows = []
+    for k in range(90):
+        own = [f"u{rng.randint(0, 10**6)}" for _ in range(28)]
+        rows.append((k, " ".join(base + own), "s"))
+        if k % 6 == 0:
+            rows.append((500 + k, " ".join(base + own[:-1] + ["other"]), "s"))
+            rows.append((700 + k, " ".join([*base[: rng.randint(60, 120)], *own]), "s"))
+    monkeypatch.setattr(ND, "BLOCK_NODES", 7)
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    check_near(ND.near_dedup(d, threshold=0.85).collect(), rows, 85)
+    check_near(ND.near_dedup(d, threshold=0.7).collect(), rows, 70)
+
+
 def test_near_dedup_of_one_long_text(spark):
     """A batch that ends just where its shingles were worked off."""
     rows = [(1, " ".join(f"w{k}" for k in range(ND.TOGETHER + 10)), "s")]
