@@ -67,7 +67,7 @@ def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, lexicon)
-    return scored.select("doc_id", (~learnable("doc_id")).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(~learnable("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

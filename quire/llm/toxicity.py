@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,22 +38,113 @@ REACH = 3
 #: Log-odds of a text without any evidence.
 PRIOR = math.log(0.1 / 0.9)
 
-#: Word beginnings considered for the learned lexicon.
+#: Letters of the word beginnings that learning considers beside whole words.
 SHORTEST, LONGEST = 3, 12
 #: Labelled rows of each class that learning takes at most; more change little.
 SAMPLE_ROWS = 6000
-#: Beginnings that the lexicon takes at most.
-LEXICON_ROWS = 5000
 #: Least G-square of a beginning, beyond twice the logarithm of how many are tried.
 LEAST_G2 = 2
 
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _CLAUSE = re.compile(r"[.!?;:\n|]+")
 
+#: Word classes, the input symbols of the clause grammar: other, insult, threat verb, modal, target, negation, report.
+CLASSES = "oITMYNR"
+#: Output symbols that are evidence: an insult, an insult in a clause with a target, a threat.
+EVIDENCE = "IJt"
+
+
+class Transducer:
+    """A weighted finite-state transducer over symbols.
+
+    ``arcs`` map a state and an input symbol to (next state, output symbol,
+    factor), or to None where the path ends. A symbol that a state doesn't name
+    takes its "*" arc; an output "=" is the input. A path counts if it
+    ends in one of ``finals``.
+    """
+
+    def __init__(self, starts: Iterable, finals: Iterable, arcs: dict):
+        self.starts, self.finals, self.arcs = tuple(starts), frozenset(finals), arcs
+
+    def step(self, state, symbol: str) -> tuple | None:
+        own = self.arcs[state]
+        arc = own[symbol] if symbol in own else own.get("*")
+        return arc and (arc[0], symbol if arc[1] == "=" else arc[1], arc[2])
+
+    def then(self, other: Transducer, alphabet: str = CLASSES) -> Transducer:
+        """The composition: ``other`` reads what this one writes, and factors multiply."""
+        arcs: dict = {}
+        open_ = [(p, q) for p in self.starts for q in other.starts]
+        starts = tuple(open_)
+        while open_:
+            p, q = state = open_.pop()
+            if state in arcs:
+                continue
+            arcs[state] = {}
+            for symbol in alphabet:
+                if (own := self.step(p, symbol)) and (theirs := other.step(q, own[1])):
+                    after = own[0], theirs[0]
+                    arcs[state][symbol] = after, theirs[1], own[2] * theirs[2]
+                    open_.append(after)
+        return Transducer(starts, [(p, q) for p, q in arcs if p in self.finals and q in other.finals], arcs)
+
+    def weigh(self, symbols: Iterable[str], weights: Iterable[float]) -> float:
+        """What the paths that count add up to: along a path, the weights of evidence times the factors of its arcs."""
+        paths = [(state, 0.0) for state in self.starts]
+        for symbol, weight in zip(symbols, weights, strict=True):
+            after = []
+            for state, total in paths:
+                if arc := self.arcs[state].get(symbol):
+                    after.append((arc[0], total + weight * arc[2] if arc[1] in EVIDENCE else total))
+            paths = after
+        return sum(total for state, total in paths if state in self.finals)
+
+
+def _countdown(opener: str, reach: int, inside: dict, outside: dict) -> Transducer:
+    """For ``reach`` words after ``opener`` the arcs are ``inside``, else ``outside``: symbol to (output, factor)."""
+    arcs = {}
+    for k in range(reach + 1):
+        arcs[k] = {symbol: (max(0, k - 1), *to) for symbol, to in (inside if k else outside).items()}
+        arcs[k][opener] = (reach, "=", 1.0)
+        arcs[k]["*"] = (max(0, k - 1), "=", 1.0)
+    return Transducer([0], range(reach + 1), arcs)
+
+
+#: A modal makes a threat verb within four words after it a threat: "will ... kill". Other threat verbs are ordinary words.
+THREAT = _countdown("M", 4, {"T": ("t", 1.0)}, {"T": ("o", 1.0)})
+#: A clause has a target or it has none, which is known at its end. One path takes it to have none, and ends at the
+#: first; on it threats are nobody's. The other waits for one, and doesn't count before it came.
+TARGET = Transducer(
+    ["none", "awaited"], ["none", "seen"],
+    {
+        "none": {"Y": None, "t": ("none", "o", 1.0), "*": ("none", "=", 1.0)},
+        "awaited": {"Y": ("seen", "=", 1.0), "I": ("awaited", "J", TARGETED), "t": ("awaited", "t", TARGETED), "*": ("awaited", "=", 1.0)},
+        "seen": {"I": ("seen", "J", TARGETED), "t": ("seen", "t", TARGETED), "*": ("seen", "=", 1.0)},
+    },
+)
+#: A negation weakens the insults and threats that follow closely.
+NEGATION = _countdown("N", REACH, {x: ("=", NEGATED) for x in EVIDENCE}, {})
+#: A report of speech weakens all that follow in its clause.
+REPORT = Transducer(
+    [0], [0, 1],
+    {0: {"R": (1, "=", 1.0), "*": (0, "=", 1.0)}, 1: {x: (1, "=", REPORTED) for x in EVIDENCE} | {"*": (1, "=", 1.0)}},
+)
+
+
+def _numbered(machine: Transducer) -> Transducer:
+    """The same with numbers for states."""
+    number = {state: k for k, state in enumerate(machine.arcs)}
+    arcs = {number[p]: {x: (number[to], out, f) for x, (to, out, f) in own.items()} for p, own in machine.arcs.items()}
+    return Transducer([number[x] for x in machine.starts], [number[x] for x in machine.finals], arcs)
+
+
+#: The whole grammar of a clause, over word classes.
+CLAUSE = _numbered(THREAT.then(TARGET).then(NEGATION).then(REPORT))
+
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Word classes and weights.
+    """What words weigh, and how evidence becomes a score.
 
     ``stems`` are weighted beginnings of words that labels marked; ``scale``
     turns a text's evidence into log-odds: a constant, and factors of the
@@ -63,83 +154,65 @@ class Lexicon:
     stems: dict[str, float] = field(default_factory=dict)
     scale: tuple[float, float, float] = (PRIOR, 2.0, 0.0)
 
-    def weight(self, word: str) -> float:
-        """The insult weight of a word: that of its longest known beginning, or the grammar's own."""
-        for k in range(min(len(word), LONGEST), SHORTEST - 1, -1):
-            if (known := self.stems.get(word[:k])) is not None:
-                return max(known, INSULT_WEIGHT) if word in _INSULTS else known
-        return INSULT_WEIGHT if word in _INSULTS else 0.0
-
-
-_INSULTS = frozenset(INSULTS)
-#: The symbol that a word is to the transducers; insults are I, other words o.
-_SYMBOL = {w: s for s, words in (("T", THREATS), ("M", MODALS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
 
+class InsultTransducer:
+    """Reads a word by letters and writes its class, with the weights of its arcs added up.
 
-class Transducer:
-    """A weighted finite-state transducer over word symbols.
-
-    ``arcs`` map (state, symbol) to (state, output); a symbol without an arc of
-    its own takes the state's "*". Outputs are functions of the word's weight.
+    The arcs are a tree of the lexicon's beginnings: the arcs to a beginning
+    weigh together what it weighs, so that a word has the weight of its longest
+    known beginning. A word that ends where one of the grammar's own words does
+    is of that word's class, unless a beginning made it an insult.
     """
 
-    def __init__(self, arcs: dict[tuple[str, str], tuple[str, str]], start: str):
-        self.arcs, self.start = arcs, start
-
-    def run(self, symbols: Iterable[str]) -> list[str]:
-        """The output symbol of each input symbol."""
-        state, out = self.start, []
-        for s in symbols:
-            state, o = self.arcs.get((state, s)) or self.arcs[(state, "*")]
-            out.append(s if o == "=" else o)
-        return out
-
-
-def _countdown(name: str, opener: str, changes: dict[str, str], reach: int) -> Transducer:
-    """After ``opener``, rewrites symbols by ``changes`` for ``reach`` words."""
-    arcs = {("0", opener): (f"{reach}", "="), ("0", "*"): ("0", "=")}
-    for k in range(1, reach + 1):
-        arcs[(f"{k}", opener)] = (f"{reach}", "=")
-        for a, b in changes.items():
-            arcs[(f"{k}", a)] = (f"{k - 1}", b)
-        arcs[(f"{k}", "*")] = (f"{k - 1}", "=")
-    return Transducer(arcs, "0")
-
-
-#: A modal makes the threat verb after it a threat: "will ... kill". Other threat verbs are ordinary words.
-THREAT = _countdown("threat", "M", {"T": "t"}, 4)
-#: A negation weakens an insult or threat that follows closely.
-NEGATION = _countdown("negation", "N", {"I": "i", "t": "n"}, REACH)
-#: A report of speech marks all that follows in its clause.
-REPORT = Transducer({("0", "R"): ("1", "="), ("0", "*"): ("0", "="), ("1", "*"): ("1", "=")}, "0")
-
-
-def clause_score(words: list[str], lexicon: Lexicon) -> float:
-    """The log-odds that a clause adds: insults and threats by weight, with the transducers composed over it."""
-    weights = [lexicon.weight(w) for w in words]
-    symbols = ["I" if x > 0 else _SYMBOL.get(w, "o") for w, x in zip(words, weights, strict=True)]
-    threats = THREAT.run(symbols)
-    targeted = "Y" in symbols
-    if "I" not in symbols and not ("t" in threats and targeted):
-        return 0.0
-    out = NEGATION.run(threats)
-    report, reported = REPORT.start, []
-    for s in symbols:
-        report, _ = REPORT.arcs.get((report, s)) or REPORT.arcs[(report, "*")]
-        reported.append(report == "1")
-    total = 0.0
-    for s, x, r in zip(out, weights, reported, strict=True):
-        own = {"I": x, "i": x * NEGATED, "t": THREAT_WEIGHT * targeted, "n": THREAT_WEIGHT * NEGATED * targeted}.get(s, 0.0)
-        total += own * (REPORTED if r else 1.0)
-    return total * (TARGETED if targeted else 1.0)
+    def __init__(self, lexicon: Lexicon):
+        self.arcs: list[dict[str, tuple[int, float]]] = [{}]
+        self.ends: dict[int, tuple[str, float]] = {}
+        reached = [0.0]
+        for stem, weight in sorted(lexicon.stems.items()):  # shorter beginnings come first
+            node = 0
+            for letter in stem[:-1]:
+                node = self._arc(node, letter, reached)
+            end = self._arc(node, stem[-1], reached, weight)
+            reached[end] = weight
+        for symbol, words in (("T", THREATS), ("M", MODALS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("I", INSULTS)):
+            for word in words:
+                node = 0
+                for letter in word:
+                    node = self._arc(node, letter, reached)
+                # an insult of the grammar's own weighs at least so much
+                self.ends[node] = (symbol, max(0.0, INSULT_WEIGHT - reached[node]) if symbol == "I" else 0.0)
+
+    def _arc(self, node: int, letter: str, reached: list[float], weight: float | None = None) -> int:
+        held = self.arcs[node].get(letter)
+        after = held[0] if held else len(self.arcs)
+        if not held:
+            self.arcs.append({})
+            reached.append(reached[node])
+        if not held or weight is not None:
+            self.arcs[node][letter] = after, (reached[node] if weight is None else weight) - reached[node]
+        return after
+
+    def read(self, word: str) -> tuple[str, float]:
+        node, total = 0, 0.0
+        for letter in word:
+            arc = self.arcs[node].get(letter)
+            if arc is None:
+                return ("I", total) if total > 0 else ("o", 0.0)
+            node, total = arc[0], total + arc[1]
+        symbol, weight = self.ends.get(node, ("o", 0.0))
+        total += weight
+        if total > 0:
+            return "I", total
+        return symbol, THREAT_WEIGHT if symbol == "T" else 0.0
 
 
 class Scorer:
-    """Scores texts, and remembers which words can matter."""
+    """Scores texts by their clauses, and remembers what it read of words."""
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.matters: dict[str, bool] = {}
+        self.insults = InsultTransducer(lexicon)
+        self.known: dict[str, tuple[str, float]] = {}
 
     def score(self, text: str) -> float:
         """The probability that a text is toxic."""
@@ -152,15 +225,22 @@ class Scorer:
 
     def evidence(self, text: str) -> float:
         low = text.lower()
-        known = self.matters
+        known = self.known
         if len(known) > 500_000:
             known.clear()
         words = set(_WORD.findall(low))
         for w in words.difference(known):
-            known[w] = self.lexicon.weight(w) > 0 or _SYMBOL.get(w) == "T"
-        if not any(map(known.__getitem__, words)):
+            known[w] = self.insults.read(w)
+        if not any(known[w][1] for w in words):
+            return 0.0
+        return sum(self.clause(_WORD.findall(c)) for c in _CLAUSE.split(low))
+
+    def clause(self, words: list[str]) -> float:
+        """The log-odds that a clause adds: what the grammar's paths over it weigh."""
+        read = [self.known.get(w) or self.insults.read(w) for w in words]
+        if not any(weight for _, weight in read):
             return 0.0
-        return sum(clause_score(c, self.lexicon) for c in map(_WORD.findall, _CLAUSE.split(low)) if any(known.get(w, True) for w in c))
+        return CLAUSE.weigh(*zip(*read, strict=True))
 
 
 def learnable(id_col: str) -> Column:
@@ -191,7 +271,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Of each class the ``sample_rows`` rows with the least hash of id are taken,
     and of copies among them one. A beginning enters if texts of class 1 have it more often than chance
-    allows (G-square, over all beginnings) and two fifths of its texts at least
+    allows (G-square, over all beginnings and whole words) and two fifths of its texts at least
     are of that class, unless a longer one has nearly all of its toxic texts
     and fewer others. Its weight is its smoothed log-odds. The scale is fitted
     to the same rows by logistic regression. Labels other than 0 and 1 and rows
@@ -208,7 +288,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         return Lexicon()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text")).join(F.broadcast(marked), "doc_id")
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    begin = texts.select("label", F.explode(F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda k: F.substring(w, F.lit(1), k)))))).alias("stem"))
+    lengths = lambda w: F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST)))
+    starts = F.transform(words, lambda w: F.array_append(F.transform(lengths(w), lambda k: F.substring(w, F.lit(1), k)), w))
+    begin = texts.select("label", F.explode(F.array_distinct(F.flatten(starts))).alias("stem"))
     counts = begin.groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     t, c = F.col("t"), F.col("c")
     share = toxic / (toxic + clean)
@@ -217,7 +299,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = written(counts.filter(t + c >= 4), "counts")
     least = LEAST_G2 + 2 * math.log(1 + counts.count())
     chosen = counts.filter((t >= 4) & (3 * t >= 2 * c)).withColumn("g2", g2).filter(F.col("g2") >= least).select("stem", "t", "c", odds.alias("weight"), "g2")
-    rows = chosen.orderBy(F.col("g2").desc(), "stem").limit(LEXICON_ROWS).collect()
+    # four labelled rows and more have each of them, so that the sample bounds how many there are
+    rows = chosen.collect()
     stems = {r["stem"]: r for r in rows}
     for r in rows:
         for k in range(SHORTEST, len(r["stem"])):
@@ -259,28 +342,24 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
     alike; an empty table gives an empty result; other columns aren't read.
     """
 
-    def run(batches):
+    return docs.select(F.col(id_col).alias("doc_id"), score_of(text_of(text_col), lexicon).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def score_of(text: Column, lexicon: Lexicon) -> Column:
+    """The score of a text; of the columns beside it none leaves the JVM."""
+
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(lexicon)
         for batch in batches:
-            scores = pa.array(map(scorer.score, batch.column(1).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
+            yield pa.array(map(scorer.score, batch.to_pylist()), pa.float64())
 
-    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    scored = d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scores(text)
 
 
 def keep_civil(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose text scores under ``threshold``, all columns as they are."""
-
-    def run(batches):
-        scorer = Scorer(lexicon)
-        at = names.index(text_col)
-        for batch in batches:
-            yield batch.filter(pa.array([scorer.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
-
-    names = docs.columns
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score_of(text_of(text_col), lexicon) < threshold)
 
 
 def held_out(doc_id) -> bool:

@@ -380,6 +380,53 @@ def test_toxic_grammar():
     assert 0 <= score("") < 0.3 and TX.Scorer(lexicon).evidence("clean words only") == 0
 
 
+_VOCABULARY = ["idiot", "zorgan", "zorga", "zorgx", "zor", "kill", "hurt", "will", "shall", "you", "they", "not", "never", "said", "wrote", "stone", "river", "killing"]
+
+
+def plain_clause(words, stems):
+    """The same by looking back from each insult and threat."""
+
+    def weight(w):
+        found = [stems[w[:k]] for k in range(len(w), 0, -1) if w[:k] in stems]
+        own = TX.INSULT_WEIGHT if w in TX.INSULTS else 0.0
+        return max(found[0], own) if found else own
+
+    insult = [weight(w) > 0 for w in words]
+    of = lambda k, group: words[k] in group and not insult[k]
+    targeted = any(of(k, TX.TARGETS) for k in range(len(words)))
+    total = 0.0
+    for k, w in enumerate(words):
+        if insult[k]:
+            x = weight(w)
+        elif of(k, TX.THREATS) and targeted and any(of(j, TX.MODALS) for j in range(max(0, k - 4), k)):
+            x = TX.THREAT_WEIGHT
+        else:
+            continue
+        x *= TX.TARGETED if targeted else 1
+        x *= TX.NEGATED if any(of(j, TX.NEGATIONS) for j in range(max(0, k - 3), k)) else 1
+        x *= TX.REPORTED if any(of(j, TX.REPORTS) for j in range(k)) else 1
+        total += x
+    return total
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(_VOCABULARY), max_size=14))
+def test_grammar_matches_plain_search(words):
+    stems = {"zor": 2.0, "zorga": 3.5, "stone": 1.0}
+    scorer = TX.Scorer(TX.Lexicon(stems))
+    assert abs(scorer.clause(words) - plain_clause(words, stems)) < 1e-9
+    assert abs(scorer.evidence(" ".join(words)) - plain_clause(words, stems)) < 1e-9
+
+
+def test_toxicity_of_odd_rows(spark, docs, rows):
+    got = TX.score_toxicity(docs, TX.Lexicon()).collect()
+    scorer = TX.Scorer(TX.Lexicon())
+    want = Counter((i, scorer.score(t or "")) for i, t, _ in rows)
+    assert Counter((r["doc_id"], r["score"]) for r in got) == want
+    left = TX.keep_civil(docs, TX.Lexicon())
+    assert left.columns == docs.columns and Counter(r["doc_id"] for r in left.collect()) == Counter(r["doc_id"] for r in got if not r["predicted"])
+
+
 def test_learned_words(spark):
     rng = random.Random(2)
     rows, labels = [], []
