@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import text_of
 
-#: Sequences longer than this merge one by one from a heap instead.
-LONG = 256
 #: Counts of pre-tokens that a worker remembers at most.
 REMEMBERED = 300_000
 #: Characters of text whose new pre-tokens are merged together.
@@ -28,6 +25,9 @@ class PieceRanks:
     the lower the rank. Symbols are pieces, and characters that only occur
     inside pieces. A symbol left over counts 1 if it is a piece, else its UTF-8
     bytes, which is what byte fallback makes of it.
+
+    A symbol is ``hasty`` if a pair with it can have a rank no higher than the
+    merge that made it. Other merges of one rank don't stand in each other's way.
     """
 
     def __init__(self, pieces: list[tuple[str, float]]):
@@ -48,6 +48,15 @@ class PieceRanks:
                 a, b = self.symbol.get(p[:cut]), self.symbol.get(p[cut:])
                 if a is not None and b is not None:
                     self.pairs[self.key(a, b)] = (by_score[score], merged)
+        self.hasty = np.zeros(len(self.texts) + 1, bool)
+        made = [by_score[x] for _, x in pieces]
+        for key, (rank, _) in self.pairs.items():
+            for part in (key >> 20, key & ((1 << 20) - 1)):
+                if part < len(pieces) and rank <= made[part]:
+                    self.hasty[part] = True
+        #: characters that stand side by side in some piece; nothing merges over others
+        beside = {self.key(self.symbol[a], self.symbol[b]) for p, _ in pieces for a, b in zip(p, p[1:], strict=False)}
+        self.beside = np.array(sorted(beside), np.int64)
         self.inside = {c for p, _ in pieces if len(p) > 1 for c in p}
         self.of_char = np.full(0x110000, self.unknown, np.int32)
         for t, k in self.symbol.items():
@@ -115,14 +124,19 @@ class PieceRanks:
         """How many symbols are left of each pre-token (spaces as U+2581)."""
         total = np.zeros(len(tokens), np.int64)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        short = np.flatnonzero((lengths <= LONG) & (lengths > 0))
-        for k in np.flatnonzero(lengths > LONG):
-            total[k] = self.count_long(tokens[k])
-        if len(short):
-            total[short] = self._merge("".join(tokens[k] for k in short), lengths[short])
+        full = np.flatnonzero(lengths)
+        if len(full):
+            total[full] = self._merge("".join(tokens), lengths[full])
         return total
 
     def _merge(self, joined: str, lengths: np.ndarray) -> np.ndarray:
+        """Merges all pre-tokens together; in a round, every pair of the lowest rank that its sequence has.
+
+        Sequences are the pre-tokens, parted where two characters stand side by
+        side in no piece. Of pairs that overlap every second one from the left
+        merges. A hasty symbol might merge on before other pairs of its rank
+        do, so that of those the first alone merges in a round.
+        """
         points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
         sym = self.of_char[points]
         owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -131,69 +145,49 @@ class PieceRanks:
         if strange.any():
             p = points[strange]
             total += np.bincount(owner[strange], 1 + (p > 0x7F) + (p > 0x7FF).astype(np.int64) + (p > 0xFFFF), len(lengths)).astype(np.int64)
-        ends = np.cumsum(lengths)
+        inner = np.zeros(len(sym), bool)
+        inner[:-1] = owner[1:] == owner[:-1]
+        at = np.flatnonzero(inner)
+        if len(at):
+            pairs = self.key(sym[at].astype(np.int64), sym[at + 1].astype(np.int64))
+            inner[at] = self.beside[np.minimum(np.searchsorted(self.beside, pairs), len(self.beside) - 1)] == pairs
+        part = np.cumsum(np.r_[0, ~inner[:-1]])
         rank = np.full(len(sym), NEVER, np.int64)
         merged = np.zeros(len(sym), np.int32)
-        inner = np.ones(len(sym), bool)
-        inner[ends - 1] = False
         at = np.flatnonzero(inner)
         rank[at], merged[at] = self.find(sym[at], sym[at + 1])
         while True:
-            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            sizes = np.diff(np.r_[starts, len(owner)])
-            # the lowest rank, and its leftmost place, of each sequence in one minimum
-            best = np.minimum.reduceat((rank << np.int64(20)) | (np.arange(len(sym)) - np.repeat(starts, sizes)), starts)
-            going = best < (NEVER << np.int64(20))
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            sizes = np.diff(np.r_[starts, len(part)])
+            best = np.minimum.reduceat(rank, starts)
+            going = best < NEVER
             if not going.all():
                 done = np.repeat(~going, sizes)
                 total += np.bincount(owner[done], self.cost[sym[done]], len(lengths)).astype(np.int64)
                 if not going.any():
                     return total
                 keep = ~done
-                sym, owner, rank, merged = sym[keep], owner[keep], rank[keep], merged[keep]
+                sym, owner, part, rank, merged = sym[keep], owner[keep], part[keep], rank[keep], merged[keep]
                 sizes, best = sizes[going], best[going]
-                starts = np.cumsum(sizes) - sizes
-            at = starts + (best & np.int64((1 << 20) - 1))
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            hasty = self.hasty[merged[at]]
+            if hasty.any():
+                at = at[~hasty | np.r_[True, part[at[1:]] != part[at[:-1]]]]
+            place = np.arange(len(at))
+            first = np.r_[True, np.diff(at) != 1]
+            at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
             sym[at] = merged[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             moved = np.cumsum(keep) - 1
-            sym, owner, rank, merged = sym[keep], owner[keep], rank[keep], merged[keep]
+            sym, owner, part, rank, merged = sym[keep], owner[keep], part[keep], rank[keep], merged[keep]
             at = moved[at]
-            for left in (at[at > 0] - 1, at[at < len(sym) - 1]):
-                left_same = owner[left] == owner[left + 1]
-                rank[left[left_same]], merged[left[left_same]] = self.find(sym[left[left_same]], sym[left[left_same] + 1])
-            last = np.r_[owner[1:] != owner[:-1], True]
+            last = np.r_[part[1:] != part[:-1], True]
             rank[last] = NEVER
-
-    def count_long(self, token: str) -> int:
-        """The same for one long pre-token, with a heap of its pairs."""
-        sym = [self.symbol.get(c, -1) for c in token]
-        after, before = list(range(1, len(sym))) + [-1], list(range(-1, len(sym) - 1))
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right >= 0 and sym[left] >= 0 and sym[right] >= 0 and (found := self.pairs.get(self.key(sym[left], sym[right]))):
-                heapq.heappush(heap, (found[0], left, sym[left], sym[right], found[1]))
-
-        for k in range(len(sym) - 1):
-            offer(k)
-        gone = [False] * len(sym)
-        while heap:
-            _, left, a, b, result = heapq.heappop(heap)
-            right = after[left]
-            if gone[left] or right < 0 or sym[left] != a or sym[right] != b:
-                continue
-            sym[left] = result
-            gone[right] = True
-            after[left] = after[right]
-            if after[left] >= 0:
-                before[after[left]] = left
-            offer(left)
-            if before[left] >= 0:
-                offer(before[left])
-        return sum(len(token[k].encode()) if s < 0 else int(self.cost[s]) for k, s in enumerate(sym) if not gone[k])
+            changed = np.zeros(len(sym), bool)
+            changed[at] = changed[at[at > 0] - 1] = True
+            changed = np.flatnonzero(changed & ~last)
+            rank[changed], merged[changed] = self.find(sym[changed], sym[changed + 1])
 
 
 _RUNS = re.compile(" *[^ ]+| +")

@@ -590,4 +590,16 @@ def test_counts_are_the_librarys(text):
     counter, library = COUNTER
     assert counter.count([text]) == [len(library.encode(text))]
     token = "▁" + text.replace(" ", "▁")
-    assert counter.ranks.count_long(token) == len(library.encode(text)) if text else True
+    assert counter.ranks.counts([token, ""]).tolist() == ([len(library.encode(text)), 0] if text else [1, 0])
+
+
+def test_counts_of_long_runs():
+    """Pre-tokens of thousands of characters: one letter, few letters, any letters, words without spaces, and digits."""
+    import sentencepiece
+
+    rng = random.Random(12)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    words = [library.id_to_piece(k).strip("▁") for k in range(300, 8000, 7)]
+    texts = ["a" * 30_001, "=" * 5000, "".join(rng.choices("ab", k=4000)), "".join(rng.choices("ACGT", k=20_000)), "".join(rng.choices(words, k=6000)), "0123456789" * 900]
+    texts += ["".join(rng.choices([chr(c) for c in range(33, 127)], k=20_000)), "日本語のテキスト" * 700, "thethethethe" * 1500, "_-" * 4000 + "é" * 3000, "short"]
+    assert TC.TokenCounter(PIECES).count(texts) == [len(library.encode(t)) for t in texts]
