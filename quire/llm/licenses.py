@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import small, text_of, written
+from quire.llm.quality import let
 
 _FREE = "is free software: you can redistribute it and/or modify it under the terms of the"
 _LATER = "as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
@@ -66,6 +67,10 @@ BLOCK_MARK = MARK.replace("public domain", f"public{_GAP}domain").replace("permi
 _EMPTY = r"(?m)^[ \t#*/;%<>!|-]*$"
 _COMMENT = r"[ \t]*(?:[#*;%]|//|/\*|--|<!--)"
 _EDGE = rf"(?m)^({_COMMENT}.*|.*(?:\*/|-->)[ \t]*)\n(?!{_COMMENT})|^(?!{_COMMENT})(.+)\n(?={_COMMENT})"
+#: The mark in terms of a text, where a space parts them.
+TERM_MARK = r"licen[sc]|copyright|spdx|redistribut|public domain|permission is hereby|free software|creative commons|\bcc (?:by|0)|\bcc0|\bgpl"
+#: Terms of a window over a longer block; windows of a width start every quarter of it.
+WINDOWS = (8, 16, 32, 64)
 #: Least cosine of a match.
 LEAST = 0.6
 #: Files whose whole content is a license, by name.
@@ -93,31 +98,45 @@ def template_weights(spark: SparkSession) -> DataFrame:
     return w.groupBy("term").agg(F.first("idf").alias("idf"), F.sort_array(F.collect_list(F.struct("template", "license", "w"))).alias("postings"))
 
 
+def windows(found: Column) -> Column:
+    """The marked windows over an array of terms, as texts; of widths that the array doesn't reach there are none."""
+
+    def of_width(width: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(found), F.lit(width // 4))
+        return F.when(F.size(found) > width, F.transform(starts, lambda k: F.array_join(F.slice(found, k, F.lit(width)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.filter(F.concat(*map(of_width, WINDOWS)), lambda x: x.rlike(TERM_MARK)))
+
+
 def stated_units(files: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
     """(doc_id, path, part, no, unit) of what may state a license in whole texts.
 
     Parts are 0, the marked lines; 1, the marked blocks of several lines: runs
-    of lines with words that are all comments or all not; 2, whole licence files.
+    of lines with words that are all comments or all not; 2, whole licence
+    files; 3, marked windows over the terms of marked blocks, whatever their
+    length, for notices inside longer lines and paragraphs.
     """
     rows = files.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_of(text_col).alias("text"))
     rows = rows.withColumn("named", F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)))
     units = lambda part, values: F.transform(values, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("no"), x.alias("unit")))
     lines = F.filter(units(0, F.split("text", r"[\n\r]")), lambda s: s["unit"].rlike(MARK))
     parted = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), _EMPTY, ""), _EDGE, "$1$2\n\n")
-    blocks = F.filter(units(1, F.split(parted, r"\n\n+")), lambda s: s["unit"].contains("\n") & s["unit"].rlike(BLOCK_MARK))
+    every = F.filter(units(1, F.split(parted, r"\n\n+")), lambda s: s["unit"].rlike(BLOCK_MARK))
+    blocks = F.filter(every, lambda s: s["unit"].contains("\n"))
+    inside = units(3, F.flatten(F.transform(every, lambda s: let(terms(s["unit"]), windows))))
     whole = F.when(F.col("named"), units(2, F.array("text"))).otherwise(F.array().cast("array<struct<part:int,no:int,unit:string>>"))
-    rows = rows.select("doc_id", "path", F.when(F.col("named") | F.col("text").rlike(BLOCK_MARK), F.concat(lines, blocks, whole)).alias("hits"))
+    rows = rows.select("doc_id", "path", F.when(F.col("named") | F.col("text").rlike(BLOCK_MARK), F.concat(lines, blocks, whole, inside)).alias("hits"))
     return rows.select("doc_id", "path", F.explode("hits").alias("hit")).select("doc_id", "path", "hit.part", "hit.no", "hit.unit")
 
 
 def scan_licenses(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The license of each file: of its own text, else of the nearest directory above.
 
-    Every line and every block of joined lines that may state a license, and
-    every licence file as a whole, is compared with every template that shares
+    Every line and every block of joined lines that may state a license, every
+    window over such a block, and every licence file as a whole, is compared with every template that shares
     a term, by cosine of TF-IDF vectors; terms that no template has count with
-    the greatest idf. The best of a file decides, and of equal cosines the
-    template that stands first. A directory has the license of the
+    the greatest idf. The best of a file decides, of equal cosines the unit
+    that stands first (lines before blocks), and in a unit the template that does. A directory has the license of the
     licence files in it (the best match; of equal ones, the path that sorts
     first), and where it has none the license that is stated by files directly
     in it if they all agree. A file without its own takes that of the nearest

@@ -523,6 +523,86 @@ def test_wrapped_notices(spark):
 
 
 
+def test_notices_inside_longer_lines(spark):
+    notice = "Licensed under the Apache License, Version 2.0."
+    words = " ".join(f"word{k}" for k in range(450))
+    rows = [
+        (f"Copyright 2020 Foo. {notice} All rights reserved by the authors of this and of other works", "Apache-2.0"),
+        (f"{words} {notice} {words}", "Apache-2.0"), (f"{words} {words}", None), (f"{words} copyright {words}", None),
+        (f"{words}\nmore of it. Released under the\nMIT License. And {words}", "MIT"),
+        (f"{words} This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License {words}", "GPL-3.0"),
+        ("We say nothing of copyright here, and nobody is licensed to drive", None),
+    ]
+    d = spark.createDataFrame([(k, f"p{k}/x", t) for k, (t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in LI.scan_licenses(d, F.col("path")).collect()}
+    assert got == {k: name for k, (_, name) in enumerate(rows)}
+
+
+def plain_licenses(rows):
+    """(path, license, how) by comparing every unit of a text with every template."""
+    words = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))
+    templates = [(name, words(t)) for name, t in LI.TEMPLATES]
+    n = len(templates)
+    df = Counter(w for _, t in templates for w in t)
+    idf = lambda w: np.log((1 + n) / (1 + df[w])) + 1
+    vector = lambda t: {w: k * idf(w) for w, k in t.items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    vectors = [(name, vector(t)) for name, t in templates]
+
+    def best(unit):
+        v = vector(words(unit))
+        scores = [(round(sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t), 6), -k, name) for k, (name, t) in enumerate(vectors)] if v else []
+        return max([s for s in scores if s[0] >= LI.LEAST], default=None)
+
+    def units(path, text):
+        yield from ((0, k, x) for k, x in enumerate(y for y in re.split(r"[\n\r]", text) if re.search(LI.MARK, y)))
+        parted = re.sub(LI._EDGE, lambda m: (m[1] or "") + (m[2] or "") + "\n\n", re.sub(LI._EMPTY, "", re.sub(r"\r\n?", "\n", text)))
+        every = [x for x in re.split(r"\n\n+", parted) if re.search(LI.BLOCK_MARK, x)]
+        yield from ((1, k, x) for k, x in enumerate(y for y in every if "\n" in y))
+        if path is not None and re.search(LI.LICENSE_FILE, path):
+            yield 2, 0, text
+        for x in every:
+            t = re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", x.lower())
+            for w in LI.WINDOWS:
+                if len(t) > w:
+                    yield from ((3, 0, y) for y in (" ".join(t[k : k + w]) for k in range(0, len(t), w // 4)) if re.search(LI.TERM_MARK, y))
+
+    own = {}
+    for path, text in rows:
+        found = [(b[0], -part, -no, b[2]) for part, no, x in units(path, text or "") if (b := best(x))]
+        if found:
+            own[path] = (max(found)[0], max(found)[3])
+    above = lambda p: [p[:k] for k in range(len(p)) if p[k] == "/"][::-1] + [""]
+    dirs = defaultdict(list)
+    for path, (score, name) in own.items():
+        if path is not None:
+            dirs[above(path)[0]].append((path, score, name))
+    stated = {}
+    for d, files in dirs.items():
+        named = [(-score, path, name) for path, score, name in files if re.search(LI.LICENSE_FILE, path)]
+        if named or len({f[2] for f in files}) == 1:
+            stated[d] = min(named)[2] if named else files[0][2]
+    for path, _ in rows:
+        inherited = next((stated[d] for d in above(path) if d in stated), None) if path is not None else None
+        yield path, own[path][1] if path in own else inherited, "own" if path in own else "inherited" if inherited else None
+
+
+def test_licenses_match_plain_search(spark):
+    rng = random.Random(6)
+    notices = [t for _, t in LI.TEMPLATES]
+    rows = [("LICENSE", notices[0] * 3), ("a/b/COPYING", notices[5]), ("long/x.txt", "w " * 30_000 + notices[1] + " w" * 9000), ("tie/one", f"{notices[0]}\n{notices[4]}"), ("tie/two", f"{notices[4]}\n{notices[0]}")]
+    for k in range(60):
+        place = "/".join([*rng.choices("abc", k=rng.randint(0, 3)), f"f{k}"])
+        some = [" ".join(rng.choices(["alpha", "licensed", "the", "of", "under", "copyright", "free", "software"], k=rng.randint(1, 30))) for _ in range(3)]
+        if rng.random() < 0.4:
+            t = rng.choice(notices)
+            some.insert(rng.randint(0, 3), t if rng.random() < 0.5 else "\n".join(f"# {x}" for x in re.findall(r"(?:\S+\s*){1,7}", t)))
+        rows.append((place, rng.choice(["\n", "\n\n", " "]).join(some) if rng.random() < 0.8 else None))
+    d = spark.createDataFrame([(k, p, t, "x", 1) for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string, license string, tf int").repartition(3)
+    got = {r["path"]: (r["license"], r["how"]) for r in LI.scan_licenses(d, F.col("path")).collect()}
+    assert got == {p: (name, how) for p, name, how in plain_licenses(rows)}
+
+
 # --- 9
 
 
