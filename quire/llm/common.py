@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 24 << 20
 
 _own_folders: dict[str, str] = {}
+#: The paths made in a session, in order.
+_made: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,9 +45,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    made_paths(spark).append(path)
     return path
 
 
+def made_paths(spark: SparkSession) -> list[str]:
+    """The paths that this session made and hasn't dropped, in order."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of the shared folder that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        made_paths(spark).remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -56,13 +56,14 @@ def mix_sources(
 ) -> DataFrame:
     """Chooses documents, whole and up to ``max_repeats`` times each, towards target sizes by source.
 
-    Each source's documents are shuffled by a hash of seed and id. A document's
+    Each source's documents are shuffled by a hash of seed, id and text. A document's
     virtual finish time is its source's size up to and with it, over the
     source's target; a second round continues where the first ended. All are
     put in order of finish time, and the order is cut where the whole budget is
     used. Returns a row per input row: ``doc_id``, ``source``, ``size`` (words
-    unless ``size`` says otherwise), ``source_size``, ``target``, ``copies``
-    and ``taken`` (= ``size`` x ``copies``).
+    unless ``size`` says otherwise), ``source_size``, ``target``, ``copies``,
+    ``taken`` (= ``size`` x ``copies``) and ``text_fp``, a hash of the text (or
+    the ``size`` given).
 
     A null text counts nothing and a null source is a source of its own, after
     all others. A document of size 0 is never taken more than its 0, and a
@@ -73,14 +74,16 @@ def mix_sources(
     Running sums are taken in blocks of hash or finish time, of a few thousand
     rows each, so that no source meets in one task.
     """
+    # equal or null ids of a source are told apart by their texts, so that they fall in many blocks
+    tie = F.xxhash64(text_of(text_col)) if size is None else size.cast("long")
     size = word_count(text_col) if size is None else size.cast("long")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), tie.alias("text_fp"))
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "key", "text_fp"))
     sizes = written(rows, "sizes")
     n = sizes.count()
     if not n:
-        return sizes.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
+        return sizes.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"), "text_fp")
     bits = block_bits(n, BLOCK_ROWS)
     sizes = sizes.withColumn("block", F.shiftrightunsigned("h", 64 - bits))
 
@@ -92,7 +95,7 @@ def mix_sources(
     placed = sizes.withColumn("inside", F.sum("size").over(within)).join(starts, ["key", "block"])
     placed = placed.join(targets.drop("source"), "key").withColumn("end", F.col("start") + F.col("inside"))
     finish = F.array(*[F.when(F.col("target") > 0, (F.col("end") + e * F.col("source_size")) / F.col("target")) for e in range(max_repeats)])
-    placed = written(placed.select("doc_id", "source", "size", "source_size", "target", "key", "h", finish.alias("finish")), "placed")
+    placed = written(placed.select("doc_id", "source", "size", "source_size", "target", "key", "h", "text_fp", finish.alias("finish")), "placed")
 
     budget = targets.agg(F.sum("target")).first()[0] or 0.0
     steps = 1 << bits
@@ -121,4 +124,4 @@ def mix_sources(
         copies = sum(F.when(F.struct(F.col("finish")[e], F.col("key"), F.col("h"), F.lit(e)) <= cut, 1).otherwise(0) for e in range(max_repeats))
     copies = F.when((F.col("size") > 0) & (F.col("target") > 0), copies).otherwise(0)
     decided = placed.withColumn("copies", copies.cast("int"))
-    return decided.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return decided.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "text_fp")

@@ -155,6 +155,12 @@ def span_list(kinds: list[str]) -> Column:
     return F.array_join(F.concat(*map(named, kinds)), ",")
 
 
+def score_list(kinds: list[str]) -> Column:
+    """The scores of the spans of ``span_list``, in the same order."""
+    each = [F.transform(F.col(k), lambda s: F.format_string("%.2f", s["score"])) for k in kinds]
+    return F.array_join(F.concat(*each), ",")
+
+
 def mask(text: Column, spans: Column) -> Column:
     """``text`` with each span of one kind, in order, replaced by as many asterisks."""
     step = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.repeat(F.lit("*"), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t)))

@@ -17,7 +17,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.llm.pii import KINDS, find_pii, span_list
+    from quire.llm.pii import KINDS, find_pii, score_list, span_list
 
     base = ["email", "ip", "card", "phone"]
     found = find_pii(table(spark, sf_dir, "documents"))
@@ -26,9 +26,15 @@ def op3_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(span_list(base), 256).alias("base_sha256"),
         span_list([k.name for k in KINDS]).alias("spans"),
+        score_list([k.name for k in KINDS]).alias("scores"),
     )
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3 SQL can express: the counts and places of the base kinds."""
+    return op3_find_pii(spark, sf_dir).drop("spans", "scores")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +79,7 @@ def op6_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("failed", F.array_join("failed", ","))
 
 
 def op8_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,18 +96,25 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op9 SQL can express: sizes, and the targets of sources."""
+    return op9_mix_sources(spark, sf_dir).drop("taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_exact_dedup": op1_exact_dedup,
-    "op3_find_pii": op3_find_pii,
-    "op2_pack_documents": op2_pack_documents,
-    "op5_near_dedup": op5_near_dedup,
-    "op6_score_toxicity": op6_score_toxicity,
-    "op4_token_files": op4_token_files,
-    "op10_token_counts": op10_token_counts,
-    "op7_quality_rules": op7_quality_rules,
-    "op8_scan_licenses": op8_scan_licenses,
-    "op9_mix_sources": op9_mix_sources,
-}
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_pack_documents, op3_find_pii, op4_token_files, op5_near_dedup, op6_score_toxicity, op7_quality_rules, op8_scan_licenses,
+        op9_mix_sources, op10_token_counts, pii_base, mix_targets,
+    )
+}
+
+
+def _stop_words() -> str:
+    from quire.llm.quality import STOP_WORDS
+
+    return ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -112,4 +125,94 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "pii_base": r"""
+        WITH kinds(k, kind, pattern) AS (VALUES
+            (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+            (2, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+            (3, 'card', '[0-9](?:[\x20-]?[0-9])+'),
+            (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+        t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        cut AS (
+            SELECT rid, 1 AS k, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m,
+                   regexp_split_to_array(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gaps FROM t
+            UNION ALL
+            SELECT rid, 2, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), regexp_split_to_array(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM t
+            UNION ALL
+            SELECT rid, 3, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), regexp_split_to_array(text, '[0-9](?:[\x20-]?[0-9])+') FROM t
+            UNION ALL
+            SELECT rid, 4, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), regexp_split_to_array(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM t
+        ),
+        each AS (SELECT rid, k, generate_subscripts(m, 1) AS i, unnest(m) AS m, gaps FROM cut WHERE len(m) > 0),
+        sized AS (
+            SELECT rid, k, i, m, length(m) AS n, regexp_replace(m, '[^0-9]', '', 'g') AS digits, sum(length(gaps[i]) + length(m)) OVER (PARTITION BY rid, k ORDER BY i) AS upto FROM each
+        ),
+        good AS (
+            SELECT rid, k, upto - n AS a, upto AS b FROM sized
+            WHERE k = 1
+               OR (k = 2 AND list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(p AS HUGEINT), 256) <= 255)))
+               OR (k = 3 AND length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+                       CASE WHEN (length(digits) - j) % 2 = 0 THEN cast(digits[j] AS INT)
+                            ELSE (2 * cast(digits[j] AS INT)) // 10 + (2 * cast(digits[j] AS INT)) % 10 END)) % 10 = 0)
+               OR (k = 4 AND length(digits) BETWEEN 8 AND 15)
+        ),
+        found AS (
+            SELECT rid, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
+                   string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a) AS spans
+            FROM good JOIN kinds USING (k) GROUP BY rid
+        )
+        SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+               sha256(coalesce(spans, '')) AS base_sha256
+        FROM t LEFT JOIN found USING (rid)
+    """,
+    "op7_quality_rules": r"""
+        WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+        lists AS (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM t),
+        w AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM lists),
+        win AS (SELECT *, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
+        counted AS (SELECT rid, i, a, CASE WHEN c IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY rid, a, b, c) END AS n FROM win),
+        covered AS (
+            SELECT rid, a, greatest(n, coalesce(lag(n, 1) OVER p, 0), coalesce(lag(n, 2) OVER p, 0)) > 1 AS again FROM counted WINDOW p AS (PARTITION BY rid ORDER BY i)
+        ),
+        words AS (
+            SELECT rid, count(*) AS n_words, sum(length(a)) AS word_chars, count(*) FILTER (again) AS n_repeat_words, count(*) FILTER (lower(a) IN (STOP_WORDS)) AS n_stop
+            FROM covered GROUP BY rid
+        ),
+        lined AS (SELECT rid, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+        lines AS (
+            SELECT rid, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                   len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…|\|)[\x20\x09-\x0D]*$'))) AS n_cut,
+                   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_marks,
+                   length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]+', '', 'g')) AS n_letters
+            FROM lined
+        ),
+        m AS (
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, n_lines, n_cut, n_marks, n_upper, n_letters, coalesce(n_stop, 0) AS n_stop,
+                   coalesce(n_words, 0) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * coalesce(n_words, 0) AS base_failed
+            FROM t JOIN lines USING (rid) LEFT JOIN words USING (rid)
+        ),
+        judged AS (
+            SELECT *, concat_ws(',',
+                CASE WHEN n_words < 50 THEN 'words' END,
+                CASE WHEN coalesce(word_chars / nullif(n_words, 0), 0) NOT BETWEEN 2 AND 15 THEN 'word_length' END,
+                CASE WHEN n_symbols / nullif(n_words, 0) > 0.3 THEN 'symbols' END,
+                CASE WHEN n_marks / nullif(n_words, 0) > 0.3 THEN 'exclamations' END,
+                CASE WHEN n_upper / nullif(n_letters, 0) > 0.5 THEN 'upper_case' END,
+                CASE WHEN coalesce(n_stop / nullif(n_words, 0), 0) < 0.02 THEN 'stop_words' END,
+                CASE WHEN n_repeat_words / nullif(n_words, 0) > 0.5 THEN 'repeated_words' END,
+                CASE WHEN n_dup_lines / nullif(n_lines, 0) > 0.5 THEN 'repeated_lines' END,
+                CASE WHEN n_cut / nullif(n_lines, 0) > 0.6 THEN 'cut_lines' END) AS failed
+            FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
+    """.replace("STOP_WORDS", _stop_words()),
+    "mix_targets": r"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE row_number() OVER (ORDER BY encode(source) NULLS LAST) % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM d GROUP BY source),
+        r AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio, 1.5::DOUBLE * (SELECT sum(source_size) FROM s) AS budget FROM s),
+        -- the level at which all but the sources that are full by then use up the budget
+        tried AS (SELECT a.ratio, a.budget, sum(least(b.cap, a.ratio * b.w)) AS used, sum(CASE WHEN b.ratio < a.ratio THEN b.cap ELSE 0 END) AS full_, sum(CASE WHEN b.ratio >= a.ratio THEN b.w ELSE 0 END) AS open_ FROM r a, r b GROUP BY a.source, a.ratio, a.budget),
+        level AS (SELECT arg_min((budget - full_) / open_, ratio) AS level FROM tried WHERE used >= budget)
+        SELECT doc_id, size, source_size, least(cap, level * w) AS target FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, level
+    """,
 }

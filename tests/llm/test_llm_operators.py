@@ -635,6 +635,45 @@ def test_mixing(spark, docs, rows):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def plain_mix(rows, hashes):
+    """The copies of each row by queueing one document after another."""
+    sizes, docs = defaultdict(int), defaultdict(list)
+    for k, (_, t, s) in enumerate(rows):
+        sizes[s] += len(WORD.findall(t or ""))
+        docs[s].append(k)
+    target = plain_targets(sizes)
+    size = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    queue = []
+    for s, own in docs.items():
+        end = 0
+        order = sorted(own, key=lambda k: hashes[k] % (1 << 64))  # blocks are in order of unsigned hashes
+        for epoch in range(2):
+            for k in order:
+                end += size[k]
+                if size[k] and target[s]:
+                    queue.append((end / target[s], "n" if s is None else f"s{s}", hashes[k], epoch, k))
+    budget, used, copies = sum(target.values()), 0, Counter()
+    for *_, k in sorted(queue):
+        used += size[k]
+        if used > budget * (1 + 1e-12):
+            break
+        copies[k] += 1
+    return [copies[k] for k in range(len(rows))]
+
+
+def test_mixing_matches_plain_queue(spark):
+    rng = random.Random(14)
+    rows = [(k if k % 9 else None, " ".join(["w"] * rng.randint(0, 12) + [str(k)]), rng.choice(["a", "b", "b", "b", "b", "c", "dd", None])) for k in range(700)]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, source string")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    hashed = d.select("k", F.xxhash64(F.lit(17), F.col("doc_id").cast("string"), key, F.xxhash64("text")).alias("h")).collect()
+    hashes = {r["k"]: r["h"] for r in hashed}
+    want = plain_mix(rows, hashes)
+    got = MX.mix_sources(d.repartition(3)).collect()
+    size = [len(WORD.findall(t)) for _, t, _ in rows]
+    assert Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in got) == Counter((i, s, size[k], want[k]) for k, (i, _, s) in enumerate(rows))
+
+
 def test_mixing_nears_targets(spark):
     rng = random.Random(4)
     rows = [(k, rng.choice(["a", "b", "b", "b", "c"]), " x" * rng.randint(1, 9)) for k in range(4000)]
