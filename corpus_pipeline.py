@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import small, table, written
+from quire.llm.common import drop_paths, free_names, made_paths, named_columns, small, table, text_of, written
 from quire.llm.exact_dedup import keep_first
-from quire.llm.mixing import mix_sources, word_count
+from quire.llm.mixing import mix_sources
 from quire.llm.near_dedup import keep_one
 from quire.llm.packing import pack_documents
 from quire.llm.toxicity import keep_civil, learn_lexicon
@@ -36,15 +36,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy of a document that the mix takes: none, one or two.
 
-    Rows that repeat id, source and size share their copies evenly, rounded.
+    Rows that repeat id, source and text share their copies evenly, rounded.
     """
     mixed = mix_sources(docs)
-    keys = ["doc_id", "source", "size"]
-    copies = mixed.groupBy(keys).agg(F.round(F.avg("copies")).cast("int").alias("copies")).filter("copies > 0")
-    copies = small(written(copies.select([F.col(k).alias(f"_q_{k}") for k in keys] + [F.col("copies").alias("_q_copies")]), "copies"), 60)
-    sized = docs.withColumn("_q_words", word_count("text"))
-    same = sized["doc_id"].eqNullSafe(copies["_q_doc_id"]) & sized["source"].eqNullSafe(copies["_q_source"]) & (sized["_q_words"] == copies["_q_size"])
-    return sized.join(copies, same).withColumn("_q_copy", F.explode(F.sequence(F.lit(1), "_q_copies"))).select(docs.columns)
+    own, copy, doc_id, source, text_fp, copies = free_names(docs, "fp", "copy", "doc_id", "source", "text_fp", "copies")
+    taken = mixed.groupBy("doc_id", "source", "text_fp").agg(F.round(F.avg("copies")).cast("int").alias("copies")).filter("copies > 0")
+    taken = small(written(taken.toDF(doc_id, source, text_fp, copies), "copies"), 60)
+    printed = docs.withColumn(own, F.xxhash64(text_of("text")))
+    same = printed["doc_id"].eqNullSafe(F.col(doc_id)) & printed["source"].eqNullSafe(F.col(source)) & (F.col(own) == F.col(text_fp))
+    each = printed.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return each.select(named_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage makes of ``documents``."""
+    """What the last stage makes of ``documents``.
+
+    Tables that only earlier stages read are deleted as soon as a stage is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    made = made_paths(spark)
+    since = len(made)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            drop_paths(spark, made[since:-1])
     return docs
