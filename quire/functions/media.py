@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import extension
 
-#: Extensions.
+#: Extensions, by the icon or kind that they have. Each list is whole.
 VIDEO = "mp4 mov avi mkv webm wmv flv m4v ts gif".split()
 IMAGE = "avif jpg jpeg jfif png apng gif webp tif tiff tga dds bmp ico hdr exr pbm pam ppm pgm pnm ff qoi pcx".split()
 CODE = (
@@ -19,10 +19,17 @@ CODE = (
 ).split()
 CONFIG = (
     "conf config ini cfg cnf properties env gitconfig gitignore npmrc yarnrc editorconfig dockerignore dockerfile makefile mk nginx apache "
-    "htaccess htpasswd hosts service socket timer mount automount swap target path slice sysctl inputrc bashrc bash_profile bash_logout profile "
-    "zshenv zshrc zprofile zlogin zlogout fishrc"
+    "htaccess htpasswd hosts service socket timer mount automount swap target path slice sysctl tmpfiles udev logind resolved timesyncd coredump "
+    "journald netdev network link netctl wpa pacman mirrorlist vconsole locale fstab crypttab grub syslinux archlinux inputrc bashrc bash_profile "
+    "bash_logout profile zshenv zshrc zprofile zlogin zlogout fishrc fish_variables fish_config fish_plugins fish_functions fish_completions "
+    "fish_aliases fish_abbreviations fish_user_init fish_user_paths fish_user_variables fish_user_functions fish_user_completions "
+    "fish_user_abbreviations fish_user_aliases fish_user_key_bindings"
+).split()
+ARCHIVE = (
+    "zip tar gz bz2 xz zst lz lzma lzo rz sz 7z rar iso dmg pkg deb rpm crx cab msi ar cpio shar lbr mar sbx arc wim swm esd zipx zoo pak kgb ace alz "
+    "apk arj ba bh cfs cramfs dar dd dgc ear gca ha hki ice jar lzh lha lzx partimg paq6 paq7 paq8 pea pim pit qda rk sda sea sen sfx shk sit sitx sqx "
+    "tar.Z uc uc0 uc2 ucn ur2 ue2 uca uha war xar xp3 yz1 zap zz"
 ).split()
-ARCHIVE = "zip tar gz bz2 xz zst lz lzma lzo 7z rar iso dmg pkg deb rpm cab msi ar cpio jar war ear apk lzh lha arj ace zoo pak xar".split()
 DOCUMENT = "csv docx odt odp pptx pdf xlsx xls xlsm xlsb xla xlam ods zip md html".split()
 
 #: Parts of MIME types and extensions; the first part that a type contains decides.

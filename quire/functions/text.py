@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: SGR and OSC-8 escape sequences.
+#: The patterns of escape sequences, of title comments and of image sizes are parts of the format.
 ANSI = r"\x1b(?:\[[0-9;?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\))"
 TITLE = r"<!--\s*S-TITLE:\s*(.*?)\s*-->"
 RESET = "\x1b[0m"
@@ -145,10 +146,14 @@ def base64(data: Column) -> Column:
     return F.regexp_replace(F.base64(data), r"[\r\n]+", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunks(text: Column, size: int = 4096) -> Column:
-    """A text in pieces of ``size`` characters."""
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)), F.lit(size))
-    return F.transform(starts, lambda k: F.substring(text, k, F.lit(size)))
+    """A text in pieces of ``size`` characters, cut in one pass; an empty text is one empty piece."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
 
 
 def escape_unknown_tags(text: Column, known: list[str]) -> Column:
@@ -161,7 +166,7 @@ def escape_unknown_tags(text: Column, known: list[str]) -> Column:
     matches = F.regexp_extract_all(text, F.lit(both), F.lit(0))
     gaps = F.split(text, both, -1)
     escaped = F.transform(matches, lambda m: F.replace(F.replace(m, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
-    joined = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(escaped, i), F.lit(""))))
+    joined = F.zip_with(gaps, escaped, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
     return F.when(F.contains(text, F.lit("<")), F.array_join(joined, "")).otherwise(text)
 
 

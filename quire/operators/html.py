@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.media import allowed, media_type, mime_extension, valid_candidate
+from quire.functions.media import allowed, github_raw, media_type, mime_extension, valid_candidate
 from quire.functions.text import escape_unknown_tags
 
 #: The tags with a rule.
@@ -261,17 +261,26 @@ def html_to_markdown(text: Column, clean: bool = False) -> Column:
 
 
 def _attribute(tag: str, name: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*?\s{name}\s*=\s*[\"']?([^\"'>\s]+)"
+    return rf"(?is)<{tag}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\"'\s>]+)"
+
+
+#: What holds no markup: comments, scripts and styles.
+_SILENT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 
 
 def media_candidates(pages: DataFrame, page: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
-    """(page, ord, src, kind): images, vector images, videos and their sources, in this order; duplicates stay."""
-    t = F.col(text)
-    found = lambda tag, name: F.regexp_extract_all(t, F.lit(_attribute(tag, name)), F.lit(1))
+    """(page, base, ord, src, kind): images, vector images, videos and their sources, in this order; duplicates stay.
+
+    Values may be quoted, with spaces in them; comments, scripts and styles hold no candidates.
+    """
+    t = F.regexp_replace(F.col(text), _SILENT, "")
+    bare = lambda x: F.trim(F.regexp_replace(x, r"(?s)^[\"'](.*)[\"']$", "$1"))
+    values = lambda of, tag, name: F.transform(F.regexp_extract_all(of, F.lit(_attribute(tag, name)), F.lit(1)), bare)
+    found = lambda tag, name: values(t, tag, name)
     svg = lambda a: F.filter(a, lambda x: x.endswith(".svg"))
     of = lambda a, kind: F.transform(a, lambda x: F.struct(x.alias("src"), F.lit(kind).alias("kind")))
     videos = F.regexp_extract_all(t, F.lit(r"(?is)<video\b.*?</video>"), F.lit(0))
-    sources = F.flatten(F.transform(videos, lambda v: F.regexp_extract_all(v, F.lit(_attribute("source", "src")), F.lit(1))))
+    sources = F.flatten(F.transform(videos, lambda v: values(v, "source", "src")))
     every = F.concat(
         of(found("img", "src"), "image"), of(svg(found("object", "data")), "svg"), of(svg(found("embed", "src")), "svg"),
         of(svg(found("img", "src")), "svg"), of(found("video", "src"), "video"), of(sources, "video"),
@@ -299,17 +308,35 @@ def resolve(base: Column, ref: Column) -> Column:
 def biggest_media(candidates: DataFrame, media: DataFrame, page: str = "page_id", most: int | None = None, images: bool = True, videos: bool = True, documents: bool = True) -> DataFrame:
     """(page, src, ext, size): the largest candidate of each page that is what it promised and allowed; of equal ones the first.
 
-    ``media`` has (src, mime, size). Filters come before the join's payload.
+    ``media`` has (src, mime, size); a candidate is looked up by its reference
+    resolved against its page, or as it stands. Filters come before the join's payload.
     """
-    known = media.select("src", mime_extension(F.col("mime")).alias("ext"), "size").filter("ext is not null and size is not null")
+    known = media.select(F.col("src").alias("_url"), mime_extension(F.col("mime")).alias("ext"), "size").filter("ext is not null and size is not null")
     if most is not None:
         known = known.filter(F.col("size") <= most)
     known = known.filter(allowed(media_type(F.col("ext")), images, videos, documents))
-    fit = candidates.join(known, "src").filter(valid_candidate(F.col("kind"), F.col("ext")))
-    best = fit.groupBy(page).agg(F.max_by(F.struct("src", "ext", "size"), F.struct("size", -F.col("ord"))).alias("b"))
+    met = candidates.withColumn("_full", resolve(F.col("base"), F.col("src")) if "base" in candidates.columns else F.col("src"))
+    met = met.withColumn("_url", F.explode(F.array_distinct(F.array("src", "_full"))))
+    fit = met.join(known, "_url").filter(valid_candidate(F.col("kind"), F.col("ext")))
+    best = fit.groupBy(page).agg(F.max_by(F.struct(F.col("_url").alias("src"), "ext", "size"), F.struct("size", -F.col("ord"))).alias("b"))
     return best.select(page, "b.src", "b.ext", "b.size")
 
 
+def scraped(pages: DataFrame, media: DataFrame, page: str = "page_id", url: str = "url", text: str = "html", most: int | None = None, **kinds: bool) -> DataFrame:
+    """(page, src, ext, size) of what a URL gives: itself where its type is known and allowed, else the page's biggest media.
+
+    Blob pages of GitHub stand for their raw files. Pages without either give nothing.
+    """
+    asked = pages.withColumn("_src", github_raw(F.col(url)))
+    known = media.select(F.col("src").alias("_src"), mime_extension(F.col("mime")).alias("ext"), "size").filter("ext is not null")
+    known = known.filter(allowed(media_type(F.col("ext")), **kinds))
+    if most is not None:
+        known = known.filter(F.col("size") <= most)
+    direct = asked.join(known, "_src").select(page, F.col("_src").alias("src"), "ext", "size")
+    rest = pages.join(direct.select(page), page, "left_anti")
+    return direct.unionByName(biggest_media(media_candidates(rest, page, url, text), media, page, most, **kinds))
+
+
 def with_images(refs: DataFrame, images: DataFrame, url: str = "url", alt: str = "alt") -> DataFrame:
     """References with their rendered image, or their alternative text where it is missing or failed."""
     good = images.filter("ok").select(F.col(url), F.col("rendered").alias("_rendered"))

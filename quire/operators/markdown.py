@@ -15,11 +15,12 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import display_width_of
+from quire.functions.wrapping import last_color, visible, wrap_with_color
+from quire.operators.highlight import header, highlight
 from quire.plans.dims import ALERTS, THEMES
 
 
@@ -424,11 +425,6 @@ def to_html(text: str, theme: str | None = None) -> str:
 
 RESET, BOLD, ITALIC, UNDER, STRIKE, FAINT = "\x1b[0m", "\x1b[1m", "\x1b[3m", "\x1b[4m", "\x1b[9m", "\x1b[2m"
 _BULLETS = "●○◆◇"
-_ANSI = re.compile(r"\x1b(?:\[[0-9;?]*[ -/]*[@-~]|\][^\x07\x1b]*(?:\x07|\x1b\\))")
-
-
-def visible(text: str) -> int:
-    return display_width_of(_ANSI.sub("", text))
 
 
 def paint(code: str) -> str:
@@ -436,19 +432,9 @@ def paint(code: str) -> str:
 
 
 def wrap(text: str, width: int) -> list[str]:
-    """A line in lines of at most ``width`` columns where words allow; the last color goes on in the next."""
-    out, line, used, color = [], "", 0, ""
-    for word in re.split(r"( +)", text):
-        w = visible(word)
-        if used and used + w > width and word.strip():
-            out.append(line.rstrip() + (RESET if color else ""))
-            line, used = color, 0
-        if not (used == 0 and not word.strip() and out):
-            line += word
-            used += w
-        for code in re.findall(r"\x1b\[([0-9;]*)m", word):
-            color = "" if code in ("", "0") else (f"\x1b[{code}m" if re.match(r"3[0-7]$|9[0-7]$|38;", code) else color)
-    return [*out, line]
+    """A line in lines of at most ``width`` columns where words allow; the last color goes on in the next line."""
+    lines = wrap_with_color(text, width, width).split("\n")
+    return [x + RESET if k < len(lines) - 1 and last_color(x) else x for k, x in enumerate(lines)]
 
 
 class Terminal:
@@ -456,7 +442,7 @@ class Terminal:
 
     def __init__(self, theme: str = "github", width: int = 80, centered: frozenset[int] = frozenset()):
         self.colors = {k: paint(v) for k, v in THEMES.get(theme, THEMES["github"]).items()}
-        self.width, self.centered = width, centered
+        self.theme, self.width, self.centered = theme, width, centered
 
     def inlines(self, nodes: list[Node]) -> str:
         return "".join(map(self.inline, nodes))
@@ -518,11 +504,13 @@ class Terminal:
                     return [f"{c['border']}{'━' * width}{RESET}"]
                 return [f"{c['comment']}{x}{RESET}" for x in n.text.split("\n")]
             case "code_block":
-                lines = n.text.split("\n")
+                lang = n.info.split(" ")[0] if n.info else ""
+                lines = highlight(n.text, lang, self.theme).split("\n") if lang else [f"{c['green']}{x}{RESET}" for x in n.text.split("\n")]
+                lines = [x for part in lines for x in wrap_with_color(part, width, width, "", True).split("\n")] if depth or len(lines) <= 10 else lines
                 if len(lines) <= 10 or depth:
-                    return [f"{c['green']}{x}{RESET}" for x in lines]
+                    return [header(lang), *lines] if lang else lines
                 digits = len(str(len(lines)))
-                return [f"{c['comment']} {k:>{digits}} │{RESET} {c['green']}{x}{RESET}" for k, x in enumerate(lines, 1)]
+                return [f"{c['comment']} {k:>{digits}} │{RESET} {x}" for k, x in enumerate(lines, 1)]
             case "block_quote":
                 return [f"{c['border']}▌{RESET} {x}" for x in self.blocks(n.children, width - 2, depth + 1)]
             case "alert":
@@ -580,6 +568,12 @@ def to_terminal(text: str, theme: str = "github", width: int = 80, centered: lis
     return re.sub(r"\n([ \t]*\n){2,}", "\n\n", out).strip("\n")
 
 
+def source_breaks(nodes: DataFrame, by: list[str], order: list[str], line: str = "line") -> DataFrame:
+    """``nodes`` with ``breaks``: whether a node of a paragraph starts on another source line than the one before it."""
+    before = F.lag(line).over(Window.partitionBy(*by).orderBy(*order))
+    return nodes.withColumn("breaks", F.coalesce(before != F.col(line), F.lit(False)))
+
+
 def md_to_html(text: Column, theme: str | None = None) -> Column:
     @F.pandas_udf(T.StringType())
     def run(t: pd.Series) -> pd.Series:

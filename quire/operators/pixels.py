@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,61 @@ def nearest(df: DataFrame, palette: Sequence[tuple[int, int, int]], r: str = "r"
     return df.withColumn("_best", best).select(*df.columns, F.col("_best.idx").alias("idx"), F.col("_best.dist").alias("dist"))
 
 
+#: Centers that a row is compared with at once.
+CENTER_BLOCK = 256
+
+
 def nearest_vector(df: DataFrame, centers: DataFrame, vector: str = "embedding", center: str = "center", key: str = "idx") -> DataFrame:
-    """Each row's closest center (of a small table, whose size the caller bounds), of equal ones the least key."""
-    gathered = centers.agg(F.sort_array(F.collect_list(F.struct(key, center))).alias("_centers"), F.lit(1).alias("_one"))
-    joined = df.withColumn("_one", F.lit(1)).join(F.broadcast(gathered), "_one")
+    """Each row's closest center, of equal ones the least key, with the squared distance ``dist``.
+
+    Centers are gathered in blocks of ``CENTER_BLOCK`` at most, dealt by a hash
+    of their key. Of one block a row finds its best at once; where there are
+    several, rows meet each block by its number, and the best of their bests
+    stays. No center is held but with its block.
+    """
+    blocks = max(1, -(-centers.count() // CENTER_BLOCK))
+    dealt = centers.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"), key, center)
+    gathered = dealt.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct(key, center))).alias("_centers"))
     square = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
     best = F.array_min(F.transform("_centers", lambda c: F.struct(square(c[center]).alias("dist"), c[key].alias(key))))
-    return joined.withColumn("_best", best).select(*df.columns, F.col(f"_best.{key}").alias(key), F.col("_best.dist").alias("dist"))
+    if blocks == 1:
+        met = df.withColumn("_block", F.lit(0)).join(F.broadcast(gathered), "_block").withColumn("_best", best)
+    else:
+        rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        scored = rows.join(gathered, "_block").select("_row", F.struct(*df.columns).alias("_all"), best.alias("_best"))
+        met = scored.groupBy("_row").agg(F.first("_all").alias("_all"), F.min("_best").alias("_best")).select("_all.*", "_best")
+    return met.select(*df.columns, F.col(f"_best.{key}").alias(key), F.col("_best.dist").alias("dist"))
+
+
+def palette_of(pixels: DataFrame, colors: int = 256, bits: int = 5) -> list[tuple[int, int, int]]:
+    """A palette for pixels (r, g, b): median cut over the counts of colors in steps of 8.
+
+    Pixels are counted where they are; of the at most 32768 counts, whatever
+    the number of pixels, the box with the widest side is halved at its median
+    until there are ``colors``. A box's color is the mean of its pixels, rounded.
+    """
+    step = 8 - bits
+    cell = [F.shiftright(F.col(c).cast("int"), step).alias(f"_{c}") for c in "rgb"]
+    counts = pixels.groupBy(*cell).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("long")).alias(c) for c in "rgb"])
+    rows = sorted((r["_r"], r["_g"], r["_b"], r["n"], r["r"], r["g"], r["b"]) for r in counts.collect())
+    boxes = [rows] if rows else []
+
+    def spread(box: list) -> tuple[int, int]:
+        return max((max(x[k] for x in box) - min(x[k] for x in box), -k) for k in range(3))
+
+    while len(boxes) < colors:
+        side, at = max(((spread(box), -i) for i, box in enumerate(boxes)), default=((0, 0), 0))
+        if side[0] == 0:
+            break
+        box = sorted(boxes.pop(-at), key=lambda x: x[-side[1]])
+        half, total, cut = sum(x[3] for x in box) / 2, 0, 1
+        for cut, x in enumerate(box[:-1], 1):  # noqa: B007
+            total += x[3]
+            if total >= half:
+                break
+        boxes += [box[:cut], box[cut:]]
+    mean = lambda box, k: round(sum(x[k] for x in box) / sum(x[3] for x in box))
+    return sorted((mean(box, 4), mean(box, 5), mean(box, 6)) for box in boxes)
 
 
 def half_blocks(pixels: DataFrame, image: str = "img") -> DataFrame:
@@ -102,14 +152,27 @@ def palette_percent(r: Column, g: Column, b: Column) -> Column:
 
 
 def image_pixels(images: DataFrame, key: str = "img") -> DataFrame:
-    """(key, x, y, r, g, b, a) of rows with an image struct as Spark's image source reads them: BGR(A), row by row."""
-    i = F.col("image")
-    places = F.explode(F.sequence(F.lit(0), i["width"] * i["height"] - 1))
-    d = images.select(key, "image", places.alias("_k"))
-    byte = lambda c: F.conv(F.hex(F.substring(i["data"], F.col("_k") * i["nChannels"] + c + 1, F.lit(1))), 16, 10).cast("int")
-    gray = i["nChannels"] == 1
-    return d.select(
-        key, (F.col("_k") % i["width"]).alias("x"), F.floor(F.col("_k") / i["width"]).cast("int").alias("y"),
-        F.when(gray, byte(0)).otherwise(byte(2)).alias("r"), F.when(gray, byte(0)).otherwise(byte(1)).alias("g"), byte(0).alias("b"),
-        F.when(i["nChannels"] == 4, byte(3)).otherwise(255).alias("a"),
-    )
+    """(key, x, y, r, g, b, a) of rows with an image struct as Spark's image source reads them: BGR(A), row by row.
+
+    An image's bytes are cut once; its pixels come a few rows at a time.
+    """
+    kind = images.schema[key].dataType
+
+    def run(batches):
+        for batch in batches:
+            for name, w, h, channels, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                cells = np.frombuffer(data, np.uint8)[: w * h * channels].reshape(h, w, channels)
+                blue, green, red = (cells[:, :, min(k, channels - 1)] for k in range(3)) if channels > 1 else [cells[:, :, 0]] * 3
+                alpha = cells[:, :, 3] if channels == 4 else np.full((h, w), 255, np.uint8)
+                step = max(1, 100_000 // max(1, w))
+                for top in range(0, h, step):
+                    part = slice(top, top + step)
+                    n = red[part].size
+                    place = np.arange(n)
+                    planes = [x[part].ravel().astype(np.int32) for x in (red, green, blue, alpha)]
+                    names = pa.array([name] * n, batch.schema.field(0).type)
+                    columns = [(place % w).astype(np.int32), (top + place // w).astype(np.int32), *planes]
+                    yield pa.RecordBatch.from_arrays([names, *map(pa.array, columns)], [key, "x", "y", "r", "g", "b", "a"])
+
+    d = images.select(key, "image.width", "image.height", "image.nChannels", "image.data").filter("data is not null")
+    return d.mapInArrow(run, f"`{key}` {kind.simpleString()}, x int, y int, r int, g int, b int, a int")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import display_width_of, string_len
+
 #: Delimiters that a header line may have; of equal counts the later wins.
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -50,7 +52,18 @@ def detect_delimiter(line: Column) -> Column:
 
 
 def column_widths(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(name, width): the longest cell of each column, its name included."""
-    widths = df.agg(*[F.max(F.char_length(cell(c))).alias(c) for c in columns])
-    named = F.array(*[F.struct(F.lit(c).alias("name"), F.greatest(F.lit(len(c)), F.coalesce(F.col(c), F.lit(0))).alias("width")) for c in columns])
-    return widths.select(F.inline(named))
+    """(name, width): the columns of a terminal that the widest line of each column's cells takes, its name included.
+
+    Lines are trimmed. All cells are measured together, a row of the input at a time.
+    """
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), cell(c).alias("text")) for c in columns])).alias("c"))
+    lines = cells.select(F.col("c.name").alias("name"), F.explode(F.split("c.text", "\n")).alias("line"))
+    widths = lines.groupBy("name").agg(F.max(string_len(F.trim("line"))).alias("width"))
+    names = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(display_width_of(c)).alias("least")) for c in columns])))
+    return names.join(widths, "name", "left").select("name", F.greatest("least", F.coalesce("width", F.lit(0))).alias("width"))
+
+
+def row_heights(columns: Sequence[str]) -> Column:
+    """The lines that a row takes: those of its cell with most, at least one."""
+    ended = lambda c: F.regexp_replace(cell(c), r"\r?\n\z", "")
+    return F.greatest(F.lit(1), *[F.size(F.split(ended(c), "\n")) for c in columns], F.lit(1))

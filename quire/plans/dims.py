@@ -32,6 +32,28 @@ LANGUAGES = {
 }
 
 
+#: By the word after a code fence, the code point of a language's icon and the number of its color.
+ICONS = (
+    "python e235 214, py e235 214, rust e7a8 166, rs e7a8 166, javascript e74e 227, js e74e 227, typescript e628 75, ts e628 75, go e627 81, golang e627 81, c e61e 68, cpp e61d 204, c++ e61d 204, cc e61d 204, cxx e61d 204, java e738 208, "
+    "csharp f81a 129, cs f81a 129, ruby e21e 196, rb e21e 196, php e73d 99, swift e755 202, kotlin e634 141, kt e634 141, dart e798 39, lua e620 33, sh ebca 34, bash f489 34, zsh f489 34, fish f489 34, html e736 202, htm e736 202, css e749 75, "
+    "scss e749 199, sass e74b 199, less e758 54, jsx e7ba 81, tsx e7ba 81, vue fd42 83, json e60b 185, yaml f0c5 167, yml f0c5 167, toml e6b2 131, svg f0721 178, xml e619 172, md f48a 255, markdown f48a 255, rst f15c 248, tex e600 25, latex e600 25, "
+    "txt f15c 248, text f15c 248, log f18d 242, ini f17a 172, conf f0ad 172, config f0ad 172, env f462 227, dockerfile f308 39, docker f308 39, asm f471 124, s f471 124, haskell e777 99, hs e777 99, elm e62c 33, clojure e768 34, clj e768 34, "
+    "scala e737 196, erlang e7b1 125, erl e7b1 125, elixir e62d 99, ex e62d 99, exs e62d 99, perl e769 33, pl e769 33, r f25d 33, matlab f799 202, m f799 202, octave f799 202, zig e6a9 214, h e61e 110, lock f023 244, "
+    "png f1c5 117, jpg f1c5 110, jpeg f1c5 110, gif f1c5 213, bmp f1c5 103, webp f1c5 149, tiff f1c5 144, ico f1c5 221, mp4 f03d 203, mkv f03d 132, webm f03d 111, mov f03d 173, avi f03d 167, flv f03d 131, mp3 f001 215, ogg f001 109, "
+    "flac f001 113, wav f001 123, m4a f001 174, zip f410 180, tar f410 180, gz f410 180, rar f410 180, 7z f410 180, xz f410 180, pdf f1c1 196, doc f1c2 33, docx f1c2 33, xls f1c3 70, xlsx f1c3 70, ppt f1c4 166, pptx f1c4 166, odt f1c2 33, "
+    "epub f02d 135, csv f1c3 190, ttf f031 98, otf f031 98, woff f031 98, woff2 f031 98"
+).split(", ")
+LANGUAGE_ICONS = {name: chr(int(code, 16)) for name, code, _ in (x.split() for x in ICONS)}
+LANGUAGE_COLORS = {name: int(color) for name, _, color in (x.split() for x in ICONS)}
+
+
+def language_icon(lang: Column) -> Column:
+    """struct<icon, color> of a language, the color as a sequence; null for others."""
+    key = F.lower(lang)
+    color = F.concat(F.lit("\x1b[38;5;"), lookup({k: str(v) for k, v in LANGUAGE_COLORS.items()}, key), F.lit("m"))
+    return F.when(lookup(LANGUAGE_ICONS, key).isNotNull(), F.struct(lookup(LANGUAGE_ICONS, key).alias("icon"), color.alias("color")))
+
+
 def lookup(table: dict[str, str], key: Column, default: Column | None = None) -> Column:
     """A value of a small table by lower-case key, in the expression itself."""
     entries = [F.lit(x) for pair in table.items() for x in pair]

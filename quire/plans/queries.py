@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import media as M
+from quire.functions import terminal, wrapping
 from quire.functions import text as X
-from quire.operators import concat, frames, html, markdown, paths, pixels, tables
-from quire.plans.dims import LANGUAGES, THEMES, lookup, theme_color
+from quire.operators import concat, frames, grid, html, images, inputs, markdown, paths, pixels, tables, walk
+from quire.plans.dims import LANGUAGES, THEMES, language_icon, lookup, theme_color
+from quire.sources import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,12 +176,13 @@ def mime_to_ext(spark, sf):
 
 
 @query("""
-    SELECT page_id AS id, 'page' AS what, contains(lower(left(html, 128)), '<!doctype html') OR contains(lower(left(html, 128)), '<html') AS is_html FROM pages
-    UNION ALL SELECT doc_id, 'doc', contains(lower(left(text, 128)), '<html') FROM documents
+    WITH h AS (SELECT page_id AS id, 'page' AS what, lower(try(decode(encode(html)[1:512]))) AS head FROM pages
+        UNION ALL SELECT doc_id, 'doc', lower(try(decode(encode(text)[1:512]))) FROM documents)
+    SELECT id, what, coalesce(contains(head, '<!doctype html') OR contains(head, '<html'), false) AS is_html FROM h
 """)
 def sniff_html(spark, sf):
-    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("what"), M.is_html(F.substring("html", 1, 128).cast("binary")).alias("is_html"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("doc").alias("what"), M.is_html(F.substring("text", 1, 128).cast("binary")).alias("is_html"))
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("what"), M.is_html(F.col("html").cast("binary")).alias("is_html"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("doc").alias("what"), M.is_html(F.col("text").cast("binary")).alias("is_html"))
     return p.unionAll(d)
 
 
@@ -218,7 +221,8 @@ def output_routes(spark, sf):
     return values(spark, "source target", *_ROUTED).withColumn("result", M.route(F.col("source"), F.col("target")))
 
 
-_ICONS = (("a", True, "folder"), ("mp4", False, "video"), ("", False, "file"), ("py", False, "code"), ("ini", False, "conf"), ("tar", False, "archive"), ("docx", False, "txt"), ("ts", False, "video"))
+_ICONS = (("a", True, "folder"), ("mp4", False, "video"), ("", False, "file"), ("py", False, "code"), ("ini", False, "conf"), ("tar", False, "archive"), ("docx", False, "txt"), ("ts", False, "video"),
+    ("fstab", False, "conf"), ("grub", False, "conf"), ("fish_aliases", False, "conf"), ("crx", False, "archive"), ("sit", False, "archive"), ("zipx", False, "archive"), ("zz", False, "archive"), ("fish", False, "code"), ("log", False, "txt"))
 
 
 @query(f"SELECT ext, icon FROM {sql_values('ext is_dir icon', *_ICONS)}")
@@ -259,9 +263,9 @@ def normalize_blank_lines(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.normalize_blank_lines(F.replace(F.col("text"), F.lit(". "), many)).alias("text"))
 
 
-@query("SELECT doc_id, '> ' || replace(regexp_replace(text, '\\n$', ''), chr(10), chr(10) || '> ') AS text FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CASE WHEN text = '' THEN '' ELSE '> ' || replace(regexp_replace(text, '\\n$', ''), chr(10), chr(10) || '> ') END AS text FROM documents")
 def quote_lines(spark, sf):
-    return table(spark, sf, "documents").filter("text <> ''").select("doc_id", X.quote(F.col("text")).alias("text"))
+    return table(spark, sf, "documents").select("doc_id", X.quote(F.col("text")).alias("text"))
 
 
 @query("""
@@ -335,11 +339,11 @@ def parse_kv_options(spark, sf):
 
 
 @query("""
-    SELECT doc_id, ceil(length(b) / 4096.0)::INT AS n, length(b) - 4096 * (ceil(length(b) / 4096.0)::INT - 1) AS last
-    FROM (SELECT doc_id, base64(encode(text)) AS b FROM documents WHERE text <> '')
+    SELECT doc_id, greatest(1, ceil(length(b) / 4096.0))::INT AS n, length(b) - 4096 * (greatest(1, ceil(length(b) / 4096.0))::INT - 1) AS last
+    FROM (SELECT doc_id, base64(encode(text)) AS b FROM documents)
 """)
 def base64_chunks(spark, sf):
-    d = table(spark, sf, "documents").filter("text <> ''").select("doc_id", X.chunks(X.base64(F.col("text").cast("binary"))).alias("c"))
+    d = table(spark, sf, "documents").select("doc_id", X.chunks(X.base64(F.col("text").cast("binary"))).alias("c"))
     return d.select("doc_id", F.size("c").alias("n"), F.length(F.element_at("c", -1)).cast("long").alias("last"))
 
 
@@ -390,11 +394,19 @@ def anchors_extract(spark, sf):
 
 
 @query("""
-    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 's0.svg' ELSE 'm.mp4' END AS src, CASE WHEN page_id % 3 = 0 THEN 'svg' ELSE 'mp4' END AS ext, 90 AS size FROM pages
+    WITH c AS (SELECT page_id, ord, kind, ext, CASE WHEN src LIKE '/%' THEN regexp_extract(url, '^https?://[^/]+') || src ELSE regexp_replace(url, '[^/]*$', '') || src END AS src
+        FROM pages, LATERAL (VALUES
+            (0, '/i/' || page_id || '.png', 'image', 'png'), (1, 's' || page_id % 3 || '.svg', 'image', 'svg'), (2, 'v.svg', 'svg', 'svg'),
+            (3, 's' || page_id % 3 || '.svg', 'svg', 'svg'), (4, 'm.mp4', 'video', 'mp4'), (5, 'n.webm', 'video', 'webm')) AS v(ord, src, kind, ext)),
+    s AS (SELECT *, length(src) * 37 % 11 * 10 AS size FROM c WHERE kind <> 'image' OR ext <> 'svg')
+    SELECT page_id, arg_max(src, size * 10 - ord) AS src, arg_max(ext, size * 10 - ord) AS ext, max(size) AS size FROM s GROUP BY page_id
 """)
 def biggest_media_per_page(spark, sf):
-    media = values(spark, "src mime size", ("s0.svg", "image/svg+xml", 90), ("s1.svg", "image/svg+xml", 20), ("v.svg", "image/svg+xml", 10), ("m.mp4", "video/mp4", 90), ("n.webm", "text/html", 500), ("s2.svg", "image/svg+xml", None))
-    return html.biggest_media(_candidates(spark, sf), media)
+    found = _candidates(spark, sf)
+    url = html.resolve(F.col("base"), F.col("src"))
+    mime = F.element_at(F.create_map(*map(F.lit, ("png", "image/png", "svg", "image/svg+xml", "mp4", "video/mp4", "webm", "video/webm"))), X.extension(F.col("src")))
+    media = found.select(url.alias("src"), mime.alias("mime")).distinct().withColumn("size", F.length("src") * 37 % 11 * 10)
+    return html.biggest_media(found, media)
 
 
 @query("SELECT page_id, ord, CASE WHEN src LIKE '%.svg' THEN 'image of ' || src ELSE kind END AS shown FROM (SELECT page_id, ord, src, kind FROM pages, LATERAL (VALUES (0, '/i/' || page_id || '.png', 'image'), (1, 's' || page_id % 3 || '.svg', 'image'), (2, 'v.svg', 'svg'), (3, 's' || page_id % 3 || '.svg', 'svg'), (4, 'm.mp4', 'video'), (5, 'n.webm', 'video')) AS v(ord, src, kind))")
@@ -439,7 +451,7 @@ def last_child_flag(spark, sf):
     return paths.tree_labels(_tree(spark, sf)).select("path", F.col("depth").cast("long").alias("depth"), "last")
 
 
-@query(f"SELECT path, row_number() OVER (ORDER BY is_dir DESC, lower(path), path)::INT AS place FROM {_TREE}")
+@query(f"SELECT path, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY is_dir DESC, lower(path), path)::INT AS place FROM {_TREE}")
 def listing_order(spark, sf):
     return paths.listing(_tree(spark, sf)).select("path", "place")
 
@@ -470,12 +482,12 @@ def nearest_palette(spark, sf):
 @query("""
     SELECT vec_id, idx FROM (
         SELECT e.vec_id, c.vec_id AS idx, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_sum(list_transform(list_zip(e.embedding, c.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE))), c.vec_id) AS rn
-        FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 8) c
+        FROM embeddings e, (SELECT min(vec_id) AS vec_id, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) c
     ) WHERE rn = 1
 """)
 def nearest_vector(spark, sf):
     e = table(spark, sf, "embeddings")
-    centers = e.filter("vec_id < 8").select(F.col("vec_id").alias("idx"), F.col("embedding").alias("center"))
+    centers = e.groupBy("label").agg(F.min("vec_id").alias("idx"), F.min_by("embedding", "vec_id").alias("center")).select("idx", "center")
     return pixels.nearest_vector(e, centers).select("vec_id", "idx")
 
 
@@ -609,17 +621,22 @@ def viewport(spark, sf):
     FROM lineitem GROUP BY l_orderkey
 """)
 def bbox_fake_line(spark, sf):
-    b = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min("l_quantity").alias("x1"), F.max("l_quantity").alias("x2"), F.min("l_linenumber").alias("y1"), F.max("l_linenumber").alias("y2"))
-    return b.withColumn("fake_line", ((F.col("x2") - F.col("x1")) < 2) != ((F.col("y2") - F.col("y1")) < 2))
+    return grid.boxes(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber")
 
 
 @query("""
-    SELECT p_size AS page, p_partkey % 50 AS line, string_agg(left(p_name, 3), ' ' ORDER BY p_partkey) AS text FROM part GROUP BY ALL
+    WITH t AS (SELECT p_size AS page, p_partkey AS ord, (p_partkey * 13 % 600)::DOUBLE AS x, (p_partkey * 29 % 780)::DOUBLE AS y, p_name AS text FROM part),
+    c AS (SELECT page, ord, 80 - round(y / 10)::INT AS r, round(x / 4)::INT + k - 1 AS col, text[k] AS ch FROM (SELECT *, unnest(range(1, length(text) + 1)) AS k FROM t)),
+    u AS (SELECT page, r, col, arg_max(ch, ord) AS ch FROM c GROUP BY ALL),
+    spans AS (SELECT page, r, unnest(range(0, max(col) + 1)) AS col FROM u WHERE ch <> ' ' GROUP BY page, r),
+    lines AS (SELECT page, r, string_agg(coalesce(ch, ' '), '' ORDER BY col) AS line FROM spans LEFT JOIN u USING (page, r, col) GROUP BY ALL),
+    every AS (SELECT page, unnest(range(min(r), max(r) + 1)) AS r FROM lines GROUP BY page)
+    SELECT page, string_agg(coalesce(line, ''), chr(10) ORDER BY r) AS text FROM every LEFT JOIN lines USING (page, r) GROUP BY page
 """)
 def grid_project_text(spark, sf):
-    d = table(spark, sf, "part").select(F.col("p_size").alias("page"), (F.col("p_partkey") % 50).alias("line"), "p_partkey", F.substring("p_name", 1, 3).alias("t"))
-    cells = F.sort_array(F.collect_list(F.struct("p_partkey", "t")))
-    return d.groupBy("page", "line").agg(F.array_join(F.transform(cells, lambda c: c["t"]), " ").alias("text"))
+    k = F.col("p_partkey")
+    d = table(spark, sf, "part").select(F.col("p_size").alias("page"), k.alias("ord"), (k * 13 % 600).cast("double").alias("x"), (k * 29 % 780).cast("double").alias("y"), F.col("p_name").alias("text"))
+    return grid.grid_text(d)
 
 
 @query("""
@@ -632,6 +649,263 @@ def frame_totals(spark, sf):
     return table(spark, sf, "part").select("p_partkey", G.frame_total(time, F.lit(24)).alias("frames"), c["fore"].cast("long").alias("fore"), c["back"].cast("long").alias("back"))
 
 
+# --- inputs, walks and image references
+
+@query("""
+    SELECT doc_id, lower(md5(CASE WHEN b = '' THEN '' ELSE string_agg(chr(27) || '_G' || CASE WHEN k = 0 THEN 'f=100,a=T,i=' || doc_id || ',' ELSE '' END || 'q=2,m=' || CASE WHEN (k + 1) * 4096 < length(b) THEN 1 ELSE 0 END || ';' || substr(b, k * 4096 + 1, 4096) || chr(27) || chr(92), '' ORDER BY k) END)) AS md5
+    FROM (SELECT doc_id, b, unnest(range(0, greatest(1, ceil(length(b) / 4096.0))::BIGINT)) AS k FROM (SELECT doc_id, base64(encode(text)) AS b FROM documents)) GROUP BY doc_id, b
+""")
+def kitty_commands(spark, sf):
+    options = F.concat(F.lit("f=100,a=T,i="), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(terminal.kitty_image(X.base64(F.col("text").cast("binary")), options)).alias("md5"))
+
+
+@query("""
+    SELECT c_custkey, chr(27) || '[' || (c_custkey % 9 + 1) || ';' || (c_custkey % 7 + 1) || 'H' || chr(27) || '[' || c_custkey % 5 || 'C' || chr(27) || ']1337;File=inline=1;size=' || length(b) || ':' || b || chr(7) AS text
+    FROM (SELECT c_custkey, base64(encode(c_name)) AS b FROM customer)
+""")
+def iterm_strings(spark, sf):
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select("c_custkey", terminal.iterm_image(X.base64(F.col("c_name").cast("binary")), k % 5, k % 7, k % 9).alias("text"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, p_size % 9 + 1 AS cols, p_partkey % 4 + 1 AS rows, p_partkey * 70001 AS id, [chr(773), chr(781), chr(782), chr(784), chr(786), chr(829), chr(830), chr(831), chr(838)] AS d FROM part),
+    cells AS (SELECT p_partkey, id, r, string_agg(chr(1109742) || d[r + 1] || d[c + 1] || d[(id >> 24) % 256 + 1], '' ORDER BY c) AS line FROM (SELECT *, unnest(range(0, cols)) AS c FROM (SELECT *, unnest(range(0, rows)) AS r FROM p)) GROUP BY ALL),
+    color AS (SELECT *, chr(27) || '[38;2;' || (id >> 16) % 256 || ';' || (id >> 8) % 256 || ';' || id % 256 || 'm' AS color FROM cells)
+    SELECT p_partkey, color || string_agg(color || line, chr(10) ORDER BY r) || chr(27) || '[39m' AS text FROM color GROUP BY p_partkey, color
+""")
+def unicode_placeholders(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", terminal.unicode_placeholder(F.col("p_size") % 9 + 1, k % 4 + 1, k * 70001).alias("text"))
+
+
+_MODES = "(VALUES (0, 'auto', 'kitty', 'all', -1), (1, 'auto', 'iterm', 'small', 50000), (2, 'auto', 'sixel', 'small', 50000), (3, 'auto', 'ascii', 'none', 50000), (4, 'all', 'ascii', 'all', -1), (5, 'none', 'kitty', 'none', 50000))"
+
+
+@query(f"SELECT c_custkey, shown, cap FROM customer JOIN {_MODES} AS v(k, mode, encoder, shown, cap) ON c_custkey % 6 = k")
+def image_modes(spark, sf):
+    k = (F.col("c_custkey") % 6 + 1).cast("int")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), k)
+    mode = terminal.image_mode(pick("auto", "auto", "auto", "auto", "all", "none"), pick("kitty", "iterm", "sixel", "ascii", "ascii", "kitty"))
+    return table(spark, sf, "customer").select("c_custkey", mode.alias("shown"), F.coalesce(terminal.image_cap(mode), F.lit(-1)).alias("cap"))
+
+
+@query("""
+    SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_custkey % 2 = 1 AND c_custkey > 30 WHEN 1 THEN true ELSE false END AS paged, c_custkey % 4 = 0 AND c_custkey % 5 = 0 AS indented,
+        c_custkey % 6 <> 0 OR c_custkey % 2 <> 0 AS zoomed, c_custkey % 3 = 1 AS fetched, c_custkey % 4 = 2 AS yes
+    FROM customer
+""")
+def switches(spark, sf):
+    k = F.col("c_custkey")
+    paging = F.when(k % 3 == 0, "auto").when(k % 3 == 1, "always").otherwise("never")
+    url = F.when(k % 3 == 0, "http://a.b/c").when(k % 3 == 1, "https://a.b/c").otherwise("a/b/c")
+    return table(spark, sf, "customer").select(
+        "c_custkey", terminal.pages(paging, k % 2 == 1, k, F.lit(30)).alias("paged"), terminal.indents(k % 4 == 0, k % 5).alias("indented"),
+        terminal.zooms(F.when(k % 6 != 0, F.lit(2)), k % 2, F.lit(None).cast("int")).alias("zoomed"), terminal.is_url(url).alias("fetched"),
+        terminal.truthy(F.when(k % 4 == 2, "True").otherwise("no")).alias("yes"),
+    )
+
+
+@query("""
+    SELECT s_suppkey, 'https://h/chromium-browser-snapshots/' || remote || '/' || rev || '/' || archive || CASE WHEN exe = 'chrome.exe' AND rev <= 591479 THEN '32' ELSE '' END || '.zip' AS url, folder || '-' || rev AS folder, folder || '-' || rev || '/' || exe AS executable
+    FROM (SELECT s_suppkey, 591400 + s_suppkey AS rev, s_suppkey % 6 AS k FROM supplier) LEFT JOIN (VALUES (0, 'chrome-linux', 'chrome', 'Linux_x64', 'linux'), (1, 'chrome-mac', 'Chromium.app/Contents/MacOS/Chromium', 'Mac', 'mac'),
+        (2, 'chrome-mac', 'Chromium.app/Contents/MacOS/Chromium', 'Mac_Arm', 'mac_arm'), (3, 'chrome-win', 'chrome.exe', 'Win', 'win32'), (4, 'chrome-win', 'chrome.exe', 'Win_x64', 'win64')) AS v(k, archive, exe, remote, folder) USING (k)
+""")
+def platform_urls(spark, sf):
+    k = (F.col("s_suppkey") % 6 + 1).cast("int")
+    name = F.element_at(F.array(*map(F.lit, ("linux", "mac", "mac_arm", "win32", "win64", "bsd"))), k)
+    p = terminal.platform_paths(name, F.lit("https://h"), 591400 + F.col("s_suppkey"))
+    return table(spark, sf, "supplier").select("s_suppkey", p["url"].alias("url"), p["folder"].alias("folder"), p["executable"].alias("executable"))
+
+
+@query("""
+    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type WHEN event_id % 3 = 0 THEN user_id::VARCHAR WHEN event_id % 5 = 0 THEN 'p' END AS place FROM events
+""")
+def first_places(spark, sf):
+    k = F.col("event_id")
+    places = F.when(k % 2 == 0, F.col("event_type")), F.when(k % 3 == 0, F.col("user_id").cast("string")), F.when(k % 5 == 0, "p")
+    return table(spark, sf, "events").select("event_id", terminal.first_found(*places).alias("place"))
+
+
+@query("""
+    SELECT c_custkey, 'kitty' AS encoder, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS theme, c_custkey % 3 = 1 AS silent, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'small' END AS images FROM customer
+""")
+def env_settings(spark, sf):
+    k = F.col("c_custkey")
+    entry = lambda name, value: F.struct(F.lit(name).alias("k"), value.alias("v"))
+    env = F.map_from_entries(F.filter(F.array(
+        entry("X_ENCODER", F.lit("KITTY")), F.when(k % 2 == 0, entry("X_THEME", F.col("c_name"))), entry("X_SILENT", F.when(k % 3 == 1, "TRUE").otherwise("0")),
+        entry("X_MD_IMAGE", F.when(k % 5 == 0, "Small").when(k % 5 == 1, "small").otherwise("some")), entry("OTHER", F.lit("1")),
+    ), lambda x: x.isNotNull()))
+    s = terminal.settings(env, "X")
+    return table(spark, sf, "customer").select("c_custkey", s["encoder"].alias("encoder"), s["theme"].alias("theme"), s["silent"].alias("silent"), s["images"].alias("images"))
+
+
+@query("""
+    SELECT conv_id, turn, any_value(repeat(chr(27) || '[1m', 1) || ltrim(text, ' ') || chr(27) || '[0m') AS text FROM (SELECT conv_id, turn, rtrim(text, ' ') AS text FROM conversations) WHERE NOT regexp_matches(text, '^\\s|\\s$') GROUP BY conv_id, turn, text
+    UNION ALL SELECT conv_id, turn, NULL FROM conversations WHERE regexp_matches(rtrim(text, ' '), '^\\s|\\s$')
+""".replace("\\\\", "\\"))
+def trimmed_ansi(spark, sf):
+    """Texts with spaces put inside and outside of their colors; those that have white space of their own at the ends give null."""
+    d = table(spark, sf, "conversations").withColumn("text", F.rtrim("text"))
+    padded = F.concat(F.lit(" \x1b[1m"), F.repeat(F.lit(" "), (F.col("turn") % 3).cast("int")), F.col("text"), F.lit("  \x1b[0m "))
+    own = F.col("text").rlike(r"^\s|\s$")
+    return d.select("conv_id", "turn", F.when(~own, terminal.trim_ansi(padded)).alias("text"))
+
+
+@query("""
+    SELECT c_custkey, 'a' || chr(27) || '[24m' || c_name || ' 1' || CASE c_custkey % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'b' || chr(27) || '[24m' || c_name || ' 2' || 'c' ELSE 'b' || chr(27) || '[24m' || c_name || ' 2' || 'c[IMG]d' END AS text FROM customer
+""")
+def placed_images(spark, sf):
+    text = F.element_at(F.array(*map(F.lit, ("a[IMG]b", "a[IMG]b[IMG]c", "a[IMG]b[IMG]c[IMG]d"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    image = F.concat(F.col("c_name"), F.lit(" 1\n"), F.col("c_name"), F.lit(" 2"))
+    return table(spark, sf, "customer").select("c_custkey", terminal.replace_placeholder(text, F.lit("[IMG]"), image).alias("text"))
+
+
+@query("""
+    WITH r AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://x/i.png' WHEN 1 THEN 'data:image/png' WHEN 2 THEN 'i' || page_id || '.png' WHEN 3 THEN '/d/i' || page_id || '.png' ELSE 'none.png' END AS src FROM pages)
+    SELECT page_id, page_id % 5 > 1 AS local, CASE WHEN page_id % 5 = 2 AND page_id % 2 = 0 THEN src WHEN page_id % 5 = 2 THEN 'md/' || src WHEN page_id % 5 = 3 THEN src END AS found FROM r
+""")
+def image_sources(spark, sf):
+    k = F.col("page_id")
+    name = F.concat(F.lit("i"), k.cast("string"), F.lit(".png"))
+    src = F.when(k % 5 == 0, "https://x/i.png").when(k % 5 == 1, "data:image/png").when(k % 5 == 2, name).when(k % 5 == 3, F.concat(F.lit("/d/"), name)).otherwise("none.png")
+    refs = table(spark, sf, "pages").select("page_id", src.alias("src"), F.lit("md").alias("dir"))
+    files = table(spark, sf, "pages").select(F.explode(F.array(F.when(k % 2 == 0, name), F.concat(F.lit("md/"), name), F.concat(F.lit("/d/"), name))).alias("path")).filter("path is not null")
+    return images.located(refs, files).select("page_id", "local", "found")
+
+
+@query(f"""
+    SELECT path, path IN (SELECT path FROM {_TREE}) AS "exists", coalesce(path IN (SELECT path FROM {_TREE} WHERE NOT is_dir), false) AS is_file, coalesce(path IN (SELECT path FROM {_TREE} WHERE is_dir), false) AS is_dir
+    FROM (SELECT DISTINCT unnest([path, path || 'x', regexp_extract(path, '^(/d[^/]*)', 1)]) AS path FROM ({_PATHS}))
+""")
+def path_gates(spark, sf):
+    path = F.col("path")
+    asked = _url_paths(spark, sf).select(F.explode(F.array(path, F.concat(path, F.lit("x")), F.regexp_extract("path", "^(/d[^/]*)", 1))).alias("path")).distinct()
+    return images.existing(asked, _tree(spark, sf))
+
+
+@query(f"""
+    WITH t AS (SELECT path, split_part(path, '/', 2) AS d, split_part(path, '/', 3) AS e, split_part(path, '/', 4) AS f FROM {_TREE})
+    SELECT path FROM t
+    WHERE d <> 'd2' AND NOT (d = 'd4' AND e = 'e1' AND f LIKE 'f%3')
+      AND (CASE WHEN d = 'd3' AND f LIKE '%9' THEN f = 'f29' WHEN f LIKE 'f12%' THEN true ELSE f NOT LIKE 'f1%' END)
+""")
+def walked_files(spark, sf):
+    """The tree of paths without what ignore files in two folders exclude."""
+    rules = values(spark, "dir text", ("", "# first\n\nf1*\n!f12*\n/d2/\nd4/e1/f*3\ne1/f*4\n"), ("/d3", "*9  \n!f29\nf2*/\n"))
+    return walk.walked(_tree(spark, sf), walk.ignore_rules(rules)).select("path")
+
+
+@query("""
+    SELECT user_id, 'l' || event_id AS label, event_id::VARCHAR AS path FROM events WHERE event_id % 3 = 0
+""")
+def chosen_labels(spark, sf):
+    k = F.col("event_id")
+    label = F.concat(F.lit("l"), k.cast("string"))
+    each = F.sort_array(F.collect_list(F.struct("event_id", k.cast("string").alias("path"), label.alias("label"))))
+    trees = table(spark, sf, "events").groupBy("user_id").agg(F.transform(each, lambda x: x["path"]).alias("paths"), F.transform(each, lambda x: x["label"]).alias("labels"))
+    chosen = table(spark, sf, "events").select("user_id", F.when(k % 3 == 0, label).otherwise(F.concat(label, F.lit("?"))).alias("label"))
+    return inputs.chosen_paths(trees, chosen, ["user_id"])
+
+
+@query("""
+    SELECT user_id, string_agg('file ' || chr(39) || 'v' || event_id || '.' || event_type || chr(39) || chr(10), '' ORDER BY event_id) AS list, arg_min(lower(event_type), event_id) AS ext FROM events GROUP BY user_id
+""")
+def video_lists(spark, sf):
+    d = table(spark, sf, "events").select("user_id", F.col("event_id").alias("ord"), F.concat(F.lit("v"), F.col("event_id").cast("string"), F.lit("."), F.col("event_type")).alias("path"))
+    return inputs.video_list(d, ["user_id"])
+
+
+@query("""
+    SELECT c_nationkey, string_agg('p/' || c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '.jpg' ELSE '.jpeg' END, ' ' ORDER BY c_custkey || CASE WHEN c_custkey % 4 = 0 THEN '.jpg' ELSE '.jpeg' END) AS pages FROM customer WHERE c_custkey % 4 < 2 GROUP BY c_nationkey
+""")
+def page_images(spark, sf):
+    ext = F.element_at(F.array(*map(F.lit, (".jpg", ".jpeg", ".JPG", ".png"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    d = table(spark, sf, "customer").select("c_nationkey", F.concat(F.lit("p/"), F.col("c_custkey").cast("string"), ext).alias("path"))
+    return inputs.page_files(d, ["c_nationkey"]).select("c_nationkey", F.array_join("pages", " ").alias("pages"))
+
+
+@query("""
+    SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id
+""")
+def first_inputs(spark, sf):
+    return inputs.first_input(table(spark, sf, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id")
+
+
+@query("""
+    SELECT name, grp::INT AS grp, ord, row_number() OVER (ORDER BY grp, ord)::INT AS n FROM (SELECT n_name AS name, 1 AS grp, n_nationkey::BIGINT AS ord FROM nation UNION ALL SELECT r_name, 0, r_regionkey::BIGINT FROM region)
+""")
+def piped_inputs(spark, sf):
+    from pyspark.sql import Window
+
+    named = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
+    piped = table(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("ord"))
+    d = inputs.all_inputs(piped, named)
+    return d.select("name", F.col("place.group").alias("grp"), F.col("place.ord").alias("ord"), F.row_number().over(Window.orderBy("place")).alias("n"))
+
+
+@query("""
+    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN chr(57909) WHEN 1 THEN chr(59304) WHEN 2 THEN chr(61441) END AS icon, CASE c_custkey % 4 WHEN 0 THEN chr(27) || '[38;5;214m' WHEN 1 THEN chr(27) || '[38;5;166m' WHEN 2 THEN chr(27) || '[38;5;113m' END AS color FROM customer
+""")
+def language_icons(spark, sf):
+    lang = F.element_at(F.array(*map(F.lit, ("PY", "rust", "flac", "none"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    i = language_icon(lang)
+    return table(spark, sf, "customer").select("c_custkey", i["icon"].alias("icon"), i["color"].alias("color"))
+
+
+@query("""
+    SELECT doc_id, greatest(1, len(string_split(regexp_replace(text, '\\\\r?\\\\n$', ''), chr(10))))::INT AS height FROM documents
+""")
+def row_heights(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tables.row_heights(["doc_id", "text", "source"]).alias("height"))
+
+
+@query("""
+    SELECT event_id, coalesce(lag(v) OVER (PARTITION BY user_id ORDER BY event_id) <> v, false) AS breaks FROM (SELECT *, event_id // 7 % 3 AS v FROM events)
+""")
+def source_breaks(spark, sf):
+    d = table(spark, sf, "events").select("user_id", "event_id", (F.floor(F.col("event_id") / 7) % 3).alias("line"))
+    return markdown.source_breaks(d, ["user_id"], ["event_id"]).select("event_id", "breaks")
+
+
+@query(r"""
+    SELECT doc_id, CASE WHEN doc_id % 2 = 0 OR NOT regexp_matches(text, '[^\x00-\x7F]') THEN 'utf-8' ELSE 'windows-1252' END AS encoding, text FROM documents
+""")
+def decoded_texts(spark, sf):
+    """Texts of two encodings, told apart by their bytes; those that Latin 1 can't write stay in UTF-8."""
+    text = F.col("text")
+    data = F.when(F.col("doc_id") % 2 == 0, F.encode(text, "UTF-8")).otherwise(F.encode(text, "ISO-8859-1"))
+    return table(spark, sf, "documents").select("doc_id", convert.decoded(data).alias("d")).select("doc_id", "d.encoding", "d.text")
+
+
+@query("""
+    SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://github.com/a/b/blob/x/' || page_id || '.png?raw=true' ELSE regexp_replace(url, '[^/]*$', '') || 'n.webm' END AS src, CASE WHEN page_id % 2 = 0 THEN 'png' ELSE 'webm' END AS ext, CASE WHEN page_id % 2 = 0 THEN 5 ELSE 7 END AS size FROM pages
+""")
+def scraped_media(spark, sf):
+    k = F.col("page_id")
+    blob = F.concat(F.lit("https://github.com/a/b/blob/x/"), k.cast("string"), F.lit(".png"))
+    markup = F.concat(F.col("html"), F.lit("<!-- <img src='c.png'> --><script>'<img src=\"d.png\">'</script><video><source src='n.webm'></video><img src=\"no type.png\">"))
+    p = table(spark, sf, "pages").select("page_id", F.when(k % 2 == 0, blob).otherwise(F.col("url")).alias("url"), markup.alias("html"))
+    own = F.when(k % 2 == 0, F.concat(blob, F.lit("?raw=true"))).otherwise(F.concat(F.regexp_extract("url", "^(.*/)", 1), F.lit("n.webm")))
+    media = table(spark, sf, "pages").select(own.alias("src"), F.when(k % 2 == 0, "image/png").otherwise("video/webm").alias("mime"), F.when(k % 2 == 0, 5).otherwise(7).alias("size")).distinct()
+    return html.scraped(p, media)
+
+
+@query(None)
+def quantized_palette(spark, sf):
+    """A palette of 16 colors for all parts as pixels."""
+    k = F.col("p_partkey")
+    d = table(spark, sf, "part").select((k % 256).alias("r"), (k * 3 % 256).alias("g"), (k * 7 % 251).alias("b"))
+    return values(spark, "idx r g b", *[(i, *c) for i, c in enumerate(pixels.palette_of(d, 16))])
+
+
+@query(None)
+def wrapped_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", wrapping.wrapped(F.col("text"), 60, 1, "> ", "  ").alias("text"))
+
+
 # --- beyond SQL
 
 @query(None)
@@ -668,15 +942,12 @@ def md_terminal(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", markdown.md_to_terminal(F.col("text")).alias("ansi"))
 
 
-@query("SELECT doc_id, length(text)::INT AS width FROM documents WHERE NOT regexp_matches(text, '[^ -~à-üÀ-Ü]')")
+@query(r"""
+    SELECT doc_id, (length(text) - length(regexp_replace(text, '[^\p{Mn}\p{Me}\p{Cf}\p{Cc}]+', '', 'g'))
+        + length(regexp_replace(text, '[^\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}\x{1F900}-\x{1F9FF}]+', '', 'g')))::INT AS width
+    FROM documents
+""")
 def display_width(spark, sf):
-    d = table(spark, sf, "documents").filter(~F.col("text").rlike("[^ -~à-üÀ-Ü]"))
-    return d.select("doc_id", X.string_len(F.concat(F.lit("\x1b[1m"), F.col("text"), F.lit("\x1b[0m"))).alias("width"))
-
-
-@query(None)
-def display_width_all(spark, sf):
-    """The width of every document; ``display_width`` keeps to those whose SQL can be ``length``."""
     return table(spark, sf, "documents").select("doc_id", X.string_len(F.concat(F.lit("\x1b[1m"), F.col("text"), F.lit("\x1b[0m"))).alias("width"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
+import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -13,12 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import extension, fence
+from quire.functions.text import extension, fence, with_title
 from quire.sources import office, pdf
 
-#: Nested archives are opened this deep.
-DEPTH = 8
-
 
 def delimiter(line: str) -> str:
     """The delimiter of a header line: of equal counts the last candidate."""
@@ -62,7 +62,7 @@ def zip_type(data: bytes, compat: bool = False) -> str:
     return "zip"
 
 
-def convert(data: bytes, ext: str, depth: int = 0) -> str:
+def convert(data: bytes, ext: str, within: tuple[bytes, ...] = (), screen: tuple[int | None, int | None] = (None, None)) -> str:
     """A file's Markdown by its extension; unknown ones are fenced as they are, if they are UTF-8."""
     match ext:
         case "csv":
@@ -76,22 +76,27 @@ def convert(data: bytes, ext: str, depth: int = 0) -> str:
         case "xlsx" | "xlsm" | "ods":
             return office.workbook(data, ext)
         case "pdf":
-            return pdf.pdf(data)
+            return pdf.pdf(data, *screen)
         case "zip":
-            return zip_markdown(data, depth)
+            return zip_markdown(data, within, screen)
         case "md" | "html":
             return data.decode() + "\n\n"
     return f"```{ext}\n{data.decode()}\n```"
 
 
-def zip_markdown(data: bytes, depth: int = 0) -> str:
-    """Every file of an archive under its name; one that can't be read says so in its place."""
+def zip_markdown(data: bytes, within: tuple[bytes, ...] = (), screen: tuple[int | None, int | None] = (None, None)) -> str:
+    """Every file of an archive under its name; one that can't be read says so in its place.
+
+    Archives in archives are opened however deep they lie. One that holds
+    itself, which would never end, can't be read there.
+    """
     out = []
+    within = (*within, hashlib.sha256(data).digest())
     for _, name, content in archive_members(data):
         try:
-            if depth >= DEPTH:
-                raise ValueError("archives are nested too deep")
-            body = convert(content, ext_of(name), depth + 1)
+            if ext_of(name) == "zip" and hashlib.sha256(content).digest() in within:
+                raise ValueError("the archive holds itself")
+            body = convert(content, ext_of(name), within, screen)
         except Exception as e:
             body = f"**[Failed Reading: {e}]**"
         out.append(f"# `{name}`\n\n{body}\n\n")
@@ -106,31 +111,104 @@ def ext_of(path: str) -> str:
 RESULT = T.StructType().add("md", T.StringType()).add("error", T.StringType())
 
 
-@F.pandas_udf(RESULT)
-def _convert(data: pd.Series, ext: pd.Series) -> pd.DataFrame:
+def _convert(data: Column, ext: Column, screen: tuple[int | None, int | None]) -> Column:
+    @F.pandas_udf(RESULT)
+    def run(data: pd.Series, ext: pd.Series) -> pd.DataFrame:
+        out = []
+        for d, e in zip(data, ext, strict=True):
+            try:
+                out.append((convert(bytes(d), e or "", screen=screen), None) if d is not None else (None, None))
+            except Exception as error:
+                out.append((None, f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(out, columns=["md", "error"])
+
+    return run(data, ext)
+
+
+def guess_encoding(data: bytes, limit: int = 4096) -> str:
+    """The encoding of a text by its first bytes: a byte order mark, UTF-8 where it is valid, else what looks most like writing.
+
+    Bytes of the East Asian and Cyrillic encodings count by the letters that
+    they would make; Western text is windows-1252.
+    """
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if data.startswith(mark):
+            return name
+    head = data[:limit]
+    if b"\x1b$" in head or b"\x1b(" in head:
+        return "iso2022_jp"
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head, len(data) <= limit)
+        return "utf-8"
+    except UnicodeDecodeError:
+        pass
+
+    def share(name: str, letters: str) -> float:
+        """How many of the characters beyond ASCII are common letters next to others; Cyrillic ones count in words of nothing else."""
+        try:
+            text = codecs.getincrementaldecoder(name)().decode(head, len(data) <= limit)
+        except UnicodeDecodeError:
+            return 0.0
+        high = [c for c in text if ord(c) > 127]
+        if "\u0430" in letters:
+            return sum(len(w) for w in re.findall(r"\w+", text) if len(w) > 2 and re.fullmatch(f"[\u0410-\u042f]?{letters}+", w)) / max(1, len(high))
+        return sum(map(len, re.findall(f"{letters}{{2,}}", text))) / max(1, len(high))
+
+    tried = (
+        ("euc_jp", "[\u3041-\u30ff]"), ("shift_jis", "[\u3041-\u30ff]"), ("euc_kr", "[\uac00-\ud7a3]"), ("gb18030", "[\u4e00-\u9fa5\u3000-\u3002\uff00-\uff1f]"),
+        ("windows-1251", "[\u0430-\u044f]"), ("koi8_r", "[\u0430-\u044f]"),
+    )
+    least = {"euc_jp": 0.3, "shift_jis": 0.3, "euc_kr": 0.8, "gb18030": 0.8}
+    # the first that fits: kana is rarer by chance than other signs are
+    return next((name for name, letters in tried if share(name, letters) >= least.get(name, 0.6)), "windows-1252")
+
+
+@F.pandas_udf(T.StructType().add("encoding", T.StringType()).add("text", T.StringType()))
+def decoded(data: pd.Series) -> pd.DataFrame:
+    """struct<encoding, text> of a text's bytes; bytes that the encoding lacks become U+FFFD.
+
+    The first bytes decide, unless they are UTF-8 and what follows isn't; then all do.
+    """
     out = []
-    for d, e in zip(data, ext, strict=True):
+    for d in data:
+        if d is None:
+            out.append((None, None))
+            continue
+        content = bytes(d)
+        name = guess_encoding(content)
         try:
-            out.append((convert(bytes(d), e or ""), None) if d is not None else (None, None))
-        except Exception as error:
-            out.append((None, f"{type(error).__name__}: {error}"))
-    return pd.DataFrame(out, columns=["md", "error"])
+            out.append((name, content.decode(name).removeprefix("\ufeff")))
+        except UnicodeDecodeError:
+            name = guess_encoding(content, len(content))
+            out.append((name, content.decode(name, "replace").removeprefix("\ufeff")))
+    return pd.DataFrame(out, columns=["encoding", "text"])
 
 
 PARSED = ["csv", "docx", "odt", "odp", "pptx", "xlsx", "xlsm", "ods", "pdf", "zip"]
 
 
-def to_markdown(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
+def to_markdown(files: DataFrame, content: str = "content", path: str = "path", name: str | None = None, screen: tuple[int | None, int | None] = (None, None), detect: bool = False) -> DataFrame:
     """``files`` with a column ``result``, struct<md, error>.
 
     Texts, Markdown and HTML go through natively; only formats that need a
-    parser go to Python.
+    parser go to Python, and with ``detect`` texts that aren't UTF-8. ``screen``
+    (columns, rows) sizes the cells of PDF pages. A column ``name`` makes title
+    comments over the documents.
     """
     ext = F.coalesce(extension(F.col(path)), F.lit(""))
     text = F.try_validate_utf8(F.col(content).cast("string"))
+    if detect:
+        text = F.when(F.col(content).isNull() | text.isNotNull() | ext.isin(PARSED), text).otherwise(decoded(F.col(content))["text"])
     plain = F.when(ext.isin("md", "html"), F.concat(text, F.lit("\n\n"))).otherwise(fence(text, ext))
     native = F.struct(plain.alias("md"), F.when(F.col(content).isNotNull() & text.isNull(), F.lit("the file isn't UTF-8")).alias("error"))
-    return files.withColumn("result", F.when(ext.isin(PARSED), _convert(F.col(content), ext)).otherwise(native))
+    return files.withColumn("result", F.when(ext.isin(PARSED), _convert(F.col(content), ext, screen)).otherwise(native)).transform(lambda d: _titled(d, name))
+
+
+def _titled(files: DataFrame, name: str | None) -> DataFrame:
+    if name is None:
+        return files
+    titled = F.when(F.col("result.md").isNotNull(), with_title(F.col("result.md"), F.col(name)))
+    return files.withColumn("result", F.struct(titled.alias("md"), F.col("result.error").alias("error")))
 
 
 def zip_types(data: Column, compat: bool = False) -> Column:

@@ -10,6 +10,8 @@ import re
 import zlib
 from dataclasses import dataclass
 
+from quire.operators.grid import PAGE, cell_size, page_rows
+
 _WS = b"\0\t\n\f\r "
 _DELIM = b"()<>[]{}/%"
 
@@ -250,7 +252,7 @@ class Interpreter:
         self.units: list[Unit] = []
         self.fonts: dict[int, tuple[dict[int, str] | None, bool]] = {}
 
-    def run(self, content: bytes, resources: dict, matrix: tuple = _IDENTITY, depth: int = 0) -> None:
+    def run(self, content: bytes, resources: dict, matrix: tuple = _IDENTITY, within: tuple = ()) -> None:
         state = {"m": matrix, "font": "", "size": 0.0, "color": "#000000", "leading": 0.0, "map": (None, False)}
         stack: list[dict] = []
         text = line = _IDENTITY
@@ -317,13 +319,14 @@ class Interpreter:
                 elif op == "BDC" and len(a) > 1 and isinstance(a[1], dict) and isinstance(a[1].get("ActualText"), bytes):
                     at = times(text, state["m"])
                     self.units.append(Unit("text", at[4], at[5], text=decode_string(a[1]["ActualText"]), size=state["size"], font=state["font"], color=state["color"]))
-                elif op == "Do" and "Im" not in str(a[0]) and depth < 8:
+                elif op == "Do" and "Im" not in str(a[0]):
                     ref = (self.doc.get(resources.get("XObject")) or {}).get(str(a[0]))
                     form = self.doc.get(ref)
-                    if isinstance(form, dict) and form.get("Subtype") == "Form":
+                    # a form that draws itself, however many others it does so through, would never end
+                    if isinstance(form, dict) and form.get("Subtype") == "Form" and ref not in within:
                         own = self.doc.get(form.get("Resources")) or resources
                         inner = tuple(map(float, self.doc.get(form.get("Matrix")) or _IDENTITY))
-                        self.run(self.doc.stream(ref), own, times(inner, state["m"]), depth + 1)
+                        self.run(self.doc.stream(ref), own, times(inner, state["m"]), (*within, ref))
                 elif op == "BI":
                     end = re.compile(rb"\sEI(?=\s)").search(content, lexer.at)
                     lexer.at = end.end() if end else len(content)
@@ -365,55 +368,58 @@ def page_units(data: bytes) -> list[list[Unit]]:
 PAGE_CHARS = 20_000_000
 
 
-def grid(units: list[Unit], columns: int = 100, rows: int = 80) -> list[str]:
+def nearest_cell(x: float) -> int:
+    """The nearest whole number; halves go away from 0."""
+    return int(x + 0.5) if x >= 0 else -int(0.5 - x)
+
+
+def grid(units: list[Unit], columns: int | None = None, rows: int | None = None, compat: bool = False) -> list[str]:
     """A page as lines of characters; upright and level lines are drawn, text goes over them, blank edges are cut.
 
-    The content alone sizes the grid. A page of more than ``PAGE_CHARS`` characters is an error.
+    A cell is 4 by 10 points, or less where a screen of ``columns`` and
+    ``rows`` is given; points go to the nearest. What lies beyond the page of
+    612 by 792 points is kept, unless ``compat``: then it is cut and lines are
+    padded to the page's width, as in the original. A page of more than
+    ``PAGE_CHARS`` characters is an error.
     """
-    if not units:
-        return []
-    cw, ch = min(612 / columns, 4.0), min(792 / rows, 10.0)
-    top = max(max(u.y, u.y2) for u in units)
-    m = max(1, int(-(-top // ch)) + 1)
+    cw, ch = cell_size(columns, rows)
+    wide, high = int(-(-PAGE[0] // cw)) + 1, page_rows(ch)
     cells: dict[int, dict[int, str]] = {}
     drawn = 0
-    place = lambda x, y: (int(x // cw), m - 1 - int(y // ch))
 
     def put(c: int, r: int, char: str) -> None:
-        if 0 <= r < m and c >= 0:
+        if c >= 0 and (not compat or (c < wide and 0 <= r < high)):
             cells.setdefault(r, {})[c] = char
 
     for u in units:
         if u.kind == "line":
-            (c, r), (c2, r2) = place(u.x, u.y), place(u.x2, u.y2)
+            c, c2 = nearest_cell(u.x / cw), nearest_cell(u.x2 / cw)
+            r, r2 = high - 1 - nearest_cell(u.y / ch), high - 1 - nearest_cell(u.y2 / ch)
             drawn += max(abs(c - c2), abs(r - r2)) if c == c2 or r == r2 else 0
             if drawn > PAGE_CHARS:
                 raise ValueError("page too large")
-            if r == r2 and c != c2:
+            if r == r2:
                 for k in range(min(c, c2), max(c, c2) + 1):
                     put(k, r, "─")
-            elif c == c2 and r != r2:
+            elif c == c2:
                 for k in range(min(r, r2), max(r, r2) + 1):
                     put(c, k, "│")
     for u in units:
         if u.kind == "text":
-            c, r = place(u.x, u.y)
+            c, r = max(0, nearest_cell(u.x / cw)), high - 1 - nearest_cell(max(u.y, 0) / ch)
             for k, char in enumerate(u.text):
-                put(c + k, r, char)
+                put(c + k, max(r, 0) if compat else r, char)
+    cells = {r: x for r, x in cells.items() if any(char != " " for char in x.values())}
     if not cells:
         return []
     if sum(max(x) + 1 for x in cells.values()) + max(cells) - min(cells) > PAGE_CHARS:
         raise ValueError("page too large")
     rows_of = (cells.get(r, {}) for r in range(min(cells), max(cells) + 1))
-    lines = ["".join(x.get(c, " ") for c in range(max(x, default=-1) + 1)).rstrip() for x in rows_of]
-    while lines and not lines[0]:
-        lines.pop(0)
-    while lines and not lines[-1]:
-        lines.pop()
-    return lines
+    lines = ("".join(x.get(c, " ") for c in range(max(x, default=-1) + 1)) for x in rows_of)
+    return [x.ljust(wide) if compat else x.rstrip() for x in lines]
 
 
-def pdf(data: bytes, columns: int = 100, rows: int = 80) -> str:
-    """All pages as fenced grids under page titles."""
+def pdf(data: bytes, columns: int | None = None, rows: int | None = None) -> str:
+    """All pages as fenced grids under page titles; ``columns`` and ``rows`` are those of a screen."""
     parts = [f"<!-- S-TITLE: Page number {k} -->\n```pdf\n" + "\n".join(grid(units, columns, rows)) + "\n```" for k, units in enumerate(page_units(data), 1)]
     return "\n\n".join(parts)

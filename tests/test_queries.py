@@ -54,7 +54,7 @@ def test_display_width_measures_every_document(spark, tmp_path):
     texts = ["plain", "Straße", "“curly”", "日本語 x", "e\u0301a", "a\u200bb", "ＡＢ", "two\nlines\t", "\x1b[31mred\x1b[0m", "", None]
     want = [5, 6, 7, 8, 2, 2, 4, 8, 3, 0, None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["width"] for r in Q.QUERIES["display_width_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["width"] for r in Q.QUERIES["display_width"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(want))
 
 

@@ -148,6 +148,6 @@ def test_grid_keeps_long_runs_and_tall_pages():
     assert pdf.grid([pdf.Unit("text", 0, 0, text=text)]) == [text]
     assert pdf.grid([pdf.Unit("text", 9000, 5, text="far")]) == [" " * 2250 + "far"]
     tall = pdf.grid([pdf.Unit("text", 0, 5, text="low"), pdf.Unit("text", 0, 25_000, text="high")])
-    assert tall[0] == "high" and tall[-1] == "low" and len(tall) == int(25_000 // 9.9) + 1
+    assert tall[0] == "high" and tall[-1] == "low" and len(tall) == 2500
     with pytest.raises(ValueError):
         pdf.grid([pdf.Unit("line", 0, 0, 1e9, 0)])
