@@ -283,14 +283,6 @@ def title_extract(spark, sf):
     return d.select("doc_id", X.title(F.col("md")).alias("title"), F.length("md").cast("long").alias("n"))
 
 
-_TAGS = "|".join(html.TAGS)
-
-
-@query(None)
-def escape_unknown_tags(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.escape_unknown_tags(F.col("html"), html.TAGS).alias("html"))
-
-
 @query("SELECT page_id, length(html) AS length, html IS NOT NULL AS kept FROM pages WHERE length(html) <= 4000")
 def size_cap_filter(spark, sf):
     p = table(spark, sf, "pages").filter(F.length("html") <= 4000)
@@ -951,14 +943,6 @@ def display_width(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.string_len(F.concat(F.lit("\x1b[1m"), F.col("text"), F.lit("\x1b[0m"))).alias("width"))
 
 
-@query(None)
-def half_block_image(spark, sf):
-    """Every part as a pixel of its own, in images of 20 columns and 21 rows."""
-    k = F.col("p_partkey")
-    d = table(spark, sf, "part").select(F.floor(k / 420).alias("img"), (k % 20).alias("x"), (F.floor(k / 20) % 21).alias("y"), (k % 256).alias("r"), (k * 3 % 256).alias("g"), (k * 7 % 256).alias("b"), F.lit(255).alias("a"))
-    return pixels.half_blocks(d)
-
-
 @query(None)
 def sixel_image(spark, sf):
     k = F.col("p_partkey")
@@ -985,3 +969,7 @@ def frame_delays_stream(spark, sf):
     run = stream_delays(rows).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(F.col("frame_id").alias("event_id"), F.round(F.col("delay") * 1000).cast("long").alias("ms"))
+
+
+# the queries over files add themselves to these
+from quire.plans import file_queries  # noqa: E402, F401
