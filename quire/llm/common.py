@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side of a join is broadcast below this many bytes, by its counted rows.
 BROADCAST_BYTES = 24 << 20
 
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _own_folders: dict[str, str] = {}
 #: The paths made in a session, in order.
 _made: dict[str, list[str]] = {}
@@ -63,11 +69,26 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> None:
         made_paths(spark).remove(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Texts go to Python ``rows`` at a time at most while this holds: both sides keep a batch in memory, and whole texts are long."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(min(rows, int(before or rows)) if int(before or rows) > 0 else rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

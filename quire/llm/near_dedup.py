@@ -140,8 +140,8 @@ def digest(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
                     bits.append(_signed(bit))
 
             held, size = [], 0
-            for text in batch.column(3).to_pylist():
-                held.append(shingler.shingles(text))
+            for text in batch.column(3):
+                held.append(shingler.shingles(text.as_py()))
                 size += len(held[-1])
                 if size >= TOGETHER:
                     finish(held)
@@ -178,7 +178,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> Da
     def run(batches):
         shingler = Shingler(width)
         for batch in batches:
-            found = [shingler.shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [shingler.shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = docs.select(text_of(text_col).alias("text")).withColumn("fp", F.xxhash64("text"))
