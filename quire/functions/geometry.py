@@ -200,8 +200,3 @@ def gutter(count: Column) -> Column:
     """struct<width, left>: a gutter for numbers up to ``count``, two wider than the longest."""
     digits = F.length(count.cast("string"))
     return F.struct((digits + 2).alias("width"), F.lit(1).alias("left"))
-
-
-def cell_size(width: float, height: float, columns: int, rows: int) -> tuple[float, float]:
-    """The size of a text grid's cell on a page: at most 4 by 10 points."""
-    return min(width / columns, 4.0), min(height / rows, 10.0)
