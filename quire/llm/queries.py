@@ -101,11 +101,33 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_mix_sources(spark, sf_dir).drop("taken")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_mine_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.collocations import mine_phrases
+
+    return mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.fill_middle import fill_middle, restored
+
+    cut = fill_middle(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_exact_dedup, op2_pack_documents, op3_find_pii, op4_token_files, op5_near_dedup, op6_score_toxicity, op7_quality_rules, op8_scan_licenses,
-        op9_mix_sources, op10_token_counts, pii_base, mix_targets,
+        op9_mix_sources, op10_token_counts, op11_suffix_dedup, op12_mine_phrases, op13_fill_middle, pii_base, mix_targets,
     )
 }
 
@@ -206,6 +228,51 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
     """.replace("STOP_WORDS", _stop_words()),
+    "op12_mine_phrases": r"""
+        WITH pieces AS (
+            SELECT row_number() OVER () AS pid, lang, piece FROM (
+                SELECT coalesce(lang, 'und') AS lang,
+                       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                FROM documents)
+        ),
+        lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        grams AS (
+            SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+            FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM lists), range(1, 5) AS ks(k)
+            WHERE i + k - 1 <= len(ws)
+        ),
+        f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM lists GROUP BY lang),
+        cand AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, a FROM f WHERE k >= 2),
+        subs AS (
+            SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+            FROM cand, range(2, 4) AS ms(m), range(1, 4) AS places(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+        ),
+        kept AS (SELECT cand.* FROM cand LEFT JOIN subs USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a),
+        cuts AS (
+            SELECT kept.lang, kept.phrase, kept.a, c, l.a AS l, r.a AS r, (2000000::HUGEINT * kept.a // (l.a + r.a))::BIGINT AS score
+            FROM kept, range(1, 4) AS cs(c), f AS l, f AS r
+            WHERE c < kept.k AND l.lang = kept.lang AND l.phrase = array_to_string(ws[1:c], ' ') AND r.lang = kept.lang AND r.phrase = array_to_string(ws[c + 1:], ' ')
+        ),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+    "op13_fill_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        hashed AS (SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+        cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM hashed
+        ),
+        parts AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM parts
+    """,
     "mix_targets": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE row_number() OVER (ORDER BY encode(source) NULLS LAST) % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM d GROUP BY source),
