@@ -33,9 +33,8 @@ def _escaped(words: pa.Array) -> pa.Array:
     return pc.replace_substring(out, pattern=b"\x00", replacement=b"\x01\x01")
 
 
-def _unescaped(words: pa.Array) -> pa.Array:
-    out = pc.replace_substring(words, pattern=b"\x01\x01", replacement=b"\x00")
-    return pc.replace_substring(out, pattern=b"\x01\x02", replacement=b"\x01")
+def _unescaped(word: bytes) -> bytes:
+    return word.replace(b"\x01\x01", b"\x00").replace(b"\x01\x02", b"\x01") if b"\x01" in word else word
 
 
 class Unit(NamedTuple):
@@ -90,6 +89,11 @@ def _suffixes(unit: Unit, frequent: pa.Array | None, max_n: int) -> tuple[list[n
         new = np.full(len(words) + 1, -1, np.int64)
         new[:-1][keep] = np.arange(keep.sum())
         codes, words = new[codes], words.filter(pa.array(keep))
+    # in the words' order, so that neighbors share their beginnings and rows pack well
+    order = pc.sort_indices(words).to_numpy()
+    new = np.full(len(words) + 1, -1, np.int64)
+    new[order] = np.arange(len(words))
+    codes, words = new[codes], words.take(pa.array(order))
     n, base = len(codes), len(words) + 1
     ends = np.where(codes < 0, np.arange(n), n)
     length = np.minimum(np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n), max_n)
@@ -125,7 +129,7 @@ class PrefixStack:
     def __init__(self, max_n: int, least: int) -> None:
         self.least = least
         self.max_n = max_n
-        self.open: list[tuple[tuple[str, ...], int] | None] = [None] * max_n
+        self.open: list[tuple[tuple[bytes, ...], int] | None] = [None] * max_n
         self.fresh = [True] * max_n
         self.out: list[tuple[str, str, int, int]] = []
 
@@ -133,28 +137,25 @@ class PrefixStack:
         held = self.open[depth]
         if held is not None:
             if at_edge or self.fresh[depth] or held[1] >= self.least:
-                self.out.append((held[0][0], " ".join(held[0][1:]), depth + 1, held[1]))
+                lang, *words = (_unescaped(x).decode() for x in held[0])
+                self.out.append((lang, " ".join(words), depth + 1, held[1]))
             self.fresh[depth] = False
             self.open[depth] = None
 
-    def add(self, langs: pa.Array, keys: pa.Array, counts: np.ndarray) -> None:
-        """Goes on with sorted keys; runs of equal prefixes inside a batch are summed at once."""
+    def add(self, keys: pa.Array, counts: np.ndarray) -> None:
+        """Goes on with sorted keys, a language and words each; runs of equal prefixes inside a batch are summed at once."""
         parts = pc.split_pattern(keys, _SEP)
         size = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        start = np.concatenate([[0], np.cumsum(size)])
-        coded = parts.flatten().dictionary_encode()
-        words = _unescaped(coded.dictionary.cast(pa.binary())).cast(pa.string()).to_pylist()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        lang = langs.dictionary_encode()
-        names, lang = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+        start = np.cumsum(size) - size
+        codes = parts.flatten().dictionary_encode().indices.to_numpy()
         upto = np.concatenate([[0], np.cumsum(counts)])
-        changed = np.concatenate([[True], lang[1:] != lang[:-1]])
+        changed = np.concatenate([[True], codes[start[1:]] != codes[start[:-1]]])
         for depth in range(self.max_n):
-            has = size > depth
-            column = np.where(has, codes[np.minimum(start[:-1] + depth, len(codes) - 1)], -1)
+            has = size > depth + 1
+            column = np.where(has, codes[np.minimum(start + depth + 1, len(codes) - 1)], -1)
             changed[1:] |= column[1:] != column[:-1]
             runs = np.flatnonzero(changed)
-            sums = upto[np.append(runs[1:], len(size))] - upto[runs]
+            sums = np.diff(upto[np.append(runs, len(size))])
             real = has[runs]
             # only a run at an edge of the batch may go on in what came or comes
             big = np.flatnonzero(real & (sums >= self.least) | (np.arange(len(runs)) == 0) | (np.arange(len(runs)) == len(runs) - 1))
@@ -162,8 +163,7 @@ class PrefixStack:
                 if not real[k]:
                     self.close(depth)
                     continue
-                row = runs[k]
-                prefix = (names[lang[row]], *(words[c] for c in codes[start[row] : start[row] + depth + 1]))
+                prefix = tuple(keys[int(runs[k])].as_py().split(_SEP)[: depth + 2])
                 held = self.open[depth]
                 if held is not None and held[0] == prefix:
                     self.open[depth] = (prefix, held[1] + int(sums[k]))
@@ -225,22 +225,23 @@ def mine_phrases(
         for lang, unit in _units(batches):
             columns, counts, held = _suffixes(unit, None if vocabulary is None else vocabulary.get(lang, none), max_n)
             held = _escaped(held)
+            name = _escaped(pa.array([lang.encode()], pa.binary()))[0]
             parts = [held.take(pa.array(c, pa.int64(), mask=c < 0)) for c in columns]
-            keys = pc.binary_join_element_wise(*parts, pa.scalar(_SEP, pa.binary()), null_handling="skip")
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "key": keys, "n": pa.array(counts, pa.int64())})
+            keys = pc.binary_join_element_wise(name, *parts, pa.scalar(_SEP, pa.binary()), null_handling="skip")
+            yield pa.RecordBatch.from_pydict({"key": keys, "n": pa.array(counts, pa.int64())})
 
     def count(batches):
         stack = PrefixStack(max_n, least)
         for batch in batches:
             if batch.num_rows:
-                stack.add(batch.column(0), batch.column(1), batch.column(2).to_numpy())
+                stack.add(batch.column(0), batch.column(1).to_numpy())
                 yield stack.batch()
         stack.finish()
         yield stack.batch()
 
-    suffixes = written(rows.mapInArrow(emit, "lang string, key binary, n long"), "suffixes")
+    suffixes = written(rows.mapInArrow(emit, "key binary, n long"), "suffixes")
     tasks = suffixes.count() // TASK_ROWS + 1
-    dealt = suffixes.repartitionByRange(tasks, "lang", "key").sortWithinPartitions(F.col("lang").desc(), F.col("key").desc())
+    dealt = suffixes.repartitionByRange(tasks, "key").sortWithinPartitions(F.col("key").desc())
     prefixes = dealt.mapInArrow(count, "lang string, phrase string, k int, a long").filter("k > 1")
     grams = written(prefixes.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a")).filter(F.col("a") >= least), "grams")
     counted = grams.select("lang", "phrase", "a").union(frequent.select("lang", F.col("word").alias("phrase"), "a"))

@@ -78,7 +78,7 @@ LICENSE_FILE = r"(?i)(?:^|/)(?:licen[sc]e|copying|unlicense)(?:[-.][^/]*)?$"
 
 
 def terms(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"), F.lit(0))
 
 
 def template_weights(spark: SparkSession) -> DataFrame:

@@ -99,38 +99,49 @@ KINDS = (
 )
 
 _SPAN = "array<struct<start:int,end:int,match:string,score:double>>"
+#: Spans that an array gathers before it is set aside, so that long arrays aren't copied for each span.
+_RUN = 256
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
-    """The confirmed spans of a kind: leftmost, non-overlapping, in code points, ends exclusive."""
+    """The confirmed spans of a kind: leftmost, non-overlapping, in code points, ends exclusive.
 
-    def located(matches: Column) -> Column:
-        def walk(gaps: Column) -> Column:
-            none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-            def step(state: Column, m: Column) -> Column:
-                start = state["at"] + F.length(F.get(gaps, F.size(state["out"])))
-                end = start + F.length(m)
-                out = F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), m.alias("match")))
-                return F.struct(end.alias("at"), out.alias("out"))
-
-            return F.aggregate(matches, none, step, lambda state: state["out"])
-
-        return let(F.split(text, kind.pattern, -1), walk)
-
-    found = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), located)
-    confirmed = F.filter(found, lambda s: kind.valid(s["match"]))
-
-    def scored(s: Column) -> Column:
-        near = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        gain = F.when(F.lower(near).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
-        score = F.least(F.lit(1.0), F.lit(kind.base) + gain)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), score.alias("score"))
-
-    out = F.transform(confirmed, scored)
-    if not kind.always:
-        out = F.filter(out, lambda s: s["score"] >= ACCEPT)
-    return F.when(kind.probe(text), out).otherwise(F.array().cast(_SPAN))
+    One pass over the matches and the gaps between them, which holds the last match with the
+    characters up to its end, and the spans before it; its time is linear in the text whatever matches.
+    """
+    least = 0.0 if kind.always else ACCEPT
+    span = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), m["score"].alias("score"))
+    last_chars = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
+
+    def walk(gaps: Column) -> Column:
+        before = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("match"), F.lit(-1.0).alias("score"), F.lit("").alias("tail"))
+        none = F.struct(F.lit(0).alias("k"), before.alias("last"), F.array().cast(f"array<{_SPAN}>").alias("aside"), F.array().cast(_SPAN).alias("run"))
+
+        def met(state: Column, m: Column) -> Column:
+            def placed(gap: Column) -> Column:
+                start = state["last"]["end"] + F.char_length(gap)
+                near = last_chars(F.concat(state["last"]["tail"], last_chars(gap)))
+                gain = F.when(F.lower(near).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
+                score = F.when(kind.valid(m), F.least(F.lit(1.0), F.lit(kind.base) + gain)).otherwise(-1.0)
+                end = start + F.char_length(m)
+                return F.struct(start.alias("start"), end.alias("end"), m.alias("match"), score.alias("score"), last_chars(F.concat(near, last_chars(m))).alias("tail"))
+
+            return let(F.get(gaps, state["k"]), placed)
+
+        def with_last(state: Column, run: Column) -> Column:
+            return F.when(state["last"]["score"] >= least, F.array_append(run, span(state["last"]))).otherwise(run)
+
+        def step(state: Column, m: Column) -> Column:
+            # what holds the spans never passes through ``let``, which copies its value
+            full = F.size(state["run"]) >= _RUN
+            run = F.when(full, F.array().cast(_SPAN)).otherwise(state["run"])
+            aside = F.when(full, F.array_append(state["aside"], state["run"])).otherwise(state["aside"])
+            return F.struct((state["k"] + 1).alias("k"), met(state, m).alias("last"), aside.alias("aside"), with_last(state, run).alias("run"))
+
+        matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+        return F.aggregate(matches, none, step, lambda state: F.flatten(F.array_append(state["aside"], with_last(state, state["run"]))))
+
+    return F.when(kind.probe(text), let(F.split(text, kind.pattern, -1), walk)).otherwise(F.array().cast(_SPAN))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ REACH = 3
 #: Log-odds of a text without any evidence.
 PRIOR = math.log(0.1 / 0.9)
 
-#: Letters of the word beginnings that learning considers beside whole words.
-SHORTEST, LONGEST = 3, 12
+#: Letters of the shortest word beginnings that learning considers, and of the longest of its first round; each round doubles them.
+SHORTEST, FIRST_ROUND = 3, 12
 #: Labelled rows of each class that learning takes at most; more change little.
 SAMPLE_ROWS = 6000
 #: Least G-square of a beginning, beyond twice the logarithm of how many are tried.
@@ -248,8 +249,8 @@ def learnable(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
 
 
-def single_texts(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """The rows of ``marked`` without copies: one of those that share a least hash of 3-word windows, by either of two hashes.
+def single_texts(texts: DataFrame) -> DataFrame:
+    """The rows of (doc_id, label, text) without copies: one of those that share a least hash of 3-word windows, by either of two hashes.
 
     Copies would make each of their rare words look like a mark of their class.
     """
@@ -258,12 +259,36 @@ def single_texts(texts: DataFrame, marked: DataFrame) -> DataFrame:
     def least(w: Column, seed: int) -> Column:
         return F.array_min(F.transform(w, lambda x, i: F.xxhash64(F.lit(seed), x, F.get(w, i + 1), F.get(w, i + 2))))
 
-    keyed = texts.join(F.broadcast(marked), "doc_id").select("doc_id", "label", let(words, lambda w: F.array(least(w, 1), least(w, 2))).alias("least"))
-    keyed = written(keyed, "keyed")
+    keyed = texts.withColumn("least", let(words, lambda w: F.array(least(w, 1), least(w, 2))))
     for k in (0, 1):
-        first = F.row_number().over(Window.partitionBy(F.col("least")[k]).orderBy("doc_id"))
+        first = F.row_number().over(Window.partitionBy(F.col("least")[k]).orderBy("doc_id", "label"))
         keyed = keyed.withColumn("place", first).filter("place = 1")
-    return written(keyed.select("doc_id", "label"), "marked")
+    return written(keyed.select("doc_id", "label", "text"), "marked")
+
+
+def beginnings(texts: DataFrame, least: int) -> DataFrame:
+    """(stem, t, c): the beginnings of words, of any length, that ``least`` rows or more of (label, text) have, by label 1 and 0.
+
+    A beginning that so many rows have begins with one that they have too, so that each
+    round only goes on with words whose beginning of the last round's length
+    was found; the rounds end with the words.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
+    open_ = texts.select(F.monotonically_increasing_id().alias("row"), "label", words.alias("words"))
+    shortest, longest, found = SHORTEST, FIRST_ROUND, []
+    while True:
+        starts = lambda w, a=shortest, b=longest: F.transform(F.sequence(F.lit(a), F.least(F.length(w), F.lit(b))), lambda k: F.substring(w, F.lit(1), k))
+        begin = open_.select("label", F.explode(F.array_distinct(F.flatten(F.transform("words", starts)))).alias("stem"))
+        counts = begin.groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+        found.append(written(counts.filter(F.col("t") + F.col("c") >= least), "counts"))
+        full = found[-1].filter(F.length("stem") == longest).select("stem")
+        if full.isEmpty():
+            break
+        longer = open_.select("row", "label", F.explode("words").alias("word")).filter(F.length("word") > longest)
+        longer = longer.withColumn("stem", F.substring("word", 1, longest)).join(full, "stem", "left_semi")
+        open_ = written(longer.groupBy("row", "label").agg(F.collect_list("word").alias("words")), "open")
+        shortest, longest = longest + 1, 2 * longest
+    return reduce(DataFrame.unionByName, found)
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Lexicon:
@@ -271,32 +296,29 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Of each class the ``sample_rows`` rows with the least hash of id are taken,
     and of copies among them one. A beginning enters if texts of class 1 have it more often than chance
-    allows (G-square, over all beginnings and whole words) and two fifths of its texts at least
+    allows (G-square, over all beginnings) and two fifths of its texts at least
     are of that class, unless a longer one has nearly all of its toxic texts
     and fewer others. Its weight is its smoothed log-odds. The scale is fitted
     to the same rows by logistic regression. Labels other than 0 and 1 and rows
-    without text are passed over; without rows of both classes the grammar's
+    without text are passed over; an id with both labels stands in both classes; without rows of both classes the grammar's
     own lexicon serves.
     """
     marked = labels.filter(F.col(label_col).isin(0, 1) & learnable(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     place = F.xxhash64(F.lit("sample"), "doc_id")
     parts = [marked.filter(F.col("label") == k).orderBy(place, "doc_id").limit(sample_rows) for k in (0, 1)]
-    marked = single_texts(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), written(parts[0].unionByName(parts[1]), "sampled"))
+    sampled = written(parts[0].unionByName(parts[1]), "sampled")
+    # the sample bounds these rows; they are written once, and all that follows reads them alone
+    labelled = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(sampled), "doc_id")
+    marked = single_texts(written(labelled.select("doc_id", "label", "text"), "labelled"))
     total = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     if not toxic or not clean:
         return Lexicon()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("text")).join(F.broadcast(marked), "doc_id")
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{3,}"), F.lit(0)))
-    lengths = lambda w: F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST)))
-    starts = F.transform(words, lambda w: F.array_append(F.transform(lengths(w), lambda k: F.substring(w, F.lit(1), k)), w))
-    begin = texts.select("label", F.explode(F.array_distinct(F.flatten(starts))).alias("stem"))
-    counts = begin.groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    counts = beginnings(marked, 4)
     t, c = F.col("t"), F.col("c")
     share = toxic / (toxic + clean)
     g2 = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
     odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
-    counts = written(counts.filter(t + c >= 4), "counts")
     least = LEAST_G2 + 2 * math.log(1 + counts.count())
     chosen = counts.filter((t >= 4) & (3 * t >= 2 * c)).withColumn("g2", g2).filter(F.col("g2") >= least).select("stem", "t", "c", odds.alias("weight"), "g2")
     # four labelled rows and more have each of them, so that the sample bounds how many there are
@@ -315,8 +337,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             found = [scorer.features(x)[1:] for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())], ["label", "a", "b"])
 
-    plain = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(marked), "doc_id")
-    found = np.array(plain.select("label", "text").mapInArrow(measure, "label double, a double, b double").collect())
+    found = np.array(marked.select("label", "text").mapInArrow(measure, "label double, a double, b double").collect())
     return Lexicon(lexicon.stems, logistic(found[:, 1:], found[:, 0]))
 
 
