@@ -69,10 +69,9 @@ def media_type(ext: Column) -> Column:
 
 def mime_extension(mime: Column) -> Column:
     """The extension of a MIME type: the first entry of the table that it contains; null for others."""
-    out = F.when(F.lit(False), F.lit(""))
-    for part, ext in MIME:
-        out = out.when(F.contains(mime, F.lit(part)), ext)
-    return out
+    # a constant array, since a branch for each entry is too much code where an expression names the result often
+    entries = F.array(*[F.struct(F.lit(part).alias("part"), F.lit(ext).alias("ext")) for part, ext in MIME])
+    return F.get(F.filter(entries, lambda e: F.contains(mime, e["part"])), 0)["ext"]
 
 
 def allowed(media: Column, images: bool = True, videos: bool = True, documents: bool = True) -> Column:

@@ -30,7 +30,7 @@ def line_count(text: Column) -> Column:
 
 def limit_newlines(text: Column) -> Column:
     """Two or more blank lines become one."""
-    return F.regexp_replace(text, r"\n(?:[ \t]*\n){2,}", "\n\n")
+    return F.regexp_replace(text, r"\n[ \t]*+\n(?:[ \t]*+\n)++", "\n\n")
 
 
 def normalize_blank_lines(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.media import allowed, github_raw, media_type, mime_extension, valid_candidate
-from quire.functions.text import escape_unknown_tags
+from quire.functions.text import escape_unknown_tags, let
 
 #: The tags with a rule.
 TAGS = "img pre code a blockquote figure figcaption br var i hr b strong em del s strike h1 h2 h3 h4 h5 h6 q div p details summary".split()
@@ -260,8 +260,19 @@ def html_to_markdown(text: Column, clean: bool = False) -> Column:
     return _rules(escape_unknown_tags(text, TAGS))
 
 
-def _attribute(tag: str, name: str) -> str:
-    return rf"(?is)<{tag}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\"'\s>]+)"
+def _tags(text: Column, tag: str) -> Column:
+    """The whole tags of a kind. Repeats are possessive: they end only where a tag can, and take no stack."""
+    return F.regexp_extract_all(text, F.lit(rf"(?i)<{tag}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
+
+
+#: A name and its value; values are taken whole, so that none of what stands in them is a name.
+_PAIR = r"\s([^\s=>\"'/]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\"'\s>]++)"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The first value of an attribute in a tag; null without one."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_PAIR), F.lit(1)), F.lower)
+    return let(F.array_position(names, name).cast("int"), lambda k: F.when(k > 0, F.get(F.regexp_extract_all(tag, F.lit(_PAIR), F.lit(2)), k - 1)))
 
 
 #: What holds no markup: comments, scripts and styles.
@@ -273,18 +284,19 @@ def media_candidates(pages: DataFrame, page: str = "page_id", url: str = "url",
 
     Values may be quoted, with spaces in them; comments, scripts and styles hold no candidates.
     """
-    t = F.regexp_replace(F.col(text), _SILENT, "")
     bare = lambda x: F.trim(F.regexp_replace(x, r"(?s)^[\"'](.*)[\"']$", "$1"))
-    values = lambda of, tag, name: F.transform(F.regexp_extract_all(of, F.lit(_attribute(tag, name)), F.lit(1)), bare)
-    found = lambda tag, name: values(t, tag, name)
+    values = lambda of, tag, name: F.transform(F.filter(F.transform(_tags(of, tag), lambda x: _attribute(x, name)), lambda x: x.isNotNull()), bare)
     svg = lambda a: F.filter(a, lambda x: x.endswith(".svg"))
     of = lambda a, kind: F.transform(a, lambda x: F.struct(x.alias("src"), F.lit(kind).alias("kind")))
-    videos = F.regexp_extract_all(t, F.lit(r"(?is)<video\b.*?</video>"), F.lit(0))
-    sources = F.flatten(F.transform(videos, lambda v: values(v, "source", "src")))
-    every = F.concat(
-        of(found("img", "src"), "image"), of(svg(found("object", "data")), "svg"), of(svg(found("embed", "src")), "svg"),
-        of(svg(found("img", "src")), "svg"), of(found("video", "src"), "video"), of(sources, "video"),
-    )
+
+    def of_text(t: Column) -> Column:
+        videos = F.regexp_extract_all(t, F.lit(r"(?is)<video\b.*?</video>"), F.lit(0))
+        sources = F.flatten(F.transform(videos, lambda v: values(v, "source", "src")))
+        vectors = F.concat(svg(values(t, "object", "data")), svg(values(t, "embed", "src")))
+        images = lambda x: F.concat(of(x, "image"), of(vectors, "svg"), of(svg(x), "svg"))
+        return F.concat(let(values(t, "img", "src"), images), of(values(t, "video", "src"), "video"), of(sources, "video"))
+
+    every = let(F.regexp_replace(F.col(text), _SILENT, ""), of_text)
     d = pages.select(page, F.col(url).alias("base"), F.posexplode(every).alias("ord", "_c"))
     return d.select(page, "base", "ord", F.col("_c.src").alias("src"), F.col("_c.kind").alias("kind"))
 
