@@ -99,49 +99,55 @@ KINDS = (
 )
 
 _SPAN = "array<struct<start:int,end:int,match:string,score:double>>"
-#: Spans that an array gathers before it is set aside, so that long arrays aren't copied for each span.
-_RUN = 256
+#: Matches of a block: a match's place is its block's start and the lengths before it in the block.
+_BLOCK = 64
+
+
+def starts_of(lengths: Column) -> Column:
+    """The sums of all lengths before each block."""
+    total = lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + x)
+    blocks = F.sequence(F.lit(0), F.floor(F.size(lengths) / _BLOCK).cast("int"))
+    return F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.array_append(a, F.element_at(a, -1) + total(b)))
 
 
 def spans_of(text: Column, kind: Kind) -> Column:
     """The confirmed spans of a kind: leftmost, non-overlapping, in code points, ends exclusive.
 
-    One pass over the matches and the gaps between them, which holds the last match with the
-    characters up to its end, and the spans before it; its time is linear in the text whatever matches.
+    Places are sums of lengths in blocks, and what an aggregate carries is copied for each of its elements, so
+    that none carries more than a number but over blocks: the time is linear in the matches for all but
+    texts of many millions.
     """
-    least = 0.0 if kind.always else ACCEPT
-    span = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), m["score"].alias("score"))
-    last_chars = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
-
-    def walk(gaps: Column) -> Column:
-        before = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("match"), F.lit(-1.0).alias("score"), F.lit("").alias("tail"))
-        none = F.struct(F.lit(0).alias("k"), before.alias("last"), F.array().cast(f"array<{_SPAN}>").alias("aside"), F.array().cast(_SPAN).alias("run"))
-
-        def met(state: Column, m: Column) -> Column:
-            def placed(gap: Column) -> Column:
-                start = state["last"]["end"] + F.char_length(gap)
-                near = last_chars(F.concat(state["last"]["tail"], last_chars(gap)))
-                gain = F.when(F.lower(near).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
-                score = F.when(kind.valid(m), F.least(F.lit(1.0), F.lit(kind.base) + gain)).otherwise(-1.0)
-                end = start + F.char_length(m)
-                return F.struct(start.alias("start"), end.alias("end"), m.alias("match"), score.alias("score"), last_chars(F.concat(near, last_chars(m))).alias("tail"))
-
-            return let(F.get(gaps, state["k"]), placed)
-
-        def with_last(state: Column, run: Column) -> Column:
-            return F.when(state["last"]["score"] >= least, F.array_append(run, span(state["last"]))).otherwise(run)
-
-        def step(state: Column, m: Column) -> Column:
-            # what holds the spans never passes through ``let``, which copies its value
-            full = F.size(state["run"]) >= _RUN
-            run = F.when(full, F.array().cast(_SPAN)).otherwise(state["run"])
-            aside = F.when(full, F.array_append(state["aside"], state["run"])).otherwise(state["aside"])
-            return F.struct((state["k"] + 1).alias("k"), met(state, m).alias("last"), aside.alias("aside"), with_last(state, run).alias("run"))
-
-        matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-        return F.aggregate(matches, none, step, lambda state: F.flatten(F.array_append(state["aside"], with_last(state, state["run"]))))
-
-    return F.when(kind.probe(text), let(F.split(text, kind.pattern, -1), walk)).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast(_SPAN)
+
+    def confirmed(matches: Column, gaps: Column) -> Column:
+        lengths = F.transform(matches, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))
+        valid = F.filter(F.sequence(F.lit(0), F.size(matches) - 1), lambda i: kind.valid(F.get(matches, i)))
+        last = lambda x: F.right(x, F.lit(CONTEXT_CHARS))
+
+        def near(i: Column) -> Column:
+            # a match has two characters or more
+            before = F.transform(F.sequence(F.greatest(i - CONTEXT_CHARS // 2, F.lit(0)), i), lambda j: F.concat(last(F.get(gaps, j)), F.when(j < i, last(F.get(matches, j))).otherwise("")))
+            return last(F.array_join(before, ""))
+
+        def spans(lengths: Column, starts: Column) -> Column:
+            def span(i: Column) -> Column:
+                block = F.floor(i / _BLOCK).cast("int")
+                inside = F.aggregate(F.slice(lengths, block * _BLOCK + 1, i % _BLOCK), F.lit(0), lambda a, x: a + x)
+                gain = F.when(F.lower(near(i)).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
+                match, score = F.get(matches, i), F.least(F.lit(1.0), F.lit(kind.base) + gain)
+                start = F.get(starts, block) + inside + F.char_length(F.get(gaps, i))
+                return let(start, lambda s: F.struct(s.alias("start"), (s + F.char_length(match)).alias("end"), match.alias("match"), score.alias("score")))
+
+            return F.transform(valid, span)
+
+        found = let(lengths, lambda n: let(starts_of(n), lambda s: spans(n, s)))
+        return F.when(F.size(matches) > 0, found).otherwise(none)
+
+    matched = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    out = let(matched, lambda m: let(F.split(text, kind.pattern, -1), lambda g: confirmed(m, g)))
+    if not kind.always:
+        out = F.filter(out, lambda s: s["score"] >= ACCEPT)
+    return F.when(kind.probe(text), out).otherwise(none)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
