@@ -229,6 +229,8 @@ _REPLY = "unit long, no int, part int, again binary, further binary"
 def _entries(unit: int, no: int, distinct: Distinct) -> Iterator[tuple]:
     """A row for each part that a block has entries of: lower halves of keys, then the other columns."""
     keys = distinct.columns[0]
+    if not len(keys):
+        return
     parts, at = np.unique(keys >> _U(32), return_index=True)
     for part, a, b in zip(parts.tolist(), at, np.append(at[1:], len(keys)), strict=True):
         yield part, unit, no, b"".join([(keys[a:b] & _LOW).astype("<u4").tobytes(), *(c[a:b].astype("<u8").tobytes() for c in distinct.columns[1:])])
