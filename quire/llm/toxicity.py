@@ -277,7 +277,8 @@ def beginnings(texts: DataFrame, least: int) -> DataFrame:
     open_ = texts.select(F.monotonically_increasing_id().alias("row"), "label", words.alias("words"))
     shortest, longest, found = SHORTEST, FIRST_ROUND, []
     while True:
-        starts = lambda w, a=shortest, b=longest: F.transform(F.sequence(F.lit(a), F.least(F.length(w), F.lit(b))), lambda k: F.substring(w, F.lit(1), k))
+        lengths = lambda w: F.sequence(F.lit(shortest), F.least(F.length(w), F.lit(longest)))  # noqa: B023, E731
+        starts = lambda w: F.transform(lengths(w), lambda k: F.substring(w, F.lit(1), k))  # noqa: B023, E731
         begin = open_.select("label", F.explode(F.array_distinct(F.flatten(F.transform("words", starts)))).alias("stem"))
         counts = begin.groupBy("stem").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
         found.append(written(counts.filter(F.col("t") + F.col("c") >= least), "counts"))
