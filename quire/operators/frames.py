@@ -32,7 +32,7 @@ def graphics_delays(frames: DataFrame, ts: str = "ts", by: Sequence[str] = ("vid
     return frames.withColumn("gap", F.when(place > 1, ((F.col(ts) - before) * 1000).cast("bigint")))
 
 
-def throttle(df: DataFrame, ts: str, by: Sequence[str], least: float = 0.05) -> DataFrame:
+def throttle(df: DataFrame, ts: str, by: Sequence[str], least: float = 0.05, order: Sequence[str] = ()) -> DataFrame:
     """Column ``accepted``: whether at least ``least`` seconds passed since the last accepted row of the group.
 
     That depends on what was accepted, so that each group is walked in order,
@@ -55,7 +55,7 @@ def throttle(df: DataFrame, ts: str, by: Sequence[str], least: float = 0.05) ->
                 marks.append(ok)
             yield pdf.assign(accepted=marks)
 
-    return df.repartition(*by).sortWithinPartitions(*by, ts).mapInPandas(walk, schema)
+    return df.repartition(*by).sortWithinPartitions(*by, ts, *order).mapInPandas(walk, schema)
 
 
 def carry_forward(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from quire.functions import geometry as G
 from quire.functions import media as M
 from quire.functions import terminal, wrapping
 from quire.functions import text as X
-from quire.operators import concat, frames, grid, html, images, inputs, markdown, paths, pixels, tables, walk
+from quire.operators import concat, frames, grid, html, images, inputs, markdown, numbering, paths, pixels, tables, viewer, walk
 from quire.plans.dims import LANGUAGES, THEMES, language_icon, lookup, theme_color
 from quire.sources import convert
 
@@ -436,11 +435,11 @@ _TREE = f"""(
 
 
 @query(f"""
-    SELECT path, depth, coalesce(lead(depth) OVER w < depth, true) AS last
+    SELECT path, depth, coalesce(lead(depth) OVER w < depth, true) AS last, row_number() OVER w - 1 AS number
     FROM (SELECT path, len(string_split(path, '/')) - 1 AS depth FROM {_TREE}) WINDOW w AS (ORDER BY string_split(path, '/'))
 """)
 def last_child_flag(spark, sf):
-    return paths.tree_labels(_tree(spark, sf)).select("path", F.col("depth").cast("long").alias("depth"), "last")
+    return paths.tree_labels(_tree(spark, sf)).select("path", F.col("depth").cast("long").alias("depth"), "last", "number")
 
 
 @query(f"SELECT path, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY is_dir DESC, lower(path), path)::INT AS place FROM {_TREE}")
@@ -827,15 +826,13 @@ def first_inputs(spark, sf):
 
 
 @query("""
-    SELECT name, grp::INT AS grp, ord, row_number() OVER (ORDER BY grp, ord)::INT AS n FROM (SELECT n_name AS name, 1 AS grp, n_nationkey::BIGINT AS ord FROM nation UNION ALL SELECT r_name, 0, r_regionkey::BIGINT FROM region)
+    SELECT name, grp::INT AS grp, ord, row_number() OVER (ORDER BY grp, ord) AS n FROM (SELECT n_name AS name, 1 AS grp, n_nationkey::BIGINT AS ord FROM nation UNION ALL SELECT r_name, 0, r_regionkey::BIGINT FROM region)
 """)
 def piped_inputs(spark, sf):
-    from pyspark.sql import Window
-
     named = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("ord"))
     piped = table(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("ord"))
-    d = inputs.all_inputs(piped, named)
-    return d.select("name", F.col("place.group").alias("grp"), F.col("place.ord").alias("ord"), F.row_number().over(Window.orderBy("place")).alias("n"))
+    d = numbering.numbered(inputs.all_inputs(piped, named), ["place"], "n", start=1)
+    return d.select("name", F.col("place.group").alias("grp"), F.col("place.ord").alias("ord"), "n")
 
 
 @query("""
@@ -957,18 +954,108 @@ def sixel_image(spark, sf):
 def frame_delays_stream(spark, sf):
     """The delays by Structured Streaming, from the table's file to a table in the checkpoint folder or, in local mode, a temporary one."""
     from quire.streaming.frames import stream_delays
+    from quire.streaming.limits import run_available
+
+    rows = _streamed(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_id"), _whole_ms().alias("ts"))
+    out = run_available(stream_delays(rows), "frames")
+    return out.select(F.col("frame_id").alias("event_id"), F.round(F.col("delay") * 1000).cast("long").alias("ms"))
+
+
+def _streamed(spark, sf, name):
+    """A table of the folder as a stream; a file or a folder of files makes one or more micro-batches."""
+    return spark.readStream.schema(table(spark, sf, name).schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}.parquet*")
+
+
+_THROTTLED = """
+    WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    accepted AS (
+        SELECT user_id, ts, k FROM e WHERE k = 1
+        UNION ALL
+        SELECT user_id, arg_min(ts, k), min(k) FROM (
+            SELECT e.user_id, e.ts, e.k FROM accepted a JOIN e ON e.user_id = a.user_id AND e.k > a.k AND e.ts >= a.ts + INTERVAL 6 HOURS
+        ) GROUP BY user_id
+    )
+    SELECT event_id, a.k IS NOT NULL AS accepted FROM e LEFT JOIN accepted a USING (user_id, k)
+"""
+
+
+@query(_THROTTLED)
+def throttled_events(spark, sf):
+    """The events of each user that come six hours or more after the last accepted one."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = table(spark, sf, "events").select("user_id", "event_id", micros.alias("at"))
+    return frames.throttle(d, "at", ["user_id"], least=6 * 3600 * 10**6, order=["event_id"]).select("event_id", "accepted")
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    jvm = spark.sparkContext._jvm
-    folder = f"{shared.rstrip('/')}/frames-{jvm.java.util.UUID.randomUUID()}" if shared else "file://" + tempfile.mkdtemp(prefix="quire-")
-    source = table(spark, sf, "events")
-    files = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = files.select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame_id"), _whole_ms().alias("ts"))
-    run = stream_delays(rows).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
-    run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(F.col("frame_id").alias("event_id"), F.round(F.col("delay") * 1000).cast("long").alias("ms"))
+
+@query(_THROTTLED)
+def throttled_stream(spark, sf):
+    """The same by Structured Streaming, with the last accepted time as state."""
+    from quire.streaming.limits import run_available, stream_throttle
+
+    rows = _streamed(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return run_available(stream_throttle(rows, "ts", ["user_id"], 6 * 3600.0, ["event_id"], idle=86400.0), "throttled").select("event_id", "accepted")
+
+
+@query("""
+    SELECT event_id, upto FROM (SELECT event_id, sum(size) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS upto FROM (SELECT user_id, event_id, event_id % 50 * 7 AS size FROM events)) WHERE upto <= 4000
+""")
+def capped_stream(spark, sf):
+    """Events as chunks of downloads by user, as a stream that closes each at the cap."""
+    from quire.streaming.limits import run_available, stream_capped
+
+    chunks = _streamed(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 50 * 7).alias("size"))
+    return run_available(stream_capped(chunks, 4000, "user_id", "event_id"), "capped").select("event_id", "upto")
+
+
+_MOVES = ("zoom_in", "right", "zoom_in", "down", "left", "far_down", "zoom_out", "bottom", "right", "up", "reset", "zoom_in", "top", "far_up", "next", "previous", "noise")
+
+
+@query(rf"""
+    WITH RECURSIVE names AS (SELECT {list(_MOVES)} AS names),
+    e AS (
+        SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, names[(event_id * 7 + user_id) % {len(_MOVES)} + 1] AS ev,
+               400 + user_id % 37 * 31 AS iw, 300 + user_id % 23 * 41 AS ih
+        FROM events, names
+    ),
+    s AS (
+        SELECT user_id, 0::BIGINT AS k, 0::BIGINT AS event_id, 1 AS zoom, 0 AS px, 0 AS py, 0 AS shown, false AS changed, any_value(iw)::INT AS iw, any_value(ih)::INT AS ih FROM e GROUP BY user_id
+        UNION ALL
+        SELECT user_id, k, event_id, zoom, greatest(-rx, least(rx, mx)), greatest(-ry, least(ry, my)), shown, changed, iw, ih
+        FROM (
+            SELECT *, greatest(0, trunc((iw - trunc(sx))::DOUBLE / 2))::INT AS rx, greatest(0, trunc((ih - trunc(sy))::DOUBLE / 2))::INT AS ry
+            FROM (
+                SELECT *, (320::FLOAT / (fit * zoom::FLOAT)::FLOAT)::FLOAT AS sx, (240::FLOAT / (fit * zoom::FLOAT)::FLOAT)::FLOAT AS sy
+                FROM (
+                    SELECT user_id, k, event_id, iw, ih, fit,
+                        CASE WHEN ev = 'zoom_in' THEN zoom + 1 WHEN ev = 'zoom_out' THEN greatest(1, zoom - 1) WHEN ev = 'reset' THEN 1 ELSE zoom END AS zoom,
+                        CASE WHEN ev = 'reset' THEN 0 WHEN dx <> 0 AND abs(px + dx) <= lx THEN px + dx ELSE px END AS mx,
+                        CASE WHEN ev = 'reset' THEN 0 WHEN dy <> 0 AND abs(py + dy) <= ly THEN py + dy WHEN ev = 'top' THEN -ly WHEN ev = 'bottom' THEN ly ELSE py END AS my,
+                        CASE WHEN ev = 'next' THEN least(2, shown + 1) WHEN ev = 'previous' THEN greatest(0, shown - 1) ELSE shown END AS shown,
+                        CASE WHEN ev IN ('zoom_in', 'reset') THEN true WHEN ev = 'zoom_out' THEN zoom > 1 WHEN ev = 'next' THEN shown < 2 WHEN ev = 'previous' THEN shown > 0
+                             WHEN ev = 'top' THEN py <> -ly WHEN ev = 'bottom' THEN py <> ly ELSE (dx <> 0 AND abs(px + dx) <= lx) OR (dy <> 0 AND abs(py + dy) <= ly) END AS changed
+                    FROM (
+                        SELECT *, greatest(0, (iw - least(round((320::FLOAT / (fit * zoom::FLOAT)::FLOAT)::FLOAT)::INT, iw)) // 2)::INT AS lx,
+                               greatest(0, (ih - least(round((240::FLOAT / (fit * zoom::FLOAT)::FLOAT)::FLOAT)::INT, ih)) // 2)::INT AS ly
+                        FROM (
+                            SELECT s.user_id, e.k, e.event_id, e.ev, s.zoom, s.px, s.py, s.shown, s.iw, s.ih, least((320::FLOAT / s.iw::FLOAT)::FLOAT, (240::FLOAT / s.ih::FLOAT)::FLOAT) AS fit,
+                                CASE e.ev WHEN 'left' THEN -50 WHEN 'right' THEN 50 ELSE 0 END AS dx,
+                                CASE e.ev WHEN 'up' THEN -50 WHEN 'down' THEN 50 WHEN 'far_up' THEN -200 WHEN 'far_down' THEN 200 ELSE 0 END AS dy
+                            FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1
+                        )
+                    )
+                )
+            )
+        )
+    )
+    SELECT event_id, zoom::INT AS zoom, px::INT AS pan_x, py::INT AS pan_y, shown::INT AS shown, changed FROM s WHERE k > 0
+""")
+def viewer_events(spark, sf):
+    """Events as moves in an image by user, 320 by 240 pixels shown: the state after each."""
+    k, user = F.col("event_id"), F.col("user_id")
+    move = F.get(F.array(*map(F.lit, _MOVES)), ((k * 7 + user) % len(_MOVES)).cast("int"))
+    size = [F.lit(320).alias("cw"), F.lit(240).alias("ch"), (400 + user % 37 * 31).cast("int").alias("iw"), (300 + user % 23 * 41).cast("int").alias("ih")]
+    d = table(spark, sf, "events").select("user_id", "event_id", move.alias("event"), *size)
+    return viewer.replay(d, ["user_id"], ["event_id"], images=3).select("event_id", "zoom", "pan_x", "pan_y", "shown", "changed")
 
 
 # the queries over files add themselves to these
