@@ -48,7 +48,7 @@ def highlight(code: str, lang: str, theme: str = "github") -> str:
         return code
 
     def piece(m: re.Match) -> str:
-        role = {"number": "magenta"}.get(m.lastgroup, m.lastgroup)
+        role = {"number": "constant", "type": "module"}.get(m.lastgroup, m.lastgroup)
         return "\n".join(f"{paint(colors[role])}{x}{RESET}" if x else "" for x in m[0].split("\n"))
 
     return _pattern(lang).sub(piece, code)

@@ -409,6 +409,7 @@ def _tight(n: Node) -> str:
 def css(theme: str) -> str:
     """A theme's colors as custom properties, and rules that use them."""
     colors = THEMES.get(theme, THEMES["github"])
+    colors = colors | {"type": colors["module"]}
     return (
         ":root {\n" + "".join(f"  --{k.replace('_', '-')}: {v};\n" for k, v in colors.items()) + "}\n"
         "body { background: var(--background); color: var(--foreground); font-family: sans-serif; }\n"

@@ -12,7 +12,7 @@ from quire.functions import media as M
 from quire.functions import terminal, wrapping
 from quire.functions import text as X
 from quire.operators import concat, frames, grid, html, images, inputs, markdown, numbering, paths, pixels, tables, viewer, walk
-from quire.plans.dims import LANGUAGES, THEMES, language_icon, lookup, theme_color
+from quire.plans.dims import LANGUAGES, language_icon, lookup, theme_color
 from quire.sources import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -338,19 +338,47 @@ def base64_chunks(spark, sf):
     return d.select("doc_id", F.size("c").alias("n"), F.length(F.element_at("c", -1)).cast("long").alias("last"))
 
 
-@query("SELECT theme, role, color, ('0x' || substr(color, 2, 2))::INT AS r, ('0x' || substr(color, 4, 2))::INT AS g, ('0x' || substr(color, 6, 2))::INT AS b FROM " + sql_values("theme role color", *[(t, r, c) for t, x in THEMES.items() for r, c in x.items()]))
-def theme_colors(spark, sf):
-    d = values(spark, "theme role color", *[(t, r, c) for t, x in THEMES.items() for r, c in x.items()])
-    rgb = X.hex_color(F.col("color"))
-    return d.select("theme", "role", "color", rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
+#: The colors of five roles, typed for SQL apart from the library's table: keyword, module, constant, background, blue.
+_FIVE = """
+    VALUES ('catppuccin', '#CBA6F7', '#89DCEB', '#F38BA8', '#1E1E2E', '#89B4FA'), ('nord', '#81A1C1', '#8FBCBB', '#B48EAD', '#272E37', '#81A1C1'),
+    ('monokai', '#F92672', '#66D9EF', '#AE81FF', '#272822', '#66D9EF'), ('dracula', '#FF79C6', '#8BE9FD', '#BD93F9', '#282A36', '#8BE9FD'),
+    ('gruvbox', '#FB4934', '#83A598', '#D3869B', '#282828', '#83A598'), ('one_dark', '#C678DD', '#56B6C2', '#E06C75', '#282C34', '#61AFEF'),
+    ('solarized', '#268BD2', '#859900', '#D33682', '#002B36', '#268BD2'), ('tokyo_night', '#BB9AF7', '#2AC3DE', '#FF9E64', '#1A1B26', '#7AA2F7'),
+    ('makurai_light', '#E35043', '#AB31A9', '#976700', '#f8f8fc', '#3D76F3'), ('makurai_dark', '#FF7733', '#82AAFF', '#D2A6FF', '#14161f', '#82AAFF'),
+    ('ayu', '#FF8F40', '#59C2FF', '#D2A6FF', '#0A0E14', '#59C2FF'), ('ayu_mirage', '#FFA759', '#73D0FF', '#D4BFFF', '#1F2430', '#73D0FF'),
+    ('github', '#FF7B72', '#FFA657', '#79C0FF', '#0D1117', '#58A6FF'), ('synthwave', '#FF7EDB', '#FE4450', '#FF8CC8', '#262335', '#36F9F6'),
+    ('material', '#C792EA', '#FFCB6B', '#F78C6C', '#292D3E', '#82AAFF'), ('rose_pine', '#C4A7E7', '#EBBCBA', '#EB6F92', '#191724', '#9CCFD8'),
+    ('kanagawa', '#957FB8', '#7FB4CA', '#D27E99', '#1F1F28', '#7E9CD8'), ('vscode', '#569CD6', '#4EC9B0', '#B5CEA8', '#1E1E1E', '#569CD6'),
+    ('everforest', '#E67E80', '#7FBBB3', '#D699B6', '#2D353B', '#7FBBB3'), ('autumn', '#fc6501', '#fc4c4c', '#FF6B9D', '#14161f', '#5abffa'),
+    ('spring', '#FFB347', '#66E6FF', '#D8A5FF', '#14161f', '#66E6FF')
+"""
+#: Names as customers ask for them: those of the library in either case, one that it lacks, and none.
+_ASKED = "catppuccin Nord monokai dracula GRUVBOX one_dark solarized tokyo_night makurai_light makurai_dark ayu ayu_mirage github synthwave material rose_pine kanagawa vscode everforest autumn spring dark".split()
 
 
-_NAMES = (("Nord", "#81A1C1"), ("dark", "#0969DA"), ("github", "#0969DA"))
+def _asked():
+    return F.get(F.array(*map(F.lit, _ASKED)), (F.col("c_custkey") % (len(_ASKED) + 1)).cast("int"))
 
 
-@query(f"SELECT theme, blue FROM {sql_values('theme blue', *_NAMES)}")
+@query(f"""
+    WITH five(theme, keyword, module, constant, background, blue) AS ({_FIVE}),
+    c AS (SELECT c_custkey, lower({_ASKED}[c_custkey % {len(_ASKED) + 1} + 1]) AS asked FROM customer)
+    SELECT c_custkey, keyword, module, constant, background, ('0x' || background[2:3])::INT AS r, ('0x' || background[4:5])::INT AS g, ('0x' || background[6:7])::INT AS b
+    FROM c JOIN five ON theme = CASE WHEN asked IN (SELECT theme FROM five) THEN asked ELSE 'github' END
+""")
+def theme_colors(spark, sf):
+    d = table(spark, sf, "customer").select("c_custkey", *[theme_color(_asked(), role).alias(role) for role in ("keyword", "module", "constant", "background")])
+    rgb = X.hex_color(F.col("background"))
+    return d.select("*", rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"))
+
+
+@query(f"""
+    WITH five(theme, keyword, module, constant, background, blue) AS ({_FIVE}),
+    c AS (SELECT c_custkey, lower({_ASKED}[c_custkey % {len(_ASKED) + 1} + 1]) AS asked FROM customer)
+    SELECT c_custkey, coalesce((SELECT blue FROM five WHERE theme = asked), '#58A6FF') AS blue FROM c
+""")
 def theme_default(spark, sf):
-    return values(spark, "theme", *[n[:1] for n in _NAMES]).select("theme", theme_color(F.col("theme"), "blue").alias("blue"))
+    return table(spark, sf, "customer").select("c_custkey", theme_color(_asked(), "blue").alias("blue"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Python' WHEN 1 THEN 'Rust' WHEN 2 THEN 'SQL' END AS language FROM customer")
