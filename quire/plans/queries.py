@@ -11,7 +11,7 @@ from quire.functions import geometry as G
 from quire.functions import media as M
 from quire.functions import terminal, wrapping
 from quire.functions import text as X
-from quire.operators import concat, frames, grid, html, images, inputs, markdown, numbering, paths, pixels, tables, viewer, walk
+from quire.operators import concat, frames, grid, html, images, inputs, links, markdown, numbering, paths, pixels, tables, viewer, walk
 from quire.plans.dims import LANGUAGES, language_icon, lookup, theme_color
 from quire.sources import convert
 
@@ -475,6 +475,60 @@ def listing_order(spark, sf):
     return paths.listing(_tree(spark, sf)).select("path", "place")
 
 
+def _linked(spark, sf):
+    """The tree with links: to folders, from folder to folder, in chains, to folders above, to themselves and to nothing."""
+    k = F.col("page_id")
+    at = lambda p: F.concat(F.lit("/d"), (p % 7).cast("string"), F.lit("/e"), (p % 3).cast("string"), F.lit("/l"), p.cast("string"))
+    e = (k % 3).cast("string")
+    target = (
+        F.when(k % 7 == 3, F.concat(F.lit("../../d5/e"), e)).when(k % 5 == 0, F.when(k % 2 == 0, F.concat(F.lit("/d3/./e"), e)).otherwise(F.concat(F.lit("/d5/e"), e)))
+        .when(k % 5 == 1, at(k - 63)).when(k % 5 == 2, F.concat(F.lit("../../d"), (k % 7).cast("string"))).when(k % 5 == 3, at(k)).otherwise(F.concat(F.lit("/d4/e"), e, F.lit("/l"), k.cast("string"), F.lit("/f")))
+    )
+    links = table(spark, sf, "pages").filter((k % 9 == 0) & (k % 7 < 4)).select(at(k).alias("path"), F.lit(False).alias("is_dir"), target.alias("target"))
+    return _tree(spark, sf).withColumn("target", F.lit(None).cast("string")).unionAll(links)
+
+
+_LINKED = f"""
+    p AS (SELECT page_id AS k, '/d' || page_id % 7 || '/e' || page_id % 3 || '/l' || page_id AS path FROM pages WHERE page_id % 9 = 0 AND page_id % 7 < 4),
+    l AS (
+        SELECT path, CASE WHEN k % 7 = 3 THEN '/d5/e' || k % 3 WHEN k % 5 = 0 THEN CASE WHEN k % 2 = 0 THEN '/d3/e' || k % 3 ELSE '/d5/e' || k % 3 END
+            WHEN k % 5 = 1 THEN '/d' || (k - 63) % 7 || '/e' || (k - 63) % 3 || '/l' || (k - 63) WHEN k % 5 = 2 THEN '/d' || k % 7
+            WHEN k % 5 = 3 THEN path ELSE '/d4/e' || k % 3 || '/l' || k || '/f' END AS target FROM p
+    ),
+    entries AS (SELECT path, is_dir, false AS is_link FROM {_TREE} UNION ALL SELECT path, false, true FROM l),
+    way AS (
+        SELECT path, target AS led, 1 AS hop FROM l
+        UNION ALL
+        SELECT w.path, l.target || substr(w.led, length(l.path) + 1), hop + 1
+        FROM way w JOIN l ON starts_with(w.led || '/', l.path || '/') WHERE hop <= 40
+    ),
+    ends AS (SELECT path, arg_max(led, hop) AS led, max(hop) AS hops FROM way GROUP BY path),
+    final AS (SELECT path, CASE WHEN hops <= 40 THEN led END AS final, CASE WHEN hops > 40 THEN 'loop' WHEN led IN (SELECT path FROM entries) THEN 'found' ELSE 'missing' END AS state FROM ends)
+"""
+
+
+@query(f"WITH RECURSIVE {_LINKED} SELECT path, final, state FROM final")
+def link_targets(spark, sf):
+    return links.resolve_links(_linked(spark, sf))
+
+
+@query(f"""
+    WITH RECURSIVE {_LINKED},
+    placed AS (SELECT *, list_transform(range(2, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[1:n], '/')) AS folders FROM entries),
+    walk AS (
+        SELECT path, path AS real, is_dir, is_link, folders AS way FROM placed
+        UNION ALL
+        SELECT w.path || substr(e.path, length(f.final) + 1), e.path, e.is_dir, e.is_link,
+               w.way || [f.final] || list_filter(e.folders, lambda d: starts_with(d || '/', f.final || '/'))
+        FROM walk w JOIN final f ON w.is_link AND f.path = w.real AND f.state = 'found' AND NOT list_contains(w.way, f.final)
+        JOIN placed e ON starts_with(e.path || '/', f.final || '/')
+    )
+    SELECT path, real, is_dir FROM walk WHERE NOT is_link
+""")
+def linked_walk(spark, sf):
+    return links.walk_links(_linked(spark, sf))
+
+
 # --- pixels, sizes and frames
 
 def _whole_ms():
