@@ -239,7 +239,7 @@ def mine_phrases(
         stack.finish()
         yield stack.batch()
 
-    suffixes = written(rows.mapInArrow(emit, "key binary, n long"), "suffixes")
+    suffixes = written(rows.mapInArrow(emit, "key binary, n long"), "suffixes", "zstd")
     tasks = suffixes.count() // TASK_ROWS + 1
     dealt = suffixes.repartitionByRange(tasks, "key").sortWithinPartitions(F.col("key").desc())
     prefixes = dealt.mapInArrow(count, "lang string, phrase string, k int, a long").filter("k > 1")

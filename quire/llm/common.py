@@ -83,12 +83,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
             spark.conf.set(_BATCH, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with small_batches(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
