@@ -48,6 +48,18 @@ def sql_values(columns: str, *rows: tuple) -> str:
     return f"(VALUES {body}) AS v({', '.join(columns.split())})"
 
 
+def dealt(spark: SparkSession, sf_dir: str, columns: str, *rows: tuple) -> DataFrame:
+    """Each customer with one of the rows' values, by key, as new columns."""
+    names = columns.split()
+    entry = lambda r: F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)])
+    given = F.get(F.array(*map(entry, rows)), (F.col("c_custkey") % len(rows)).cast("int"))
+    return table(spark, sf_dir, "customer").withColumn("_given", given).select("*", "_given.*").drop("_given")
+
+
+def sql_dealt(columns: str, *rows: tuple) -> str:
+    return f"(SELECT * FROM customer JOIN {sql_values(f'given {columns}', *[(k, *r) for k, r in enumerate(rows)])} ON given = c_custkey % {len(rows)})"
+
+
 # --- tables and documents
 
 @query(r"""
@@ -169,9 +181,10 @@ _MIMES = (
 )
 
 
-@query(f"SELECT mime, ext FROM {sql_values('mime ext', *_MIMES)}")
+@query(f"SELECT c_custkey, mime || '; name=' || c_name AS mime, ext FROM {sql_dealt('mime ext', *_MIMES)}")
 def mime_to_ext(spark, sf):
-    return values(spark, "mime", *[(m,) for m, _ in _MIMES]).select("mime", M.mime_extension(F.col("mime")).alias("ext"))
+    mime = F.concat("mime", F.lit("; name="), "c_name")
+    return dealt(spark, sf, "mime", *[(m,) for m, _ in _MIMES]).select("c_custkey", mime.alias("mime"), M.mime_extension(mime).alias("ext"))
 
 
 @query("""
@@ -193,9 +206,11 @@ _MAGIC = (
 )
 
 
-@query(f"SELECT name, kind FROM {sql_values('name bytes kind', *_MAGIC)}")
+@query(f"SELECT c_custkey, name, kind FROM {sql_dealt('name bytes kind', *_MAGIC)}")
 def sniff_magic(spark, sf):
-    return values(spark, "name bytes", *[m[:2] for m in _MAGIC]).select("name", M.sniff(F.unhex("bytes")).alias("kind"))
+    """Customers' names as content behind first bytes of many kinds."""
+    content = F.concat(F.unhex("bytes"), F.col("c_name").cast("binary"))
+    return dealt(spark, sf, "name bytes", *[m[:2] for m in _MAGIC]).select("c_custkey", "name", M.sniff(content).alias("kind"))
 
 
 @query("""
@@ -213,29 +228,29 @@ _ROUTED = tuple((a, b) for a in ("md", "html", "image", "video") for b in ("md",
 
 
 @query(f"""
-    SELECT source, target, coalesce(max(result) FILTER (WHERE b = target), max(result) FILTER (WHERE b = '*')) AS result
-    FROM {sql_values('source target', *_ROUTED)} LEFT JOIN {sql_values('a b result', *M.ROUTES).replace('AS v', 'AS r')} ON a = source AND b IN (target, '*') GROUP BY ALL
+    SELECT c_custkey, source, target, coalesce(max(result) FILTER (WHERE b = target), max(result) FILTER (WHERE b = '*')) AS result
+    FROM {sql_dealt('source target', *_ROUTED)} LEFT JOIN {sql_values('a b result', *M.ROUTES).replace('AS v', 'AS r')} ON a = source AND b IN (target, '*') GROUP BY c_custkey, source, target
 """)
 def output_routes(spark, sf):
-    return values(spark, "source target", *_ROUTED).withColumn("result", M.route(F.col("source"), F.col("target")))
+    return dealt(spark, sf, "source target", *_ROUTED).select("c_custkey", "source", "target", M.route(F.col("source"), F.col("target")).alias("result"))
 
 
 _ICONS = (("a", True, "folder"), ("mp4", False, "video"), ("", False, "file"), ("py", False, "code"), ("ini", False, "conf"), ("tar", False, "archive"), ("docx", False, "txt"), ("ts", False, "video"),
     ("fstab", False, "conf"), ("grub", False, "conf"), ("fish_aliases", False, "conf"), ("crx", False, "archive"), ("sit", False, "archive"), ("zipx", False, "archive"), ("zz", False, "archive"), ("fish", False, "code"), ("log", False, "txt"))
 
 
-@query(f"SELECT ext, icon FROM {sql_values('ext is_dir icon', *_ICONS)}")
+@query(f"SELECT c_custkey, ext, icon FROM {sql_dealt('ext is_dir icon', *_ICONS)}")
 def icon_classes(spark, sf):
-    return values(spark, "ext is_dir", *[i[:2] for i in _ICONS]).select("ext", M.icon(F.col("ext"), F.col("is_dir")).alias("icon"))
+    return dealt(spark, sf, "ext is_dir", *[i[:2] for i in _ICONS]).select("c_custkey", "ext", M.icon(F.col("ext"), F.col("is_dir")).alias("icon"))
 
 
 _ENVS = (("xterm-kitty", "", "kitty"), ("xterm-256color", "iTerm.app", "iterm"), ("foot", "", "sixel"), ("xterm", "WezTerm", "iterm"), ("dumb", "", "ascii"))
 
 
-@query(f"SELECT term, encoder FROM {sql_values('term program encoder', *_ENVS)}")
+@query(f"SELECT c_custkey, term, encoder FROM {sql_dealt('term program encoder', *_ENVS)}")
 def encoder_detect(spark, sf):
     env = F.create_map(F.lit("TERM"), F.lower("term"), F.lit("TERM_PROGRAM"), F.lower("program"))
-    return values(spark, "term program", *[e[:2] for e in _ENVS]).select("term", M.encoder(env).alias("encoder"))
+    return dealt(spark, sf, "term program", *[e[:2] for e in _ENVS]).select("c_custkey", "term", M.encoder(env).alias("encoder"))
 
 
 # --- text
@@ -324,9 +339,13 @@ def zero_width_id(spark, sf):
 _KV = (("width=80%,height=60%,scale=1", "scale", "1"), (" a = 1 ,b,a=2", "a", "2"), ("x=1=2", "x", "1=2"), ("", "x", None))
 
 
-@query(f"SELECT text, value FROM {sql_values('text key value', *_KV)}")
+@query(f"SELECT c_custkey, value, c_name AS name, CASE WHEN key <> 'a' AND given <> 1 THEN NULL ELSE '7' END AS more FROM {sql_dealt('text key value', *_KV)}")
 def parse_kv_options(spark, sf):
-    return values(spark, "text key", *[k[:2] for k in _KV]).select("text", F.try_element_at(X.options(F.col("text")), F.col("key")).alias("value"))
+    """Options of a customer, whose name is one of them."""
+    text = F.concat("text", F.lit(",name="), "c_name", F.when(F.col("key") == "a", ", more = 7").otherwise(""))
+    found = dealt(spark, sf, "text key", *[k[:2] for k in _KV]).withColumn("found", X.options(text))
+    value = lambda k: F.try_element_at("found", k)
+    return found.select("c_custkey", value(F.col("key")).alias("value"), value(F.lit("name")).alias("name"), value(F.lit("more")).alias("more"))
 
 
 @query("""
@@ -581,10 +600,16 @@ def calc_fit(spark, sf):
 _DIMS = tuple((d, px, c) for d, px, c in (("80%", 1536, 80), ("4c", 77, 4), ("12px", 12, 1), ("7", 7, 7), ("abc", -1, -1), ("33.5%", 644, 34), ("100c", 1921, 100)))
 
 
-@query(f"SELECT dim, px::INT AS px, cells::INT AS cells FROM {sql_values('dim px cells', *_DIMS)}")
+@query(f"""
+    SELECT c_custkey, dim, px::INT AS px, cells::INT AS cells, ceil((1920::FLOAT * ((c_custkey % 250)::FLOAT / 100::FLOAT)::FLOAT)::FLOAT)::INT AS own_px,
+        ceil((1920::FLOAT / 100::FLOAT)::FLOAT * (c_custkey % 250)::FLOAT)::INT AS own_cells_px
+    FROM {sql_dealt('dim px cells', *_DIMS)}
+""")
 def dimensions(spark, sf):
-    d = values(spark, "dim", *[x[:1] for x in _DIMS])
-    return d.select("dim", F.coalesce(G.dim_to_px(F.col("dim"), F.lit(1920), F.lit(100)), F.lit(-1)).alias("px"), F.coalesce(G.dim_to_cells(F.col("dim"), F.lit(1920), F.lit(100)), F.lit(-1)).alias("cells"))
+    """Sizes in pixels and cells: fixed ones, and those of the customer's key in percent and in cells."""
+    d = dealt(spark, sf, "dim", *[x[:1] for x in _DIMS])
+    own = lambda unit: G.dim_to_px(F.concat((F.col("c_custkey") % 250).cast("string"), F.lit(unit)), F.lit(1920), F.lit(100))
+    return d.select("c_custkey", own("%").alias("own_px"), own("c").alias("own_cells_px"), "dim", F.coalesce(G.dim_to_px(F.col("dim"), F.lit(1920), F.lit(100)), F.lit(-1)).alias("px"), F.coalesce(G.dim_to_cells(F.col("dim"), F.lit(1920), F.lit(100)), F.lit(-1)).alias("cells"))
 
 
 @query("SELECT p_partkey, greatest(0, round(((100 - p_size * 3)::FLOAT / 2)::FLOAT))::INT AS cells FROM part")
