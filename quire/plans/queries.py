@@ -11,7 +11,7 @@ from quire.functions import geometry as G
 from quire.functions import media as M
 from quire.functions import terminal, wrapping
 from quire.functions import text as X
-from quire.operators import concat, frames, grid, html, images, inputs, links, markdown, numbering, paths, pixels, tables, viewer, walk
+from quire.operators import concat, frames, grid, html, images, inputs, links, markdown, numbering, paths, pixels, rasters, tables, viewer, walk
 from quire.plans.dims import LANGUAGES, language_icon, lookup, theme_color
 from quire.sources import convert
 
@@ -1050,7 +1050,8 @@ def display_width(spark, sf):
 @query(None)
 def sixel_image(spark, sf):
     k = F.col("p_partkey")
-    d = table(spark, sf, "part").select(F.lit(1).alias("img"), (k % 50).cast("int").alias("x"), F.floor(k / 50).cast("int").alias("y"), (k % 256).alias("r"), (k * 3 % 256).alias("g"), (k * 7 % 256).alias("b"))
+    place = k % 400
+    d = table(spark, sf, "part").select(F.floor(k / 400).alias("img"), (place % 20).cast("int").alias("x"), F.floor(place / 20).cast("int").alias("y"), (k % 256).alias("r"), (k * 3 % 256).alias("g"), (k * 7 % 256).alias("b"))
     return pixels.sixel(d, _PALETTE)
 
 
@@ -1165,5 +1166,85 @@ def viewer_events(spark, sf):
     return viewer.replay(d, ["user_id"], ["event_id"], images=3).select("event_id", "zoom", "pan_x", "pan_y", "shown", "changed")
 
 
+# --- rasters: every 400 parts are an image of 20 by 20 pixels
+
+_PARTS = """(
+    SELECT p_partkey // 400 AS img, (p_partkey % 400 % 20)::INT AS x, (p_partkey % 400 // 20)::INT AS y,
+        (p_partkey * 7 % 256)::INT AS r, (p_partkey * p_size % 256)::INT AS g, (p_size * 5)::INT AS b, CASE WHEN p_partkey % 11 = 0 THEN 0 ELSE 255 - p_size * 2 END::INT AS a
+    FROM part)"""
+
+
+def _part_pixels(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    place = k % 400
+    rgba = [(k * 7 % 256).cast("int").alias("r"), (k * size % 256).cast("int").alias("g"), (size * 5).cast("int").alias("b"), F.when(k % 11 == 0, 0).otherwise(255 - size * 2).cast("int").alias("a")]
+    return table(spark, sf, "part").select(F.floor(k / 400).alias("img"), (place % 20).cast("int").alias("x"), F.floor(place / 20).cast("int").alias("y"), *rgba)
+
+
+@query(f"""
+    WITH px AS (SELECT * FROM {_PARTS}),
+    size AS (SELECT img, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY img),
+    fitted AS (
+        SELECT img, w, h, greatest(1, CASE WHEN s > (9::FLOAT / 13::FLOAT) THEN 9 ELSE round((13::FLOAT * s)::FLOAT) END)::INT AS nw,
+            greatest(1, CASE WHEN s > (9::FLOAT / 13::FLOAT) THEN round((9::FLOAT / s)::FLOAT) ELSE 13 END)::INT AS nh
+        FROM (SELECT *, (w::FLOAT / h::FLOAT)::FLOAT AS s FROM size)
+    ),
+    pairs AS (SELECT w AS n_in, nw AS n_out FROM fitted UNION SELECT h, nh FROM fitted),
+    taps AS (
+        SELECT n_in, n_out, o, s, ((s + 0.5) - (o + 0.5) * n_in::DOUBLE / n_out) / greatest(n_in::DOUBLE / n_out, 1) AS t
+        FROM pairs, range(0, 64) AS os(o), range(0, 64) AS ss(s) WHERE o < n_out AND s < n_in
+    ),
+    raw AS (SELECT *, CASE WHEN abs(t) >= 3 THEN 0 WHEN t = 0 THEN 1 ELSE sin(t * pi()) / (t * pi()) * sin(t / 3 * pi()) / (t / 3 * pi()) END AS w FROM taps),
+    weights AS (SELECT n_in, n_out, o, s, w / sum(w) OVER (PARTITION BY n_in, n_out, o) AS w FROM raw),
+    wide AS (
+        SELECT px.img, o AS x, y, sum(r * a / 255.0::DOUBLE * k.w) AS r, sum(g * a / 255.0::DOUBLE * k.w) AS g, sum(b * a / 255.0::DOUBLE * k.w) AS b, sum(a * k.w) AS a
+        FROM px JOIN fitted USING (img) JOIN weights k ON n_in = fitted.w AND n_out = nw AND s = x GROUP BY ALL
+    ),
+    done AS (
+        SELECT wide.img, x, o AS y, sum(r * k.w) AS r, sum(g * k.w) AS g, sum(b * k.w) AS b, sum(a * k.w) AS a
+        FROM wide JOIN fitted USING (img) JOIN weights k ON n_in = h AND n_out = nh AND s = y GROUP BY ALL
+    ),
+    whole AS (
+        SELECT img, x, y, greatest(0, least(255, floor(round(a, 6) + 0.5)))::INT AS wa, greatest(0, least(255, floor(round(r * 255 / a, 6) + 0.5)))::INT AS r,
+            greatest(0, least(255, floor(round(g * 255 / a, 6) + 0.5)))::INT AS g, greatest(0, least(255, floor(round(b * 255 / a, 6) + 0.5)))::INT AS b
+        FROM done
+    ),
+    box AS (SELECT img, nw, nh, x, y FROM fitted, range(0, 9) AS xs(x), range(0, 13) AS ys(y))
+    SELECT img, x::INT AS x, y::INT AS y, CASE WHEN coalesce(wa, 0) = 0 THEN 0 ELSE r END AS r, CASE WHEN coalesce(wa, 0) = 0 THEN 0 ELSE g END AS g, CASE WHEN coalesce(wa, 0) = 0 THEN 0 ELSE b END AS b, coalesce(wa, 0) AS a
+    FROM box LEFT JOIN (SELECT whole.* REPLACE (x + (9 - nw) // 2 AS x, y + (13 - nh) // 2 AS y) FROM whole JOIN fitted USING (img)) USING (img, x, y)
+""")
+def resampled_images(spark, sf):
+    """Images brought into boxes of 9 by 13 pixels, padded."""
+    d = _part_pixels(spark, sf)
+    return rasters.resample(d, d.select("img").distinct().select("img", F.lit(9).alias("width"), F.lit(13).alias("height")), pad=True)
+
+
+def _raster_files(spark, sf):
+    """The images as files of four kinds by number: PNM in color and gray, farbfeld, and TGA with its lowest row first."""
+    two = lambda c: F.lpad(F.hex(F.col(c)), 2, "0")
+    kind, rows = F.col("img") % 4, F.lit(20)
+    cell = F.when(kind == 0, F.concat(two("r"), two("g"), two("b"))).when(kind == 1, two("r")).when(kind == 2, F.concat(*[two(c) for c in "rrggbbaa"])).otherwise(F.concat(*map(two, "bgra")))
+    d = _part_pixels(spark, sf).select("img", F.when(kind == 3, rows - 1 - F.col("y")).otherwise(F.col("y")).alias("line"), "x", cell.alias("cell"))
+    cells = F.transform(F.sort_array(F.collect_list(F.struct("line", "x", "cell"))), lambda c: c["cell"])
+    text = lambda s: s.encode().hex()
+    head = F.when(kind == 0, text("P6\n# parts\n20 20\n255\n")).when(kind == 1, text("P5 20\t20 255\n")).when(kind == 2, text("farbfeld") + "00000014" * 2).otherwise("0000020000000000000000001400140020" + "08")
+    return d.groupBy("img").agg(F.count("*").alias("n"), F.array_join(cells, "").alias("body")).filter("n = 400").select("img", F.unhex(F.concat(head, "body")).alias("content"))
+
+
+@query(f"""
+    SELECT img, x, y, r, CASE WHEN img % 4 = 1 THEN r ELSE g END AS g, CASE WHEN img % 4 = 1 THEN r ELSE b END AS b, CASE WHEN img % 4 < 2 THEN 255 ELSE a END AS a
+    FROM {_PARTS} WHERE img IN (SELECT img FROM {_PARTS} GROUP BY img HAVING count(*) = 400)
+""")
+def raster_files(spark, sf):
+    """The pixels of raster files made of parts; an image that lacks a pixel makes none."""
+    return rasters.raster_pixels(_raster_files(spark, sf), "img")
+
+
+@query(None)
+def png_files(spark, sf):
+    """PNG files of the images; what Spark's image source reads in them is tested."""
+    return rasters.png(_part_pixels(spark, sf)).select("img", F.octet_length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+
+
 # the queries over files add themselves to these
 from quire.plans import file_queries  # noqa: E402, F401

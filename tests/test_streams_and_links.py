@@ -6,6 +6,7 @@ import itertools
 import posixpath
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as X
-from quire.operators import frames, html, links, numbering, paths, viewer
+from quire.operators import frames, html, links, numbering, paths, pixels, rasters, viewer
 from quire.plans.dims import ROLES, THEMES
 from quire.streaming import limits
 from quire.streaming.frames import capped_chunks
@@ -194,3 +195,85 @@ def test_patterns_take_no_stack(spark):
 def test_themes_are_whole():
     assert len(THEMES) == 21 and all(list(t) == list(ROLES) and len(ROLES) == 20 for t in THEMES.values())
     assert all(c[0] == "#" and int(c[1:7], 16) >= 0 for t in THEMES.values() for c in t.values())
+
+
+# --- rasters
+
+
+def pixel_rows(width, height, seed, missing=0.0):
+    rng = random.Random(seed)
+    return [(f"i{seed}", x, y, *(rng.randint(0, 255) for _ in range(4))) for y in range(height) for x in range(width) if rng.random() >= missing or (x, y) == (width - 1, height - 1)]
+
+
+PIXELS = "img string, x int, y int, r int, g int, b int, a int"
+
+
+def test_png_files_are_read_back(spark, tmp_path):
+    rows = pixel_rows(5, 3, 1) + pixel_rows(150, 140, 2) + pixel_rows(9, 8, 3, missing=0.4)
+    made = rasters.png(spark.createDataFrame(rows, PIXELS).repartition(3)).collect()
+    for r in made:
+        (tmp_path / f"{r['img']}.png").write_bytes(r["png"])
+    held = {r[:3]: r[3:] for r in rows}
+    images = spark.read.format("image").load(str(tmp_path)).select(F.element_at(F.split("image.origin", "[/.]"), -2).alias("img"), "image")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in pixels.image_pixels(images).collect()}
+    assert len(got) == 15 + 150 * 140 + 72
+    assert {k: v for k, v in got.items() if k in held} == held and all(v == (0, 0, 0, 0) for k, v in got.items() if k not in held)
+
+
+def test_raster_files(spark, monkeypatch):
+    monkeypatch.setattr(rasters, "PIECE_BYTES", 16)  # a range of few rows each
+    sample = bytes(range(24))
+    tga = lambda kind, bits, flip: bytes([3, 0, kind, *[0] * 9, 4, 0, 2, 0, bits, flip]) + b"abc"
+    files = {
+        "p6": b"P6 #c\n# more\n4\t2\n255\n" + sample, "p5": b"P5\n4 2 15\n" + bytes(range(8)), "p6w": b"P6 2 2 65535 " + sample, "ff": b"farbfeld" + bytes([0, 0, 0, 1, 0, 0, 0, 3]) + sample,
+        "t24": tga(2, 24, 32) + sample, "t24up": tga(2, 24, 0) + sample, "t8": tga(3, 8, 32) + sample[:8], "short": b"P6 4 3 255 " + sample, "other": b"\x89PNG...", "none": None, "empty": b"",
+    }
+    d = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in files.items()], "path string, content binary")
+    got = {}
+    for r in rasters.raster_pixels(d).collect():
+        got.setdefault(r["path"], {})[r["x"], r["y"]] = (r["r"], r["g"], r["b"], r["a"])
+    wide = lambda a, b: ((a * 256 + b) * 510 + 65535) // 131070
+    want = {k: {} for k in ("p6", "p5", "p6w", "ff", "t24", "t24up", "t8")}
+    for y, x in itertools.product(range(2), range(4)):
+        a, b, c = sample[12 * y + 3 * x :][:3]
+        want["p6"][x, y], want["t24"][x, y], want["t24up"][x, 1 - y] = (a, b, c, 255), (c, b, a, 255), (c, b, a, 255)
+        want["p5"][x, y], want["t8"][x, y] = ((4 * y + x) * 17,) * 3 + (255,), (4 * y + x,) * 3 + (255,)
+    for y, x in itertools.product(range(2), range(2)):
+        want["p6w"][x, y] = (*[wide(*sample[12 * y + 6 * x + 2 * k :][:2]) for k in range(3)], 255)
+    for y in range(3):
+        want["ff"][0, y] = tuple(wide(*sample[8 * y + 2 * k :][:2]) for k in range(4))
+    assert got == want
+
+
+def lanczos(n_in, n_out):
+    scale = n_in / n_out
+    wide = max(scale, 1)
+    t = (np.arange(n_in)[None, :] + 0.5 - (np.arange(n_out)[:, None] + 0.5) * scale) / wide
+    w = np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("width", "height", "box"), [(7, 5, (3, 9)), (4, 9, (12, 20)), (1, 1, (5, 4)), (30, 3, (6, 6))])
+def test_resampling(spark, width, height, box):
+    rows = pixel_rows(width, height, 5)
+    d = spark.createDataFrame(rows, PIXELS)
+    out = rasters.resample(d, spark.createDataFrame([("i5", *box)], "img string, width int, height int"), pad=True).collect()
+    ratio = np.float32(width) / np.float32(height)
+    broad = ratio > np.float32(box[0]) / np.float32(box[1])
+    new = (box[0], max(1, round(float(np.float32(box[0]) / ratio)))) if broad else (max(1, round(float(np.float32(box[1]) * ratio))), box[1])
+    plane = np.zeros((height, width, 4))
+    for _, x, y, *c in rows:
+        plane[y, x] = c
+    plane[:, :, :3] *= plane[:, :, 3:] / 255
+    done = np.einsum("ys,xt,stc->yxc", lanczos(height, new[1]), lanczos(width, new[0]), plane)
+    whole = lambda v: np.clip(np.floor(np.round(v, 6) + 0.5), 0, 255)
+    alpha = whole(done[:, :, 3])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        colors = np.where(alpha[:, :, None] == 0, 0, whole(done[:, :, :3] * 255 / done[:, :, 3:]))
+    want = np.zeros((box[1], box[0], 4), int)
+    top, left = (box[1] - new[1]) // 2, (box[0] - new[0]) // 2
+    want[top : top + new[1], left : left + new[0]] = np.concatenate([colors, alpha[:, :, None]], axis=2)
+    got = np.full((box[1], box[0], 4), -1)
+    for r in out:
+        got[r["y"], r["x"]] = r["r"], r["g"], r["b"], r["a"]
+    assert (got == want).all()
