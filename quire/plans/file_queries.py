@@ -312,3 +312,25 @@ def media_kinds(spark, sf):
 @query(r"SELECT source, regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY doc_id), '^\s+|\s+$', '', 'g') AS text FROM documents GROUP BY source")
 def joined_sources(spark, sf):
     return concat.concat_documents(table(spark, sf, "documents"), "text", "doc_id", ["source"])
+
+
+@query(r"""
+    WITH s AS (SELECT s_nationkey AS file, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, s_suppkey, s_name FROM supplier)
+    SELECT file, place, s_suppkey::VARCHAR AS key, s_name || ',;' || chr(10) || '"x"' AS name, NULL AS error FROM s WHERE file <> 7
+    UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, 'row 1 has not as many cells as the header' FROM s WHERE file = 7
+""")
+def delimited_folder(spark, sf):
+    """Suppliers as files by nation, of four delimiters, with quotes and line ends in cells; one file's rows have a cell too many."""
+    from quire.operators.tables import DELIMITERS
+    from quire.shared import new_folder
+    from quire.sources.delimited import read_delimited
+
+    sep = F.get(F.array(*map(F.lit, DELIMITERS)), (F.col("s_nationkey") % len(DELIMITERS)).cast("int"))
+    row = F.concat(F.col("s_suppkey").cast("string"), sep, F.lit('"'), "s_name", F.lit(',;\n""x"""'), F.when(F.col("s_nationkey") == 7, F.concat(sep, F.lit("more"))).otherwise(""))
+    lines = table(spark, sf, "supplier").select("s_nationkey", sep.alias("sep"), F.struct("s_suppkey", row.alias("row")).alias("row"))
+    head = F.concat(F.lit("key"), F.first("sep"), F.lit("name\n"))
+    text = F.concat(head, F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["row"]), "\n"))
+    folder = new_folder(spark, "delimited")
+    lines.groupBy(F.col("s_nationkey").alias("file")).agg(text.alias("value")).write.partitionBy("file").text(folder)
+    found = read_delimited(spark, folder)
+    return found.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "place", F.get("cells", 0).alias("key"), F.get("cells", 1).alias("name"), "error")
