@@ -17,30 +17,47 @@ def word_count(column: str) -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
+def running(df: DataFrame, order: Sequence[Column | str], sums: dict[str, Column], name: str) -> DataFrame:
+    """The rows with column ``place``, from 0, and for each of ``sums`` what it adds up to in the rows before, in ``order``.
+
+    Rows are dealt by ranges of the order and written; windows run inside the ranges, and what the ranges before add up to, a row for
+    each of as many as shuffle partitions, comes through the driver.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumns({f"_{k}": c for k, c in sums.items()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = written(dealt.withColumn("_id", F.monotonically_increasing_id()), name).withColumn("_part", F.shiftright("_id", 33).cast("int"))
+    totals = rows.groupBy("_part").agg(F.count("*").alias("place"), *[F.sum(f"_{k}").alias(k) for k in sums]).collect()
+    by_part = {r["_part"]: r for r in totals}
+    before = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = {}
+    for k in ("place", *sums):
+        upto = [0]
+        for part in range(max(by_part, default=-1) + 1):
+            upto.append(upto[-1] + ((by_part[part][k] or 0) if part in by_part else 0))
+        inside = F.coalesce(F.sum(F.lit(1) if k == "place" else F.col(f"_{k}")).over(before), F.lit(0))
+        out[k] = F.get(F.array(*map(F.lit, upto)), F.col("_part")) + inside
+    return rows.withColumns(out).drop("_id", "_part", *[f"_{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], budget_ratio: float, max_repeats: int) -> DataFrame:
     """(key, source, source_size, weight, target): the budget shared by weight, no target over its cap.
 
     ``weights`` repeat over the sources in code point order, null last. Sorted
     by cap per weight, the sources up to some place take their cap, and all
     others share the rest of the budget by weight; running sums find the place.
-    The windows here run over sources, not documents.
     """
     totals = sizes.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    totals = totals.withColumn("weight", F.element_at(cycle, ((place - 1) % len(weights) + 1).cast("int")))
-    totals = totals.withColumn("cap", F.col("source_size") * float(max_repeats))
-    everywhere = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "key")
-    budget = F.sum("source_size").over(everywhere) * budget_ratio
-    taken = F.coalesce(F.sum("cap").over(by_cap.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    open_weight = F.sum("weight").over(by_cap.rowsBetween(0, Window.unboundedFollowing))
-    totals = totals.withColumn("level", (budget - taken) / open_weight).withColumn("place", F.row_number().over(by_cap))
-    full = F.col("cap") <= F.col("level") * F.col("weight")
-    level = F.min(F.when(~full, F.struct("place", "level"))).over(everywhere)["level"]
-    totals = totals.withColumn("final_level", level)
-    target = F.when(full, F.col("cap")).otherwise(F.col("final_level") * F.col("weight"))
-    return totals.select("key", "source", "source_size", "weight", target.alias("target"))
+    placed = running(totals, [F.col("source").asc_nulls_last()], {}, "sources")
+    placed = placed.withColumn("weight", F.element_at(cycle, (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
+    placed = placed.withColumn("cap", F.col("source_size") * float(max_repeats)).withColumn("ratio", F.col("cap") / F.col("weight"))
+    filled = running(placed, ["ratio", "key"], {"taken": F.col("cap"), "passed": F.col("weight")}, "filled")
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float((whole["size"] or 0) * budget_ratio)) - F.col("taken")) / (F.lit(float(whole["weight"] or 0)) - F.col("passed"))
+    full = F.col("cap") <= level * F.col("weight")
+    opened = filled.filter(~full).agg(F.min(F.struct("place", level.alias("level"))).alias("first")).first()["first"]
+    target = F.when(full, F.col("cap")).otherwise(F.lit(opened["level"] if opened else None).cast("double") * F.col("weight"))
+    return filled.select("key", "source", "source_size", "weight", target.alias("target"))
 
 
 def mix_sources(
@@ -72,7 +89,7 @@ def mix_sources(
     result. Reruns agree. Other columns aren't read.
 
     Running sums are taken in blocks of hash or finish time, of a few thousand
-    rows each, so that no source meets in one task.
+    rows each, and the sums of blocks in ranges of them, so that neither a source nor all blocks meet in one task.
     """
     # equal or null ids of a source are told apart by their texts, so that they fall in many blocks
     tie = F.xxhash64(text_of(text_col)) if size is None else size.cast("long")
@@ -87,13 +104,13 @@ def mix_sources(
     bits = block_bits(n, BLOCK_ROWS)
     sizes = sizes.withColumn("block", F.shiftrightunsigned("h", 64 - bits))
 
-    targets = small(written(source_targets(sizes, weights, budget_ratio, max_repeats), "targets"), 200)
-    before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.groupBy("key", "block").agg(F.sum("size").alias("block_size"))
-    starts = starts.select("key", "block", F.coalesce(F.sum("block_size").over(before), F.lit(0)).alias("start"))
+    blocks = sizes.groupBy("key", "block").agg(F.sum("size").alias("block_size"))
+    starts = running(blocks, ["key", "block"], {"start": F.col("block_size")}, "blocks").select("key", "block", "start")
+    firsts = starts.groupBy("key").agg(F.min("start").alias("first_start"))
+    targets = small(written(source_targets(sizes, weights, budget_ratio, max_repeats).join(firsts, "key"), "targets"), 200)
     within = Window.partitionBy("key", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sizes.withColumn("inside", F.sum("size").over(within)).join(starts, ["key", "block"])
-    placed = placed.join(targets.drop("source"), "key").withColumn("end", F.col("start") + F.col("inside"))
+    placed = placed.join(targets.drop("source"), "key").withColumn("end", F.col("start") - F.col("first_start") + F.col("inside"))
     finish = F.array(*[F.when(F.col("target") > 0, (F.col("end") + e * F.col("source_size")) / F.col("target")) for e in range(max_repeats)])
     placed = written(placed.select("doc_id", "source", "size", "source_size", "target", "key", "h", "text_fp", finish.alias("finish")), "placed")
 
@@ -101,8 +118,8 @@ def mix_sources(
     steps = 1 << bits
     each = placed.select("size", "key", "h", "doc_id", F.posexplode("finish").alias("epoch", "at")).filter("at is not null and size > 0")
     each = each.withColumn("bucket", F.floor(F.col("at") * steps))
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = each.groupBy("bucket").agg(F.sum("size").alias("used")).withColumn("upto", F.sum("used").over(upto))
+    buckets = running(each.groupBy("bucket").agg(F.sum("size").alias("used")), ["bucket"], {"before": F.col("used")}, "buckets")
+    buckets = buckets.withColumn("upto", F.col("before") + F.col("used"))
     # finish times are sums over a target, so that what ends within the budget may pass it by rounding
     edge = buckets.filter(F.col("upto") > budget * (1 + 1e-12)).orderBy("bucket").select("bucket", (F.col("upto") - F.col("used")).alias("start")).first()
     if edge is None:
