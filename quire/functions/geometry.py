@@ -6,6 +6,7 @@ steps.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -188,11 +189,25 @@ def frame_total(duration: Column, fps: Column) -> Column:
     return F.round((part(1) * 3600 + part(2) * 60 + part(3)) * fps).cast("bigint")
 
 
-def image_caps(width: Column, height: Column, screen: Screen) -> Column:
-    """struct<width, height>: the caps on an image in a text: 80 % of the width, 40 % of the height, else its own size."""
+def window(px: tuple[Column, Column], cells: tuple[Column, Column], fallback: Screen, force_px: Column, force_cells: Column, scale: Column) -> Column:
+    """struct<px_width, px_height, columns, rows> of measured sizes: the fallback where forced or where a side is 0 or null, widths by a factor (null: 1)."""
+
+    def pair(measured: tuple[Column, Column], width: int, height: int, force: Column) -> tuple[Column, Column]:
+        off = F.coalesce(force, F.lit(False)) | (F.coalesce(measured[0], F.lit(0)) == 0) | (F.coalesce(measured[1], F.lit(0)) == 0)
+        scaled = f32(F.when(off, width).otherwise(measured[0])) * f32(F.coalesce(scale, F.lit(1.0)))
+        # sides are numbers of 16 bits
+        return F.least(F.greatest(scaled.cast("int"), F.lit(0)), F.lit(65535)), F.when(off, height).otherwise(measured[1])
+
+    (w, h), (columns, rows) = pair(px, fallback.px_width, fallback.px_height, force_px), pair(cells, fallback.columns, fallback.rows, force_cells)
+    return F.struct(w.alias("px_width"), h.alias("px_height"), columns.alias("columns"), rows.alias("rows"))
+
+
+def image_caps(width: Column, height: Column, screen: Screen, small: bool = False) -> Column:
+    """struct<width, height>: the caps on an image in a text: 80 % of the width, 40 % of the height, else its own size; a ``small`` one is a pixel lower than a line."""
+    line = max(0, math.ceil(screen.px_height / screen.rows) - 1)
     return F.struct(
         F.when(width > 0.8 * screen.px_width, F.lit("80%")).otherwise(F.concat(width.cast("string"), F.lit("px"))).alias("width"),
-        F.when(height > 0.4 * screen.px_height, F.lit("40%")).otherwise(F.concat(height.cast("string"), F.lit("px"))).alias("height"),
+        F.lit(f"{line}px").alias("height") if small else F.when(height > 0.4 * screen.px_height, F.lit("40%")).otherwise(F.concat(height.cast("string"), F.lit("px"))).alias("height"),
     )
 
 

@@ -53,17 +53,17 @@ def iterm_image(base64: Column, offset: Column | None = None, x: Column | None =
     return F.concat(_at(x, y), _by(offset), F.lit(f"{start}]1337;File=inline=1;size="), size, F.lit(":"), base64, F.lit(end))
 
 
-def kitty_image(base64: Column, options: Column, offset: Column | None = None, x: Column | None = None, y: Column | None = None, tmux: bool = False) -> Column:
+def kitty_image(base64: Column, options: Column, offset: Column | None = None, x: Column | None = None, y: Column | None = None, tmux: bool = False, later: str = "") -> Column:
     """An image's base 64 in graphics commands of 4096 characters: the first has the options, all but the last say that more follows.
 
-    ``options`` is text such as ``f=100,a=T,i=7``; an empty one adds nothing. Without data there is no command.
+    ``options`` is text such as ``f=100,a=T,i=7``, and ``later`` such text for the commands after the first; an empty one adds nothing. Without data there is no command.
     """
     start, end = ("\x1b\x1b_G", "\x1b\x1b\\") if tmux else ("\x1b_G", "\x1b\\")
     first = F.when(options == "", "").otherwise(F.concat(options, F.lit(",")))
     parts = F.when(base64 == "", F.array().cast("array<string>")).otherwise(chunks(base64))
 
     def command(part: Column, i: Column, n: Column) -> Column:
-        return F.concat(F.lit(start), F.when(i == 0, first).otherwise(""), F.lit("q=2,m="), F.when(i + 1 < n, "1").otherwise("0"), F.lit(";"), part, F.lit(end))
+        return F.concat(F.lit(start), F.when(i == 0, first).otherwise(f"{later}," if later else ""), F.lit("q=2,m="), F.when(i + 1 < n, "1").otherwise("0"), F.lit(";"), part, F.lit(end))
 
     body = let(parts, lambda p: F.array_join(F.transform(p, lambda part, i: command(part, i, F.size(p))), ""))
     return F.concat(_at(x, y), _by(offset), F.lit("\x1bPtmux;" if tmux else ""), body, F.lit("\x1b\\" if tmux else ""))

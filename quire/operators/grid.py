@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 #: Points of a page, and the most of them in a cell.
 PAGE = (612.0, 792.0)
 CELL = (4.0, 10.0)
@@ -34,11 +36,12 @@ def grid_text(texts: DataFrame, by: Sequence[str] = ("page",), order: str = "ord
     row = F.lit(page_rows(high)) - F.round(F.col("y") / high).cast("int") - 1
     chars = texts.select(*by, F.col(order).alias("_ord"), row.alias("row"), column.alias("_at"), F.posexplode(F.split("text", "")).alias("_k", "char"))
     cells = chars.filter("char <> ''").groupBy(*by, "row", (F.col("_at") + F.col("_k")).alias("col")).agg(F.max_by("char", "_ord").alias("char"))
-    line = F.aggregate(F.sort_array(F.collect_list(F.struct("col", "char"))), F.lit(""), lambda s, c: F.concat(F.rpad(s, c["col"], F.lit(" ")), c["char"]))
+    # each piece with the gap before it, so that no line is copied for each of its characters
+    spaced = lambda a: F.transform(a, lambda c, i: F.concat(F.repeat(F.lit(" "), c["col"] - F.when(i > 0, F.get(a, i - 1)["col"]).otherwise(-1) - 1), c["char"]))
+    line = F.array_join(let(F.sort_array(F.collect_list(F.struct("col", "char"))), spaced), "")
     lines = cells.groupBy(*by, "row").agg(F.rtrim(line).alias("line")).filter("line <> ''")
-    none = F.struct(F.lit(None).cast("int").alias("row"), F.lit("").alias("text"))
-    step = lambda s, x: F.struct(x["row"].alias("row"), F.concat(s["text"], F.repeat(F.lit("\n"), F.coalesce(x["row"] - s["row"], F.lit(0))), x["line"]).alias("text"))
-    whole = F.aggregate(F.sort_array(F.collect_list(F.struct("row", "line"))), none, step, lambda s: s["text"])
+    parted = lambda a: F.transform(a, lambda x, i: F.concat(F.repeat(F.lit("\n"), F.when(i > 0, x["row"] - F.get(a, i - 1)["row"]).otherwise(0)), x["line"]))
+    whole = F.array_join(let(F.sort_array(F.collect_list(F.struct("row", "line"))), parted), "")
     return lines.groupBy(*by).agg(whole.alias("text"))
 
 

@@ -37,7 +37,7 @@ def nearest_vector(df: DataFrame, centers: DataFrame, vector: str = "embedding",
 
     Centers are gathered in blocks of ``CENTER_BLOCK`` at most, dealt by a hash
     of their key. Of one block a row finds its best at once; where there are
-    several, rows meet each block by its number, and the best of their bests
+    several, rows meet each block by its number and a salt, and the best of their bests
     stays. No center is held but with its block.
     """
     blocks = max(1, -(-centers.count() // CENTER_BLOCK))
@@ -48,8 +48,12 @@ def nearest_vector(df: DataFrame, centers: DataFrame, vector: str = "embedding",
     if blocks == 1:
         met = df.withColumn("_block", F.lit(0)).join(F.broadcast(gathered), "_block").withColumn("_best", best)
     else:
-        rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        scored = rows.join(gathered, "_block").select("_row", F.struct(*df.columns).alias("_all"), best.alias("_best"))
+        # a block's rows are shared by many tasks, each of which gets the block's centers
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks + 1
+        rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod("_row", F.lit(salts)).cast("int"))
+        rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        dealt_out = gathered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        scored = rows.join(dealt_out, ["_block", "_salt"]).select("_row", F.struct(*df.columns).alias("_all"), best.alias("_best"))
         met = scored.groupBy("_row").agg(F.first("_all").alias("_all"), F.min("_best").alias("_best")).select("_all.*", "_best")
     return met.select(*df.columns, F.col(f"_best.{key}").alias(key), F.col("_best.dist").alias("dist"))
 

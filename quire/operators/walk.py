@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.text import let
 from quire.operators.paths import ancestors
 
 RULE = T.StructType().add("pattern", T.StringType()).add("keeps", T.BooleanType()).add("dirs", T.BooleanType())
@@ -82,12 +83,23 @@ def walked(entries: DataFrame, rules: DataFrame | None = None, everything: bool
     entries = entries.filter(~hidden(F.col(path)))
     if rules is None:
         return entries
+    root = rules.filter("dir = ''").orderBy("place").collect()  # the lines of one file
     on_way = entries.select(F.col(path), F.explode(ancestors(F.col(path))).alias("target"), F.col(is_dir).alias("_dir"))
     on_way = on_way.withColumn("_dir", (F.col("target") != F.col(path)) | F.col("_dir"))
-    folders = F.concat(F.array(F.lit("")), F.filter(ancestors(F.col("target")), lambda p: p != F.col("target")))
-    targets = on_way.select("target", "_dir").distinct().withColumn("dir", F.explode(folders))
-    met = targets.join(rules, "dir").withColumn("below", F.regexp_replace(F.expr("substring(target, length(dir) + 1)"), "^/", ""))
+    folders = F.filter(ancestors(F.col("target")), lambda p: p != F.col("target"))
+    every = on_way.select("target", "_dir").distinct()
+    met = every.withColumn("dir", F.explode(folders)).join(rules.filter("dir <> ''"), "dir").withColumn("below", F.regexp_replace(F.expr("substring(target, length(dir) + 1)"), "^/", ""))
     met = met.filter((~F.col("dirs") | F.col("_dir")) & F.rlike("below", F.col("pattern")))
+    met = met.select("target", "_dir", "dir", "place", "keeps")
+    if root:
+        # every path meets the root's rules, which are part of the expression, not one key of a join
+        def of_root(below: Column) -> Column:
+            said = [F.when((F.lit(not r["dirs"]) | F.col("_dir")) & below.rlike(r["pattern"]), F.struct(F.lit(r["place"]).alias("place"), F.lit(r["keeps"]).alias("keeps"))) for r in root]
+            return F.filter(F.array(*said), lambda x: x.isNotNull())
+
+        below = F.regexp_replace("target", "^/", "")
+        hit = every.withColumn("last", F.array_max(let(below, of_root))).filter("last is not null")
+        met = met.unionByName(hit.select("target", "_dir", F.lit("").alias("dir"), "last.place", "last.keeps"))
     last = met.groupBy("target", "_dir").agg(F.max_by("keeps", F.struct(F.length("dir"), F.col("place"))).alias("keeps"))
     gone = on_way.join(last.filter("not keeps").select("target", "_dir"), ["target", "_dir"], "left_semi").select(F.col(path)).distinct()
     return entries.join(gone, path, "left_anti")

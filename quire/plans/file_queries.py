@@ -229,7 +229,7 @@ def matrix_products(spark, sf):
 
 @query("""
     SELECT p_partkey, ((p_partkey % 256) * 100 // 255)::INT AS percent, chr(63 + (p_partkey % 64)::INT) AS sixel, CASE WHEN p_partkey % 2500 > 1536 THEN '80%' ELSE p_partkey % 2500 || 'px' END AS width,
-        CASE WHEN p_size * 20 > 432 THEN '40%' ELSE p_size * 20 || 'px' END AS height, (length(p_partkey::VARCHAR) + 2)::INT AS gutter, ((1920 - 2 * p_size) // 2)::INT AS pad
+        CASE WHEN p_size * 20 > 432 THEN '40%' ELSE p_size * 20 || 'px' END AS height, '53px' AS small, (length(p_partkey::VARCHAR) + 2)::INT AS gutter, ((1920 - 2 * p_size) // 2)::INT AS pad
     FROM part
 """)
 def shown_sizes(spark, sf):
@@ -238,7 +238,7 @@ def shown_sizes(spark, sf):
     box = G.pad_offsets(F.lit(1920), F.lit(1080), F.struct((2 * size).alias("width"), size.alias("height")))
     return table(spark, sf, "part").select(
         "p_partkey", G.percent_of_255(k % 256).alias("percent"), G.sixel_char(k % 64).alias("sixel"), caps["width"].alias("width"), caps["height"].alias("height"),
-        G.gutter(k)["width"].alias("gutter"), box["x"].alias("pad"),
+        G.image_caps(k % 2500, size * 20, G.Screen(), small=True)["height"].alias("small"), G.gutter(k)["width"].alias("gutter"), box["x"].alias("pad"),
     )
 
 
@@ -334,3 +334,40 @@ def delimited_folder(spark, sf):
     lines.groupBy(F.col("s_nationkey").alias("file")).agg(text.alias("value")).write.partitionBy("file").text(folder)
     found = read_delimited(spark, folder)
     return found.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "place", F.get("cells", 0).alias("key"), F.get("cells", 1).alias("name"), "error")
+
+
+@query("""
+    WITH m AS (SELECT s_suppkey AS k, s_suppkey % 3 * 700 AS pw, s_suppkey % 5 * 300 AS ph, s_suppkey % 4 * 60 AS c, 20 + s_suppkey % 9 AS r, s_suppkey % 7 = 0 AS force, CASE WHEN s_suppkey % 2 = 0 THEN 0.5 + s_suppkey % 4 END AS scale FROM supplier),
+    w AS (
+        SELECT *, trunc((CASE WHEN force OR pw = 0 OR ph = 0 THEN 1920 ELSE pw END)::FLOAT * coalesce(scale, 1)::FLOAT)::INT AS px_width, CASE WHEN force OR pw = 0 OR ph = 0 THEN 1080 ELSE ph END::INT AS px_height,
+            trunc((CASE WHEN c = 0 THEN 100 ELSE c END)::FLOAT * coalesce(scale, 1)::FLOAT)::INT AS columns, CASE WHEN c = 0 THEN 20 ELSE r END::INT AS rows FROM m
+    )
+    SELECT k AS s_suppkey, px_width, px_height, columns, rows, (round(((columns::FLOAT / (1 + k % 6)::FLOAT)::FLOAT + 0.1::FLOAT)::FLOAT) - 2 - 1)::INT AS item_width FROM w
+""")
+def window_sizes(spark, sf):
+    """Measured sizes of windows, with what is forced, missing and scaled, and the width of an item of a listing in each."""
+    k = F.col("s_suppkey")
+    px, cells = (k % 3 * 700, k % 5 * 300), (k % 4 * 60, 20 + k % 9)
+    size = G.window(tuple(x.cast("int") for x in px), tuple(x.cast("int") for x in cells), G.Screen(), k % 7 == 0, F.lit(False), F.when(k % 2 == 0, 0.5 + k % 4))
+    d = table(spark, sf, "supplier").select("s_suppkey", size.alias("w")).select("s_suppkey", "w.*")
+    return d.withColumn("item_width", G.item_width(F.col("columns"), 1 + k % 6, 2))
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, epoch_us(ts - TIMESTAMP '2024-01-01') // 1000 / 1000.0::DOUBLE AS t, base64(encode(event_type)) AS b, row_number() OVER w - 1 AS place, lead(event_id) OVER w IS NULL AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    g AS (SELECT *, CASE WHEN place = 1 THEN 0 ELSE lag(t) OVER (PARTITION BY user_id ORDER BY place) END AS before FROM e),
+    c AS (
+        SELECT *, ',f=24,i=' || user_id || ',s=1,v=' || (event_id % 5 + 1) AS size, chr(27) || '_G' AS s, chr(27) || chr(92) AS z, greatest(0, trunc((t - before) * 1000))::BIGINT AS gap FROM g
+    )
+    SELECT user_id, place, 0 AS step, CASE WHEN place = 0 THEN s || 'a=T' || size || ',q=2,m=0;' || b || z ELSE s || 'a=f' || size || ',c=' || (place - 1) || ',z=' || gap || ',q=2,m=0;' || b || z END AS command FROM c
+    UNION ALL SELECT user_id, place, 1, s || 'a=a,s=2,v=1,r=1,i=' || user_id || ',z=100' || z FROM c WHERE place = 0
+    UNION ALL SELECT user_id, place, CASE WHEN place = 0 THEN 2 ELSE 1 END, s || 'a=a,s=3,v=1,r=1,i=' || user_id || ',z=100' || z FROM c WHERE last
+""")
+def animation_commands(spark, sf):
+    """Events as frames of a video by user."""
+    from quire.operators.frames import animation_commands
+
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    ms = F.floor(since / 1000) / 1000.0
+    d = table(spark, sf, "events").select("user_id", "event_id", ms.alias("ts"), F.col("event_type").cast("binary").alias("data"), F.lit(1).alias("width"), (F.col("event_id") % 5 + 1).alias("height"))
+    return animation_commands(d, ["user_id"], ["ts", "event_id"], number="user_id")
