@@ -16,6 +16,7 @@ from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators import frames, html, links, numbering, paths, pixels, rasters, viewer
 from quire.plans.dims import ROLES, THEMES
+from quire.sources.delimited import read_delimited
 from quire.streaming import limits
 from quire.streaming.frames import capped_chunks
 
@@ -277,3 +278,39 @@ def test_resampling(spark, width, height, box):
     for r in out:
         got[r["y"], r["x"]] = r["r"], r["g"], r["b"], r["a"]
     assert (got == want).all()
+
+
+# --- delimited files
+
+
+def test_delimited_folders(spark, tmp_path):
+    files = {
+        "a.csv": 'k,"a,b",c\n1,"x\ny","q""q"\n2,,\n', "b.csv": "k;v\n1;2,3\n", "sub/c.csv": "k\tv\n1\t2\n3\t4", "d.csv": "k|v\n1|2\n3|4|5\n", "e.csv": "single\nx\ny\n", "f.csv": "k|v\n7\n", "g.csv": "only;header\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = sorted((r["path"].rsplit("/", 1)[1], r["place"] or 0, r["names"], r["cells"], r["error"]) for r in read_delimited(spark, str(tmp_path)).collect())
+    assert got == [
+        ("a.csv", 1, ["k", "a,b", "c"], ["1", "x\ny", 'q"q'], None), ("a.csv", 2, ["k", "a,b", "c"], ["2", "", ""], None), ("b.csv", 1, ["k", "v"], ["1", "2,3"], None),
+        ("c.csv", 1, ["k", "v"], ["1", "2"], None), ("c.csv", 2, ["k", "v"], ["3", "4"], None), ("d.csv", 0, ["k", "v"], None, "row 2 has not as many cells as the header"),
+        ("e.csv", 1, ["single"], ["x"], None), ("e.csv", 2, ["single"], ["y"], None), ("f.csv", 0, ["k", "v"], None, "row 1 has not as many cells as the header"),
+    ]
+
+
+def test_vectors_meet_blocks_of_centers(spark, monkeypatch):
+    monkeypatch.setattr(pixels, "CENTER_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    rows, centers = rng.random((40, 3)).round(2).tolist(), rng.random((11, 3)).round(2).tolist()
+    d = spark.createDataFrame([(k, v) for k, v in enumerate(rows)], "k int, embedding array<double>").repartition(3)
+    c = spark.createDataFrame([(k, v) for k, v in enumerate(centers)], "idx int, center array<double>")
+    got = {r["k"]: r["idx"] for r in pixels.nearest_vector(d, c).collect()}
+    dist = ((np.array(rows)[:, None] - np.array(centers)[None]) ** 2).sum(axis=2)
+    assert all(abs(dist[k, i] - dist[k].min()) < 1e-12 for k, i in got.items()) and len(got) == 40
+
+
+def test_animations_of_one_frame_and_of_none(spark):
+    d = spark.createDataFrame([(1, 0, 5.0, bytearray(b"ab" * 4000))], "id int, k int, ts double, data binary").withColumns({"width": F.lit(2), "height": F.lit(1)})
+    sent = [r["command"] for r in sorted(frames.animation_commands(d, ["id"], ["k"]).collect(), key=lambda r: (r["place"], r["step"]))]
+    assert len(sent) == 3 and sent[0].count("\x1b_G") == 3 and sent[0].startswith("\x1b_Ga=T,f=24,i=1,s=2,v=1,q=2,m=1;") and "s=2,v=1,r=1" in sent[1] and "s=3" in sent[2]
+    assert frames.animation_commands(d.limit(0), ["id"], ["k"]).count() == 0
