@@ -228,6 +228,22 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
     """.replace("STOP_WORDS", _stop_words()),
+    "op11_suffix_dedup": r"""
+        WITH t AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT rid, i, md5(b[i:i + 399]) AS h FROM (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM t)),
+        again AS (SELECT rid, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+        marked AS (SELECT rid, i, coalesce(i > lag(i) OVER p + 400, true) AS fresh FROM again WINDOW p AS (PARTITION BY rid ORDER BY i)),
+        numbered AS (SELECT rid, i, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked),
+        runs AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS z FROM numbered GROUP BY rid, run),
+        gaps AS (SELECT rid, a, z, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS since FROM runs),
+        cut AS (
+            SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN a > since THEN hex(b[since:a - 1]) ELSE '' END, '' ORDER BY a) AS kept, max(z) AS last
+            FROM gaps JOIN t USING (rid) GROUP BY rid
+        )
+        SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(kept || CASE WHEN last <= octet_length(b) THEN hex(b[last:octet_length(b)]) ELSE '' END)) END AS kept_sha256
+        FROM t LEFT JOIN cut USING (rid)
+    """,
     "op12_mine_phrases": r"""
         WITH pieces AS (
             SELECT row_number() OVER () AS pid, lang, piece FROM (
