@@ -97,4 +97,4 @@ def test_markdown_nodes():
 
 def test_page_style():
     page = markdown.to_html("# x", "nord")
-    assert page.startswith("<!DOCTYPE html>") and "--background: #2E3440;" in page and "<h1>x</h1>" in page
+    assert page.startswith("<!DOCTYPE html>") and "--background: #272E37;" in page and "<h1>x</h1>" in page
