@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.geometry import Screen, dim_to_cells, placeholder_colors
 from quire.functions.text import ANSI, chunks, cursor_offset, cursor_place, let
 
 #: The character that stands for a cell of a placed image.
@@ -108,6 +109,24 @@ def trim_ansi(text: Column) -> Column:
     return F.when(tail > 0, F.reverse(without(F.reverse(cut), tail))).otherwise(cut)
 
 
+def image_placeholder(image: Column, number: Column, width: Column, by_cells: Column, screen: Screen) -> Column:
+    """What stands for an image in a text while it is laid out: lines of full characters in two colors that its number gives.
+
+    Where ``by_cells`` holds, the cells of the image's first line and its lines
+    give the size; else it is one line, as wide as ``width`` pixels are on the
+    screen, one cell if that can't be told. An image without lines is ''. Null
+    for a null image or number.
+    """
+    colors = placeholder_colors(number)
+    lines = F.split(F.regexp_replace(image, r"\n\z", ""), "\n", -1)
+    cells = F.when(by_cells, F.size(F.regexp_extract_all(lines[0], F.lit(PLACEHOLDER), F.lit(0)))).otherwise(
+        F.coalesce(dim_to_cells(F.concat(width.cast("string"), F.lit("px")), F.lit(screen.px_width), F.lit(screen.columns)), F.lit(1))
+    )
+    height = F.when(by_cells, F.when(image == "", 0).otherwise(F.size(lines))).otherwise(F.when(image.isNotNull(), 1))
+    line = F.concat(F.lit("\x1b[38;5;"), colors["fore"].cast("string"), F.lit("m\x1b[48;5;"), colors["back"].cast("string"), F.lit("m"), F.repeat(F.lit("█"), cells), F.lit("\x1b[0m"))
+    return F.array_join(F.array_repeat(line, height), "\n")
+
+
 def replace_placeholder(text: Column, placeholder: Column, image: Column) -> Column:
     """Each next line of an image in place of the first placeholder line that is left, with underlining off."""
     gaps = F.split(text, F.concat(F.lit(r"\Q"), placeholder, F.lit(r"\E")), F.lit(-1))

@@ -195,12 +195,6 @@ def cursor_place(x: Column, y: Column) -> Column:
     return F.coalesce(F.concat(F.lit("\x1b["), (y + 1).cast("string"), F.lit(";"), (x + 1).cast("string"), F.lit("H")), F.lit(""))
 
 
-def placeholder(width: Column, height: Column, color: str = "38;5;16") -> Column:
-    """A block of full characters in one color, where an image will stand."""
-    row = F.concat(F.lit(f"\x1b[{color}m"), F.repeat(F.lit("█"), width), F.lit(RESET))
-    return F.array_join(F.array_repeat(row, height), "\n")
-
-
 def expand_home(path: Column, home: str) -> Column:
     """Every ``~`` of a path that starts with one."""
     return F.when(path.startswith("~"), F.replace(path, F.lit("~"), F.lit(home))).otherwise(path)

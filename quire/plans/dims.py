@@ -257,3 +257,46 @@ def lookup(table: dict[str, str], key: Column, default: Column | None = None) ->
 def theme_color(theme: Column, role: str) -> Column:
     """A role's color in a theme; unknown themes are github."""
     return lookup({name: colors[role] for name, colors in THEMES.items()}, theme, F.lit(THEMES["github"][role]))
+
+
+#: What parts of code are called, by the role of their color.
+SCOPES = (
+    ("keyword", ("keyword", "storage.modifier", "storage.type")),
+    ("function", ("entity.name.function", "support.function", "variable.function")),
+    ("module", ("module", "struct", "enum", "generic", "path", "meta.path", "entity.name.tag", "support.type", "meta.import-name")),
+    ("string", ("string", "punctuation.string", "constant.other.color", "punctuation.definition.string")),
+    ("constant", ("constant", "keyword.other.unit", "support.constant")),
+    ("comment", ("comment", "punctuation.comment", "punctuation.definition.comment")),
+    ("foreground", ("variable", "operator", "punctuation", "block", "support.type.property-name", "punctuation.definition", "keyword.operator")),
+)
+#: The properties of a page's style, and the role of each.
+STYLE_ROLES = (
+    ("keyword", "keyword"), ("function", "function"), ("type", "module"), ("constant", "constant"), ("comment", "comment"), ("foreground", "foreground"),
+    ("background", "background"), ("surface", "surface"), ("border", "border"),
+)
+
+
+def scope_role(scope: Column) -> Column:
+    """The role of the color of a dotted scope such as ``keyword.control.rust``: that of its longest known beginning, of whole parts; else "foreground".
+
+    Null for null.
+    """
+    known = F.create_map(*[F.lit(x) for role, names in SCOPES for name in names for x in (name, role)])
+    parts = F.split(scope, r"\.")
+    starts = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: known[F.array_join(F.slice(parts, F.lit(1), n), ".")])
+    return F.when(scope.isNotNull(), F.coalesce(F.get(F.filter(starts, lambda r: r.isNotNull()), F.lit(0)), F.lit("foreground")))
+
+
+def scope_color(theme: Column, scope: Column) -> Column:
+    """The color of a scope in a theme; an unknown theme is the default one."""
+    role = scope_role(scope)
+    of = lambda theme, role: F.lit(THEMES[theme][role])
+    colors = F.create_map(*[x for name in THEMES for r, _ in SCOPES for x in (F.lit(f"{name} {r}"), of(name, r))])
+    default = F.create_map(*[x for r, _ in SCOPES for x in (F.lit(r), of("github", r))])
+    return F.coalesce(colors[F.concat(F.lower(theme), F.lit(" "), role)], default[role])
+
+
+def theme_style(theme: Column, properties: tuple[tuple[str, str], ...] = STYLE_ROLES) -> Column:
+    """A theme's colors as the custom properties of a page's style; an unknown theme is the default one."""
+    lines = [F.concat(F.lit(f"  --{name}: "), theme_color(theme, role), F.lit(";\n")) for name, role in properties]
+    return F.concat(F.lit(":root {\n"), *lines, F.lit("}\n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 
 import pandas as pd
@@ -12,10 +13,14 @@ from pyspark.sql import types as T
 
 from quire.functions import geometry as G
 from quire.functions import media as M
+from quire.functions import terminal
 from quire.functions import text as X
 from quire.operators import concat, html
-from quire.plans.queries import query, table
+from quire.plans import dims
+from quire.plans.queries import _ASKED, _FIVE, _asked, query, table
+from quire.shared import new_folder
 from quire.sources import convert
+from quire.sources.registered import register_files
 from quire.streaming.frames import capped_chunks
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -322,7 +327,6 @@ def joined_sources(spark, sf):
 def delimited_folder(spark, sf):
     """Suppliers as files by nation, of four delimiters, with quotes and line ends in cells; one file's rows have a cell too many."""
     from quire.operators.tables import DELIMITERS
-    from quire.shared import new_folder
     from quire.sources.delimited import read_delimited
 
     sep = F.get(F.array(*map(F.lit, DELIMITERS)), (F.col("s_nationkey") % len(DELIMITERS)).cast("int"))
@@ -371,3 +375,84 @@ def animation_commands(spark, sf):
     ms = F.floor(since / 1000) / 1000.0
     d = table(spark, sf, "events").select("user_id", "event_id", ms.alias("ts"), F.col("event_type").cast("binary").alias("data"), F.lit(1).alias("width"), (F.col("event_id") % 5 + 1).alias("height"))
     return animation_commands(d, ["user_id"], ["ts", "event_id"], number="user_id")
+
+
+@query("""
+    WITH f AS (SELECT s_nationkey, s_nationkey % 3 AS kind, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier)
+    SELECT s_nationkey AS file, 'json' AS ext, (i - 1)::INT AS place, s_name AS text, NULL::VARCHAR AS error FROM f WHERE kind = 0
+    UNION ALL
+    SELECT s_nationkey, 'csv', 0, '| key | name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || s_suppkey || ' | ' || s_name || ' |' || chr(10), '' ORDER BY s_suppkey), NULL FROM f WHERE kind = 1 GROUP BY s_nationkey
+""")
+def registered_files(spark, sf):
+    """Suppliers as a file for each nation in one of three formats: JSON read by a registered reader, delimited files by the library's, and texts, which a condition rules out."""
+    folder = new_folder(spark, "registered")
+    d = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    d = d.repartition("file").sortWithinPartitions("file", "key")
+    for kind, ext in enumerate(("json", "csv", "text")):
+        of = d.filter(F.col("file") % 3 == kind)
+        rows = of.select("file", F.col("name").alias("value")) if ext == "text" else of
+        rows.write.mode("append").option("header", "true").partitionBy("file").format(ext).save(f"{folder}/{ext}")
+    register_files(spark, {"json": json_names}, "quire_suppliers")
+    found = spark.read.format("quire_suppliers").load(folder).filter("ext <> 'txt'")
+    return found.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "ext", "place", "text", "error")
+
+
+def json_names(data: bytes):
+    """The name in each line of a JSON file."""
+    for line in data.splitlines():
+        yield json.loads(line)["name"]
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_partkey % 3 > 0 AS by_cells, p_size % 9 + 1 AS cols, p_partkey % 4 + 1 AS rows, p_size * 7 AS px FROM part),
+    s AS (SELECT k, CASE WHEN by_cells THEN cols ELSE ceil(px::FLOAT / (1920::FLOAT / 100::FLOAT)::FLOAT) END::INT AS w, CASE WHEN by_cells THEN rows ELSE 1 END::INT AS h FROM p)
+    SELECT k AS p_partkey, list_aggregate(list_transform(range(0, h), lambda i: chr(27) || '[38;5;' || (16 + k % 216) || 'm' || chr(27) || '[48;5;' || (16 + k // 216 % 216) || 'm' || repeat('█', w) || chr(27) || '[0m'), 'string_agg', chr(10)) AS text FROM s
+""")
+def image_placeholders(spark, sf):
+    """What stands for an image by part: sized by its cells, or by its width in pixels."""
+    k = F.col("p_partkey")
+    image = terminal.unicode_placeholder(F.col("p_size") % 9 + 1, k % 4 + 1, k * 70001)
+    return table(spark, sf, "part").select("p_partkey", terminal.image_placeholder(image, k, F.col("p_size") * 7, k % 3 > 0, G.Screen()).alias("text"))
+
+
+@query(f"""
+    WITH five(theme, keyword, module, constant, background, blue) AS ({_FIVE}),
+    c AS (SELECT c_custkey, lower({_ASKED}[c_custkey % {len(_ASKED) + 1} + 1]) AS asked FROM customer)
+    SELECT c_custkey, ':root {{' || chr(10) || '  --keyword: ' || keyword || ';' || chr(10) || '  --type: ' || module || ';' || chr(10) || '  --constant: ' || constant || ';' || chr(10) || '  --background: ' || background || ';' || chr(10) || '}}' || chr(10) AS style
+    FROM c JOIN five ON theme = CASE WHEN asked IN (SELECT theme FROM five) THEN asked ELSE 'github' END
+""")
+def theme_styles(spark, sf):
+    """Four properties of the page style that each customer's theme gives."""
+    style = dims.theme_style(_asked(), (("keyword", "keyword"), ("type", "module"), ("constant", "constant"), ("background", "background")))
+    return table(spark, sf, "customer").select("c_custkey", style.alias("style"))
+
+
+#: Parts of code by name, with what a language adds behind.
+_PARTS = (
+    "keyword keyword.control keyword.other.unit keyword.operator storage storage.type storage.modifier.async entity.name.function entity.name.type support.type support.type.property-name "
+    "string.quoted.double stringy constant.numeric constant.other.color comment.line punctuation.definition.string punctuation.definition.comment punctuation.section variable.function meta.path meta"
+).split()
+
+
+@query(f"""
+    WITH five(theme, keyword, module, constant, background, blue) AS ({_FIVE}),
+    known(name, role) AS (
+        VALUES ('keyword', 'keyword'), ('storage.modifier', 'keyword'), ('storage.type', 'keyword'), ('entity.name.function', 'function'), ('support.function', 'function'), ('variable.function', 'function'),
+        ('module', 'module'), ('struct', 'module'), ('enum', 'module'), ('generic', 'module'), ('path', 'module'), ('meta.path', 'module'), ('entity.name.tag', 'module'), ('support.type', 'module'), ('meta.import-name', 'module'),
+        ('string', 'string'), ('punctuation.string', 'string'), ('constant.other.color', 'string'), ('punctuation.definition.string', 'string'),
+        ('constant', 'constant'), ('keyword.other.unit', 'constant'), ('support.constant', 'constant'), ('comment', 'comment'), ('punctuation.comment', 'comment'), ('punctuation.definition.comment', 'comment'),
+        ('variable', 'foreground'), ('operator', 'foreground'), ('punctuation', 'foreground'), ('block', 'foreground'), ('support.type.property-name', 'foreground'), ('punctuation.definition', 'foreground'), ('keyword.operator', 'foreground')
+    ),
+    p AS (SELECT p_partkey, {_PARTS}[p_partkey % {len(_PARTS)} + 1] || CASE WHEN p_partkey % 4 > 0 THEN '.' || lower(replace(p_brand, '#', '.')) ELSE '' END AS scope, {_ASKED}[p_partkey % {len(_ASKED)} + 1] AS asked FROM part),
+    r AS (SELECT p_partkey, scope, asked, coalesce((SELECT arg_max(role, length(name)) FROM known WHERE name = scope OR starts_with(scope, name || '.')), 'foreground') AS role FROM p)
+    SELECT p_partkey, scope, role, CASE role WHEN 'keyword' THEN keyword WHEN 'module' THEN module WHEN 'constant' THEN constant END AS color
+    FROM r JOIN five ON theme = CASE WHEN lower(asked) IN (SELECT theme FROM five) THEN lower(asked) ELSE 'github' END
+""")
+def scope_colors(spark, sf):
+    """Roles of parts of code by their dotted names, and the colors of three roles in a theme."""
+    k = F.col("p_partkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    scope = F.concat(pick(_PARTS), F.when(k % 4 > 0, F.concat(F.lit("."), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("."))))).otherwise(""))
+    d = table(spark, sf, "part").select("p_partkey", scope.alias("scope"), pick(_ASKED).alias("asked")).withColumn("role", dims.scope_role(F.col("scope")))
+    color = F.when(F.col("role").isin("keyword", "module", "constant"), dims.scope_color(F.col("asked"), F.col("scope")))
+    return d.select("p_partkey", "scope", "role", color.alias("color"))

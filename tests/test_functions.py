@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import media as M
+from quire.functions import terminal
 from quire.functions import text as X
+from quire.functions.geometry import Screen
 from quire.operators import html, markdown
+from quire.plans import dims
 
 FIXTURES = Path(__file__).resolve().parent.parent / "FIXTURES.md"
 
@@ -98,3 +101,28 @@ def test_markdown_nodes():
 def test_page_style():
     page = markdown.to_html("# x", "nord")
     assert page.startswith("<!DOCTYPE html>") and "--background: #272E37;" in page and "<h1>x</h1>" in page
+
+
+def test_image_placeholders(spark):
+    screen = Screen()
+    cell = "\x1b[38;5;{}m\x1b[48;5;{}m{}\x1b[0m"
+    mark = terminal.PLACEHOLDER
+    cases = [
+        (f"{mark}{mark}\n{mark}\n", 217, 0, True, "\n".join([cell.format(17, 17, "██")] * 2)),
+        (f"{mark}\n\n", 0, 0, True, "\n".join([cell.format(16, 16, "█")] * 2)),
+        ("no cells", 5, 0, True, cell.format(21, 16, "")), ("", 5, 0, True, ""), ("", 5, 20, False, cell.format(21, 16, "██")), ("x", 215, 0, False, cell.format(231, 16, "")),
+        ("x", 216 * 216, None, False, cell.format(16, 16, "█")), (None, 1, 10, True, None), (None, 1, 10, False, None),
+    ]
+    d = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "k int, image string, number long, width int, by_cells boolean")
+    got = d.select("k", terminal.image_placeholder(F.col("image"), F.col("number"), F.col("width"), F.col("by_cells"), screen)).collect()
+    assert dict(map(tuple, got)) == {k: c[4] for k, c in enumerate(cases)}
+
+
+def test_scopes_and_styles(spark):
+    cases = {"keyword": "keyword", "keyword.operator.x": "foreground", "keywords": "foreground", "": "foreground", "storage": "foreground", "storage.type": "keyword", "meta.path.rust": "module", "punctuation.definition.string.begin": "string", None: None}
+    d = spark.createDataFrame([(s,) for s in cases], "scope string")
+    assert dict(map(tuple, d.select("scope", dims.scope_role(F.col("scope"))).collect())) == cases
+    theme = spark.createDataFrame([("NORD",), ("none",), (None,)], "theme string")
+    assert [r[0] for r in theme.select(dims.scope_color(F.col("theme"), F.lit("keyword.x"))).collect()] == ["#81A1C1", "#FF7B72", "#FF7B72"]
+    style = theme.select(dims.theme_style(F.col("theme"))).first()[0]
+    assert style.startswith(":root {\n  --keyword: #81A1C1;\n") and "  --type: #8FBCBB;\n" in style and style.endswith("  --border: #434C5E;\n}\n") and style.count(";") == 9
