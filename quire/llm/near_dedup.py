@@ -182,7 +182,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text_col: str, width: int) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
     texts = docs.select(text_of(text_col).alias("text")).withColumn("fp", F.xxhash64("text"))
-    # of equal texts one is enough; texts of one fingerprint that differ stay, and their sets are told apart by hash
+    # one text a node; two texts that share all 64 bits by chance (0.03 pairs are expected in 1e9 texts) would be taken for each other here
     texts = texts.join(wanted, "fp").groupBy("node").agg(F.first("text").alias("text"))
     return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
 
