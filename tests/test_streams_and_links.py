@@ -171,6 +171,17 @@ def test_links_and_walks(spark, tree):
     assert got == sorted(walk_by_hand(tree))
 
 
+def test_many_links_to_one_folder_are_the_work_of_many_tasks(spark):
+    files = spark.range(1000).selectExpr("concat('/to/f', id) AS path", "false AS is_dir", "null AS target")
+    ways = spark.range(1000).selectExpr("concat('/from/l', id) AS path", "false AS is_dir", "'/to' AS target")
+    d = files.unionAll(ways).unionAll(spark.createDataFrame([("/to", True, None), ("/from", True, None)], files.schema))
+    walked = links.walk_links(d).withColumn("task", F.spark_partition_id())
+    assert walked.select("path").distinct().count() == walked.count() == 1002 + 1000 * 1001
+    assert walked.filter("path = '/from/l7/f9' AND real = '/to/f9' AND NOT is_dir").count() == walked.filter("path = '/from/l7' AND real = '/to' AND is_dir").count() == 1
+    tasks = [r["count"] for r in walked.groupBy("task").count().collect()]
+    assert max(tasks) < 0.6 * sum(tasks)
+
+
 def test_more_links_than_file_systems_follow_are_a_loop(spark, monkeypatch):
     monkeypatch.setattr(links, "MOST_HOPS", 4)
     rows = [(f"/k{n}", False, f"/k{n + 1}") for n in range(7)] + [("/k7", False, None)]
