@@ -110,6 +110,17 @@ def test_encodings(text, encoding):
     assert convert.guess_encoding(("é" * 5000).encode()) == "utf-8"
 
 
+@pytest.mark.parametrize(
+    ("text", "encoding"),
+    [
+        ("Que le " * 9 + "Èrépa Èrépa Èrépa mentouque", "windows-1252"), ("Que le. çmentan, êèè é. çmentan, êèè é.", "windows-1252"), ("éçè èmentê et éçè èmentê", "windows-1252"), ("ieré desèpaouelle éçç", "windows-1252"),
+        ("這是一個簡單的中文測試文本我們在這裡寫字", "gb18030"), ("Слово hello значит здравствуйте, а bye значит пока", "windows-1251"), ("Файл readme.txt лежит в папке C:\\Temp", "koi8_r"),
+    ],
+)
+def test_latin_letters_beside_others_tell_western_text(text, encoding):
+    assert convert.guess_encoding(text.encode(encoding)) == encoding
+
+
 def test_texts_in_other_encodings(spark):
     d = spark.createDataFrame([("a.txt", "Köln".encode("latin-1")), ("b.md", b"# x"), ("c.csv", b"a,b\n1,2\n")], "path string, content binary").withColumn("name", F.col("path"))
     got = {r["path"]: r["result"] for r in convert.to_markdown(d, detect=True, name="name").collect()}
