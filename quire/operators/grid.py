@@ -29,13 +29,15 @@ def grid_text(texts: DataFrame, by: Sequence[str] = ("page",), order: str = "ord
     """(by..., text): each page's texts (x, y, text) on its grid, later ones over earlier ones, blank edges cut.
 
     Cells are the nearest to a text's point, rows count from the page's top.
-    Texts go on beyond the page's edge where the original cuts them.
+    Texts go on beyond the page's edge where the original cuts them. Characters meet as
+    code points, whose state has a fixed width: a task holds the cells of its pages, however many texts are on them.
     """
     wide, high = cell_size(columns, rows)
     column = F.greatest(F.round(F.col("x") / wide), F.lit(0)).cast("int")
     row = F.lit(page_rows(high)) - F.round(F.col("y") / high).cast("int") - 1
     chars = texts.select(*by, F.col(order).alias("_ord"), row.alias("row"), column.alias("_at"), F.posexplode(F.split("text", "")).alias("_k", "char"))
-    cells = chars.filter("char <> ''").groupBy(*by, "row", (F.col("_at") + F.col("_k")).alias("col")).agg(F.max_by("char", "_ord").alias("char"))
+    cells = chars.filter("char <> ''").groupBy(*by, "row", (F.col("_at") + F.col("_k")).alias("col")).agg(F.max_by(F.ascii("char"), "_ord").alias("code"))
+    cells = cells.withColumn("char", F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32"))
     # each piece with the gap before it, so that no line is copied for each of its characters
     spaced = lambda a: F.transform(a, lambda c, i: F.concat(F.repeat(F.lit(" "), c["col"] - F.when(i > 0, F.get(a, i - 1)["col"]).otherwise(-1) - 1), c["char"]))
     line = F.array_join(let(F.sort_array(F.collect_list(F.struct("col", "char"))), spaced), "")

@@ -147,6 +147,14 @@ def test_deep_and_endless_archives():
     assert "holds itself" in convert.zip_markdown(zipped("in.zip", inner), (hashlib.sha256(inner).digest(),))
 
 
+def test_texts_over_texts_are_counted_by_cells(spark):
+    d = spark.range(1000).selectExpr("0 AS page", "id AS ord", "0.0D AS x", "780.0D AS y", "if(id = 999, 'a😀é 한', concat('𝄞', id)) AS text")
+    shown = grid.grid_text(d)
+    assert [r["text"] for r in shown.collect()] == ["a😀é 한"]
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "max_by(" in plan and "SortAggregate" not in plan
+
+
 def test_grid_is_that_of_the_page(spark):
     units = [(1, 1, 40.0, 700.0, "Hello"), (1, 2, 48.0, 700.0, "you"), (1, 3, 2.0, 655.0, "low"), (2, 1, 0.0, 0.0, " "), (3, 1, 1000.0, 5.0, "far")]
     d = spark.createDataFrame(units, "page int, ord int, x double, y double, text string")
