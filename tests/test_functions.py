@@ -1,5 +1,6 @@
 import json
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -126,3 +127,26 @@ def test_scopes_and_styles(spark):
     assert [r[0] for r in theme.select(dims.scope_color(F.col("theme"), F.lit("keyword.x"))).collect()] == ["#81A1C1", "#FF7B72", "#FF7B72"]
     style = theme.select(dims.theme_style(F.col("theme"))).first()[0]
     assert style.startswith(":root {\n  --keyword: #81A1C1;\n") and "  --type: #8FBCBB;\n" in style and style.endswith("  --border: #434C5E;\n}\n") and style.count(";") == 9
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["\\", "`", "!", "[", "]", "(", ")", "<", ">", "*", "_", "~", "|", "^", "$", " ", "  ", "\n", "a", "h", "http://x", "b^c"]), max_size=30))
+def test_inline_meets_all_that_its_pattern_finds(parts):
+    text = "".join(parts)
+    assert [m.span() for m in markdown._matches(text)] == [m.span() for m in markdown._INLINE.finditer(text)]
+
+
+def test_long_paragraphs_take_time_in_proportion():
+    began = time.process_time()
+    nodes = markdown.inline("word and word\n" * 50_000, 3)
+    assert [n.line for n in nodes[:4]] == [3, 3, 4, 4] and nodes[-1].line == 50_002 and len(nodes) == 100_000
+    markdown.inline("so many words with hats " * 200_000, 1)
+    assert time.process_time() - began < 3
+
+
+def test_nodes_go_on_in_batches(spark, monkeypatch):
+    monkeypatch.setattr(markdown, "BATCH_NODES", 7)
+    texts = ["# a\n\nb *c*", None, "", "- x\n- y\n", "word"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, md string").coalesce(1)
+    got = [tuple(r) for r in markdown.md_nodes(d).collect()]
+    assert got == [(k, *row) for k, t in enumerate(texts) if t is not None for row in markdown.node_rows(t)]
