@@ -147,6 +147,14 @@ def test_deep_and_endless_archives():
     assert "holds itself" in convert.zip_markdown(zipped("in.zip", inner), (hashlib.sha256(inner).digest(),))
 
 
+def test_placeholders_have_marks_for_every_high_byte(spark):
+    marks = terminal.diacritics()
+    d = spark.range(256).select((F.col("id") * 2**24 + 0x010203).alias("image"))
+    shown = [r[0] for r in d.select(terminal.unicode_placeholder(F.lit(1), F.lit(2), F.col("image"))).collect()]
+    color, cell = "\x1b[38;2;1;2;3m", chr(0x10EEEE)
+    assert shown == [f"{color}{color}{cell}{marks[0]}{marks[0]}{m}\n{color}{cell}{marks[1]}{marks[0]}{m}\x1b[39m" for m in marks[:256]]
+
+
 def test_texts_over_texts_are_counted_by_cells(spark):
     d = spark.range(1000).selectExpr("0 AS page", "id AS ord", "0.0D AS x", "780.0D AS y", "if(id = 999, 'a😀é 한', concat('𝄞', id)) AS text")
     shown = grid.grid_text(d)
