@@ -81,6 +81,15 @@ def test_passages_are_removed(docs, rows, length, monkeypatch):
     assert Counter((r[0], *r[1:5], tuple(map(tuple, r["spans"])), bytes(r["kept"])) for r in got) == want
 
 
+def test_bytes_not_words_decide(spark):
+    """A passage of 51 words in two texts stays with 399 bytes and goes with 400."""
+    passage = lambda size: " ".join([*(f"{size}{k:02d}" for k in range(50)), "x" * (size - 300)])
+    docs = spark.createDataFrame([(10 * size + k, a + passage(size) + b) for size in (399, 400) for k, (a, b) in enumerate(("<>", "[]"))], "doc_id long, text string")
+    removed = lambda length: {r["doc_id"]: r["n_removed"] for r in SD.remove_repeats(docs, length=length).collect()}
+    assert removed(400) == {3990: 0, 3991: 0, 4000: 400, 4001: 400}
+    assert removed(399) == {3990: 399, 3991: 399, 4000: 400, 4001: 400}
+
+
 def test_cover_meets_every_shift():
     for most in (7, 20, 183, 200):
         v, places = SD.difference_cover(most)
