@@ -121,6 +121,19 @@ def test_latin_letters_beside_others_tell_western_text(text, encoding):
     assert convert.guess_encoding(text.encode(encoding)) == encoding
 
 
+@pytest.mark.parametrize(
+    ("text", "encoding"),
+    [
+        ("La la de. " + "ééê. " * 20, "windows-1252"), ("En " * 20 + "èèé de èèé. Èêè ch", "windows-1252"), ("hand ed üöö on", "windows-1252"), ("De de ciónñírr doasque su.", "windows-1252"), ("ciónñóos " * 40, "windows-1252"),
+        ("Ñóñ íñíñ", "windows-1252"), ("ÉÈÊ ÄÖÜ", "windows-1252"), ("!! PAS!! ÉÉÈTRE.", "windows-1252"), ("La la " * 2000 + "éêçè Leètion", "windows-1252"),
+        ("щука и хвощ", "windows-1251"), ("Ошибка: нет доступа", "koi8_r"), ("return x; // счет", "windows-1251"), ("你好,世界", "gb18030"), ("龍鳳呈祥", "gb18030"),
+    ],
+)
+def test_words_of_accents_alone_are_told_by_their_letters(text, encoding):
+    data = text.encode(encoding)
+    assert convert.guess_encoding(data, len(data)) == encoding
+
+
 def test_texts_in_other_encodings(spark):
     d = spark.createDataFrame([("a.txt", "Köln".encode("latin-1")), ("b.md", b"# x"), ("c.csv", b"a,b\n1,2\n")], "path string, content binary").withColumn("name", F.col("path"))
     got = {r["path"]: r["result"] for r in convert.to_markdown(d, detect=True, name="name").collect()}
