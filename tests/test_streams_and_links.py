@@ -182,6 +182,15 @@ def test_many_links_to_one_folder_are_the_work_of_many_tasks(spark):
     assert max(tasks) < 0.6 * sum(tasks)
 
 
+def test_rows_that_move_grow_slower_than_the_pairs(spark):
+    ways = spark.range(20_000).selectExpr("'/to' AS final", "concat('/from/l', id) AS path")
+    inside = spark.range(20_000).selectExpr("'/to' AS final", "concat('/to/f', id) AS real", "false AS is_dir")
+    left, right = links._dealt(ways, inside)
+    # 79 blocks of 256 would move 3,160,000
+    assert left.count() + right.count() < 1_400_000
+    assert left.select("final", "_way", "_entry").distinct().count() > 500
+
+
 def test_more_links_than_file_systems_follow_are_a_loop(spark, monkeypatch):
     monkeypatch.setattr(links, "MOST_HOPS", 4)
     rows = [(f"/k{n}", False, f"/k{n + 1}") for n in range(7)] + [("/k7", False, None)]
